@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from orrery.llm.bpe import op7_bpe
+from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
 from orrery.llm.tokencount import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_media": op8_media,
     "op10_decontaminate": op10_decontaminate,
 }
 
