@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from orrery.llm.bpe import op7_bpe
+from orrery.llm.html_text import op4_html_text
 from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
+from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.tokencount import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_html_text": op4_html_text,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 
