@@ -31,8 +31,8 @@ WIDTH, STRIDE = 64, 48
 DIM, HIDDEN, ATTEND = 12, 12, 8
 GRAMS = 1 << 15
 VOCAB = 1 << 15
-PER_CLASS = 2000
-MAX_BYTES = 1 << 16
+PER_CLASS = 1200
+MAX_BYTES = 1 << 14
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 f32 = np.float32
@@ -253,9 +253,14 @@ def train(sample: list[tuple[bytes, int]], share: float, *, rounds: int = 6, bat
     net.p["word"][nums[known], 0] = _odds(pairs // len(uniq), pairs % len(uniq), len(uniq), y, fit)[known]
     wg = np.unique(word * GRAMS + gram)  # (word, trigram) once, then (text, trigram) once
     first = np.searchsorted(wg, np.arange(len(uniq) + 1) * GRAMS)
-    many = np.diff(first)[pairs % len(uniq)]
-    at = np.repeat(first[pairs % len(uniq)], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    dg = np.unique(np.repeat(pairs // len(uniq), many) * GRAMS + wg[at] % GRAMS)
+    held_by = []
+    for i in range(0, len(pairs), 1 << 16):  # a text at a cut may count twice for a trigram; at most one text in 65536 pairs
+        own = pairs[i : i + (1 << 16)] % len(uniq)
+        many = np.diff(first)[own]
+        at = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        held_by.append(np.unique(np.repeat(pairs[i : i + (1 << 16)] // len(uniq), many) * GRAMS + wg[at] % GRAMS))
+    dg = np.concatenate(held_by)
+    del held_by, wg, pairs
     net.p["gram"][:, 0] = _odds(dg // GRAMS, dg % GRAMS, GRAMS, y, fit)
     balance = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum()))
     for k in range(rounds):
@@ -296,7 +301,7 @@ def train(sample: list[tuple[bytes, int]], share: float, *, rounds: int = 6, bat
 
 def _odds(doc: np.ndarray, item: np.ndarray, n: int, y: np.ndarray, fit: np.ndarray) -> np.ndarray:
     """Where the first input starts from: how sure the log odds of label 1 differ in texts with the item."""
-    na, nb = (y[fit] == 1).sum(), (y[fit] == 0).sum()
+    na, nb = (y[fit] == 1).sum() + 1, (y[fit] == 0).sum() + 1
     a, b = np.bincount(item, y[doc], n), np.bincount(item, 1 - y[doc], n)
     odds = np.log((a + 0.5) / (na - a + 0.5)) - np.log((b + 0.5) / (nb - b + 0.5))
     return (np.clip(odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), -8, 8) / 4).astype(f32)
