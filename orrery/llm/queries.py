@@ -6,12 +6,14 @@ from orrery.llm.bpe import op7_bpe
 from orrery.llm.html_text import op4_html_text
 from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
+from orrery.llm.neardup import op6_near_duplicates
 from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.tokencount import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_html_text": op4_html_text,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
@@ -35,4 +37,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-SQL = {"op10_decontaminate": OP10_SQL}
+OP6_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(5, len(w)) - 1) AS g FROM w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+SQL = {"op6_near_duplicates": OP6_SQL, "op10_decontaminate": OP10_SQL}
