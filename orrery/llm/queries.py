@@ -6,12 +6,14 @@ from orrery.llm.bpe import op7_bpe
 from orrery.llm.html_text import op4_html_text
 from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
+from orrery.llm.lm import op2_lm_score
 from orrery.llm.neardup import op6_near_duplicates
 from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.tokencount import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_lm_score": op2_lm_score,
     "op4_html_text": op4_html_text,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_bpe": op7_bpe,
