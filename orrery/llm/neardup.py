@@ -2,19 +2,21 @@
 
 A document's set holds its distinct five-word shingles.  Documents of equal sets are one class, and
 classes go on by their smallest id.  128 of 256 MinHash values make 32 bands of 4; all 256 are
-folded into a 512-bit odd sketch, a parity bitmap: the population count of two sketches' XOR estimates
+folded into a 1024-bit odd sketch, a parity bitmap: the population count of two sketches' XOR estimates
 how many MinHash values differ, and so the similarity, most precisely where it is high.
 
-Links are found in two steps that never expand a group into all its pairs:
+Links are found in steps that never expand a group into all its pairs:
 
 1. In each band's bucket two members are pivots.  Each document takes the pivot it shares most bands
    with, and that one pair is confirmed on the full sets.  This joins large groups along few links.
-2. What is still apart is compared: pairs of one bucket that belong to different components so far, whose
+2. Twice more, of the pairs of a document and a pivot that still connect two components, the one that shares
+   most bands is confirmed for each two components.
+3. What is still apart is compared: pairs of one bucket that belong to different components so far, whose
    set sizes allow the similarity and whose sketches don't rule it out, are confirmed on the full
    sets.  A document may have any number of partners here.
 
 A pair at the threshold shares no band with a probability of 5e-6 and is ruled out by its sketches with
-about 1e-6; pairs above it less.  Confirmed links are exact.
+about 1e-5; pairs above it less.  Confirmed links are exact.
 
 Defined results: null and empty texts, and those of white space only, have an empty set and are linked
 with nothing; texts of fewer than five words are one shingle; repeated rows of one id are one document and are
@@ -34,7 +36,8 @@ from orrery.llm.common import Scratch, arrow_map, table, texts
 from orrery.llm.components import components
 
 WORDS = 5
-HASHES, BANDS, ROWS, BITS = 256, 32, 4, 512
+HASHES, BANDS, ROWS, BITS = 256, 32, 4, 1024
+ROUNDS = 3
 _R = np.random.default_rng(20240607)
 _MUL = (_R.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _R.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -105,7 +108,7 @@ def odd_sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
-def largest_xor(threshold: float = 0.75, sigmas: float = 4.75) -> int:
+def largest_xor(threshold: float = 0.75, sigmas: float = 4.25) -> int:
     """Population count of the XOR up to which a pair of at least this similarity is expected."""
     flips = 2 * HASHES * (1 - threshold)
     stay = (1 - 2 / BITS) ** flips
@@ -166,10 +169,9 @@ def _confirm(num: int, den: int):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union."""
-    src = docs.dropDuplicates(["doc_id"]) if docs._orrery_repeats else docs
-    left = src.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = src.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    """The pairs (a, b) whose full sets have den * intersection >= num * union; ``docs`` has an id once."""
+    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), _confirm(num, den), "a long, b long")
 
 
@@ -180,10 +182,10 @@ def link(documents: DataFrame, *, num: int = 75, den: int = 100) -> DataFrame:
     docs = texts(documents)
     feats = scratch.put(arrow_map(docs, _features, FEATURES), "features")
     ids = feats.where("doc_id is not null")
-    docs._orrery_repeats = not ids.groupBy("doc_id").count().where("count > 1").isEmpty()
+    repeats = not ids.groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = scratch.put(ids.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     one = ids.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi")
-    one = one.dropDuplicates(["doc_id"]) if docs._orrery_repeats else one
+    one = one.dropDuplicates(["doc_id"]) if repeats else one
     reps = scratch.put(one.select("doc_id", "n", "bands", "sketch"), "reps")
 
     rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
@@ -191,10 +193,25 @@ def link(documents: DataFrame, *, num: int = 75, den: int = 100) -> DataFrame:
     pivots = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(order)["id"].alias("p1"), F.max(order)["id"].alias("p2")).where("c > 1").drop("c")
     live = scratch.put(rows.join(pivots, "key"), "live")
 
+    pool = docs.join(live.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    pool = scratch.put(pool.dropDuplicates(["doc_id"]) if repeats else pool, "pool")
+
     star = live.select("id", F.explode(F.array("p1", "p2")).alias("p")).where("id <> p").groupBy("id", "p").count()
-    best = star.groupBy("id").agg(F.max(F.struct("count", F.col("p")))["p"].alias("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    first = scratch.put(confirm(best, docs, num, den), "links")
-    comp = components(first, scratch)
+    star = scratch.put(star, "star")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    tried = scratch.put(star.groupBy("id").agg(F.max(F.struct("count", F.col("p")))["p"].alias("p")).select(*pair("id", "p")).distinct(), "tried")
+    links = scratch.put(confirm(tried, pool, num, den), "links")
+    comp = components(links, scratch)
+    for _ in range(1, ROUNDS):
+        of = lambda c, name: comp.select(F.col("id").alias(c), F.col("comp").alias(name))  # noqa: E731, B023
+        apart = star.join(of("id", "ci"), "id", "left").join(of("p", "cp"), "p", "left").select("id", "p", "count", F.coalesce("ci", "id").alias("ci"), F.coalesce("cp", "p").alias("cp")).where("ci <> cp")
+        apart = apart.select(*pair("id", "p"), "count", F.least("ci", "cp").alias("x"), F.greatest("ci", "cp").alias("y")).join(tried, ["a", "b"], "left_anti")
+        more = scratch.put(apart.groupBy("x", "y").agg(F.max(F.struct("count", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "more")
+        if more.isEmpty():
+            break
+        found = scratch.put(confirm(more, pool, num, den), "links")
+        tried, links = tried.unionByName(more), links.unionByName(found)
+        comp = components(links, scratch)
 
     placed = scratch.put(live.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "placed")
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -203,15 +220,16 @@ def link(documents: DataFrame, *, num: int = 75, den: int = 100) -> DataFrame:
     x, y = cand.alias("x"), cand.alias("y")
     differ = sum((F.bit_count(F.col(f"x.k{i}").bitwiseXOR(F.col(f"y.k{i}"))) for i in range(BITS // 64)), F.lit(0))
     fits = (F.lit(den) * F.least("x.n", "y.n") >= F.lit(num) * F.greatest("x.n", "y.n")) & (differ <= largest_xor(num / den))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = scratch.put(confirm(pairs, docs, num, den), "links")
-    comp = components(first.unionByName(rest), scratch)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & fits).select(*pair("x.id", "y.id")).distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    rest = scratch.put(confirm(pairs, pool, num, den), "links")
+    comp = components(links.unionByName(rest), scratch)
 
     final = classes.join(comp, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     known = feats.where("doc_id is not null and n > 0").select("doc_id", "n", "s1", "s2").join(final, ["n", "s1", "s2"]).select("doc_id", "n", "comp")
     lone = feats.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("comp"))
     out = scratch.put(known.unionByName(lone), "out")
-    scratch.drop(feats, classes, reps, live, first, placed, rest)
+    scratch.drop(feats, classes, reps, live, pool, star, placed, rest)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
