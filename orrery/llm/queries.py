@@ -8,6 +8,7 @@ from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
 from orrery.llm.lm import op2_lm_score
 from orrery.llm.neardup import op6_near_duplicates
+from orrery.llm.substring_dedup import op5_substring_dedup
 from orrery.llm.toxicity import op9_toxicity
 from orrery.llm.tokencount import op1_token_counts
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_score": op2_lm_score,
     "op4_html_text": op4_html_text,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_bpe": op7_bpe,
     "op8_media": op8_media,
