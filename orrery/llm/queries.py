@@ -6,6 +6,7 @@ from orrery.llm.bpe import op7_bpe
 from orrery.llm.html_text import op4_html_text
 from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
+from orrery.llm.line_dedup import op3_line_dedup
 from orrery.llm.lm import op2_lm_score
 from orrery.llm.neardup import op6_near_duplicates
 from orrery.llm.substring_dedup import op5_substring_dedup
@@ -15,6 +16,7 @@ from orrery.llm.tokencount import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_score": op2_lm_score,
+    "op3_line_dedup": op3_line_dedup,
     "op4_html_text": op4_html_text,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
@@ -41,6 +43,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
+OP3_SQL = """
+WITH l AS (SELECT doc_id, text, CAST(i AS INTEGER) - 1 AS n, string_split(text, chr(10))[i] AS line FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS g(i)),
+t AS (SELECT *, list_transform(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+c AS (SELECT *, concat(lag(CAST(w[1:2] AS VARCHAR), 1, 'edge') OVER o, ' / ', lead(CAST(w[1:2] AS VARCHAR), 1, 'edge') OVER o) AS around FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+k AS (SELECT doc_id, n, text, around, 3 AS j, w AS tpl FROM c WHERE len(w) > 0
+      UNION ALL SELECT doc_id, n, text, around, j, list_transform(w, lambda x, p: CASE WHEN p > 2 AND (p - 1) % 3 = j THEN '<*>' ELSE x END) FROM c, (VALUES (0), (1), (2)) z(j) WHERE len(w) >= 6),
+s AS (SELECT j, tpl, around, count(DISTINCT text) AS d FROM k GROUP BY ALL),
+r AS (SELECT j, tpl FROM s GROUP BY ALL HAVING count(*) >= 10 AND 4 * max(d) <= sum(d)),
+x AS (SELECT DISTINCT doc_id, n FROM k JOIN r USING (j, tpl))
+SELECT doc_id, count(*) AS n_lines, count(x.n) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (x.n IS NULL), '') AS text
+FROM l LEFT JOIN x USING (doc_id, n) GROUP BY doc_id
+"""
+
 OP6_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(5, len(w)) - 1) AS g FROM w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS t(i) WHERE len(w) > 0),
@@ -52,4 +67,4 @@ k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-SQL = {"op6_near_duplicates": OP6_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op6_near_duplicates": OP6_SQL, "op10_decontaminate": OP10_SQL}
