@@ -36,7 +36,7 @@ from orrery.llm.suffix import permuted_prefixes, suffix_array
 LENGTH, ANCHOR = 100, 40
 SIDE = LENGTH - ANCHOR
 #: Fragments of one anchor that may share a shard, and fragments a shard holds.
-SPLIT, SHARD = 1024, 8192
+SPLIT, SHARD = 4096, 8192
 SEPARATOR = 0xFF  # no byte of UTF-8
 U = np.uint64
 
@@ -58,11 +58,13 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     if n < LENGTH:
         return none, none, none.astype(U), none.astype(U)
     sums = B.prefix_sums(data)
-    at = np.arange(n - ANCHOR + 1)
-    h = B.span_hashes(sums, at, at + ANCHOR)
+    h = (sums[ANCHOR:] - sums[:-ANCHOR]) * B.powers(n + 1)[1][: n - ANCHOR + 1]
+    h ^= h >> U(31)
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(29)
     windows = _slide(h, SIDE + 1, np.minimum)  # one for each start
-    row = np.searchsorted(offs, np.arange(len(windows)), side="right") - 1
-    windows[np.arange(len(windows)) + LENGTH > offs[row + 1]] = 0  # those that leave their row
+    for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist()):
+        windows[max(lo, hi - LENGTH + 1) : hi] = 0  # those that leave their row
     pad = np.zeros(SIDE, U)
     best = _slide(np.concatenate([pad, windows, pad]), SIDE + 1, np.maximum)
     pos = np.flatnonzero((h == best) & (best > 0))
@@ -94,12 +96,6 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
 
 
-def _intervals(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Sorted window starts as merged byte intervals."""
-    cut = np.flatnonzero(np.diff(starts) > LENGTH) + 1
-    return [(int(g[0]), int(g[-1]) + LENGTH) for g in np.split(starts, cut)]
-
-
 def _shard(key, tbl):
     """Suffix array of a shard; repeated windows as intervals, and the classes of split anchors."""
     doc, at, left, nf = (tbl.column(c).to_numpy() for c in ("doc_id", "at", "left", "nf"))
@@ -129,21 +125,29 @@ def _shard(key, tbl):
     repeated[first] = False
     # the same place of one document may stand in a class more than once, by way of neighbouring anchors
     repeated &= ~((g_doc == g_doc[first][cls]) & (g_at == g_at[first][cls]))
-    rows = []
     r = np.lexsort((g_at[repeated], g_doc[repeated]))
     rd, ra = g_doc[repeated][r], g_at[repeated][r]
-    for g in np.split(np.arange(len(rd)), np.flatnonzero(np.diff(rd)) + 1) if len(rd) else []:
-        rows += [("cut", int(rd[g[0]]), a, z, None) for a, z in _intervals(np.unique(ra[g]))]
-    split = np.flatnonzero(nf[of[w][first]] > SPLIT)
-    open_class = np.zeros(len(first), bool)
-    open_class[split] = True
-    open_class |= np.bincount(cls, nf[of[w]] > SPLIT, len(first)) > 0
-    for k in np.flatnonzero(open_class):
-        x = first[k]
-        p = int(order[x])
-        rows.append(("class", int(g_doc[x]), int(g_at[x]), 0, hashlib.blake2b(text[p : p + LENGTH].tobytes(), digest_size=16).digest()))
-    kind, d, a, z, h = zip(*rows) if rows else ((),) * 5
-    return pa.table({"kind": pa.array(kind, pa.string()), "doc_id": pa.array(d, pa.int64()), "start": pa.array(a, pa.int64()), "stop": pa.array(z, pa.int64()), "h": pa.array(h, pa.binary())})
+    begins = np.ones(len(rd), bool)
+    begins[1:] = (rd[1:] != rd[:-1]) | (ra[1:] - ra[:-1] > LENGTH)
+    begin = np.flatnonzero(begins)
+    last = np.append(begin[1:], len(rd)) - 1 if len(rd) else begin
+    wide = np.bincount(cls, nf[of[w]] > SPLIT, len(first)) > 0  # classes with a member that other shards may share
+    x = first[wide]
+    p = order[x]
+    sums = B.prefix_sums(text)
+    h1 = B.span_hashes(sums, p, p + LENGTH)
+    h2 = B.span_hashes(B.prefix_sums(np.ascontiguousarray(B.mix(text.astype(U) + U(7)).astype(np.uint8))), p, p + LENGTH)
+    cut, cl = len(begin), len(x)
+    return pa.table(
+        {
+            "kind": pa.array(["cut"] * cut + ["class"] * cl, pa.string()),
+            "doc_id": pa.array(np.concatenate([rd[begin], g_doc[x]])),
+            "start": pa.array(np.concatenate([ra[begin], g_at[x]])),
+            "stop": pa.array(np.concatenate([ra[last] + LENGTH, np.zeros(cl, np.int64)])),
+            "h1": pa.array(np.concatenate([np.zeros(cut, np.int64), h1.view(np.int64)])),
+            "h2": pa.array(np.concatenate([np.zeros(cut, np.int64), h2.view(np.int64)])),
+        }
+    )
 
 
 def _keep(batches):
@@ -173,14 +177,14 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     docs = texts(documents).where("doc_id is not null")
     long = docs.where(F.octet_length("text") >= LENGTH)
     rows = arrow_map(long, _anchor_rows, "a long, f long, doc_id long, at long")
-    often = rows.groupBy("a").count().where("count > 1").select("a")
+    often = scratch.put(rows.groupBy("a").count().where("count > 1").select("a"), "often")  # a table, so that a hot anchor's join can be split
     found = scratch.put(rows.join(often.hint("shuffle_hash"), "a"), "anchors")
     first = found.groupBy("a", "f").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
     first = scratch.put(first, "fragments")
     again = found.join(first.where("c > 1").select("a", "f", "first"), ["a", "f"]).where("struct(doc_id, at) <> first")
     whole = again.select("doc_id", F.greatest(F.lit(0).cast("long"), F.col("at") - SIDE).alias("start"), (F.col("at") + LENGTH).alias("stop"))
     whole = scratch.put(whole, "whole")
-    scratch.drop(found)
+    scratch.drop(found, often)
 
     many = first.groupBy("a").agg(F.count(F.lit(1)).alias("nf")).where("nf > 1")
     differ = first.join(many, "a").select("a", "f", "nf", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
@@ -190,10 +194,10 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     cut = arrow_map(docs.join(per_doc, "doc_id"), _cut, "a long, f long, nf long, doc_id long, at long, left int, body binary")
     salt = F.when(F.col("nf") > SPLIT, F.pmod(F.xxhash64("f"), F.ceil(F.col("nf") / SPLIT))).otherwise(F.lit(0))
     shard = cut.withColumn("shard", F.pmod(F.xxhash64("a", salt), F.lit(shards)).cast("int")).groupBy("shard")
-    marks = scratch.put(shard.applyInArrow(_shard, "kind string, doc_id long, start long, stop long, h binary"), "marks")
-    classes = marks.where("kind = 'class'").select("h", "doc_id", "start")
-    least = classes.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    late = classes.join(least, "h").where("struct(doc_id, start) <> first").select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
+    marks = scratch.put(shard.applyInArrow(_shard, "kind string, doc_id long, start long, stop long, h1 long, h2 long"), "marks")
+    classes = marks.where("kind = 'class'").select("h1", "h2", "doc_id", "start")
+    least = classes.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    late = classes.join(least, ["h1", "h2"]).where("struct(doc_id, start) <> first").select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
     out = whole.unionByName(marks.where("kind = 'cut'").select("doc_id", "start", "stop")).unionByName(late)
     scratch.drop(first, per_doc)
     return out
