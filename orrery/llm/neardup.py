@@ -8,12 +8,16 @@ how many MinHash values differ, and so the similarity, most precisely where it i
 Links are found in steps that never expand a group into all its pairs:
 
 1. In each band's bucket two members are pivots.  Each document takes the pivot it shares most bands
-   with, and that one pair is confirmed on the full sets.  This joins large groups along few links.
-2. Twice more, of the pairs of a document and a pivot that still connect two components, the one that shares
-   most bands is confirmed for each two components.
-3. What is still apart is compared: pairs of one bucket that belong to different components so far, whose
-   set sizes allow the similarity and whose sketches don't rule it out, are confirmed on the full
-   sets.  A document may have any number of partners here.
+   with; pairs that their sketches don't rule out are confirmed on the full sets.  This joins large
+   groups along few links.
+2. Once more, of the pairs of a document and a pivot that still connect two components, the one that shares
+   most bands is sifted and confirmed for each two components.
+3. What is still apart is compared.  A shingle that no other document of such a bucket holds can't be in an
+   intersection; counting them (exactly, by one aggregation) bounds each document's intersections, and
+   one whose bound is below the threshold has no partner.  The others form families by their common buckets;
+   a family is dealt into blocks of ``BLOCK`` documents, and each two blocks are one task's work: sketches sift
+   the pairs of different components, a product of incidence matrices counts intersections exactly, and
+   links alone leave the task.  A document may have any number of partners here.
 
 A pair at the threshold shares no band with a probability of 5e-6 and is ruled out by its sketches with
 about 1e-5; pairs above it less.  Confirmed links are exact.
@@ -37,7 +41,8 @@ from orrery.llm.components import components
 
 WORDS = 5
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 1024
-ROUNDS = 3
+ROUNDS = 2
+BLOCK = 512
 _R = np.random.default_rng(20240607)
 _MUL = (_R.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _R.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -168,13 +173,96 @@ def _confirm(num: int, den: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union; ``docs`` has an id once."""
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out and whose full sets have den * intersection >= num * union.
+
+    ``docs`` and ``reps`` (doc_id, sketch) have an id once.
+    """
+    sk = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"))
+    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64)), F.lit(0))
+    pairs = pairs.join(sk("a"), "a").join(sk("b"), "b").where(differ <= largest_xor(num / den)).select("a", "b")
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), _confirm(num, den), "a long, b long")
 
 
+def intersections(row: np.ndarray, h: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the rows in ``left`` with those in ``right``, by incidence matrices of shared shingles."""
+    _, inv, count = np.unique(h, return_inverse=True, return_counts=True)
+    keep = count[inv] > 1
+    kinds, inv = np.unique(inv[keep], return_inverse=True)
+    rows = row[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    at_left, at_right = np.full(n, -1), np.full(n, -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    order = np.argsort(inv, kind="stable")
+    inv, rows = inv[order], rows[order]
+    for lo in range(0, len(kinds), chunk):
+        a, z = np.searchsorted(inv, (lo, lo + chunk))
+        col, r = inv[a:z] - lo, rows[a:z]
+        x, y = np.zeros((len(left), chunk), np.float32), np.zeros((len(right), chunk), np.float32)
+        for m, at in ((x, at_left), (y, at_right)):
+            here = at[r] >= 0
+            m[at[r[here]], col[here]] = 1
+        out += x @ y.T
+    return out
+
+
+def _family(num: int, den: int):
+    limit = largest_xor(num / den)
+
+    def run(tbl):
+        x, y = tbl.column("x")[0].as_py(), tbl.column("y")[0].as_py()
+        blk, comp, ids = (tbl.column(c).to_numpy() for c in ("blk", "comp", "id"))
+        n = len(ids)
+        left, right = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
+        sk = np.asarray(tbl.column("sketch").combine_chunks().flatten()).reshape(n, -1).view(np.uint64)
+        differ = np.zeros((len(left), len(right)), np.int64)
+        for i in range(sk.shape[1]):
+            differ += np.bitwise_count(sk[left, i][:, None] ^ sk[right, i][None])
+        may = (differ <= limit) & (comp[left][:, None] != comp[right][None])
+        if x == y:
+            may &= ids[left][:, None] < ids[right][None]
+        left, right, may = left[may.any(1)], right[may.any(0)], may[may.any(1)][:, may.any(0)]
+        i = j = left[:0]
+        if len(left):
+            row, h = shingles(*B.text_view(tbl.column("text")))
+            size = np.bincount(row, minlength=n)
+            both = intersections(row, h, n, left, right).astype(np.int64)
+            i, j = np.nonzero(may & (den * both >= num * (size[left][:, None] + size[right][None] - both)) & (both > 0))
+        return pa.table({"a": pa.array(np.minimum(ids[left[i]], ids[right[j]])), "b": pa.array(np.maximum(ids[left[i]], ids[right[j]]))})
+
+    return run
+
+
+def family_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between members (fam, id, comp, sketch, text) of one family and different components."""
+    size = members.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    d = members.join(size, "fam").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("blk", j).alias("x"), F.greatest("blk", j).alias("y")))
+    d = d.withColumn("p", F.explode(meet)).select("fam", "p.x", "p.y", "blk", "id", "comp", "sketch", "text")
+    return d.groupBy("fam", "x", "y").applyInArrow(_family(num, den), "a long, b long")
+
+
+def _shingle_rows(batches):
+    for batch in batches:
+        for part, data, offs in B.slices(batch):
+            row, h = shingles(data, offs)
+            ids = B.column(part, "doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(B.signed(h)), pa.array(ids[row])], names=["h", "id"])
+
+
+def _largest_intersections(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, m): set size, and how many of its shingles another of these documents holds too; only where that allows a link."""
+    rows = arrow_map(docs.select("doc_id", "text"), _shingle_rows, "h long, id long")
+    own = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    # a shingle of one document counts there as lone; one of several counts nowhere
+    lone = own.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    size = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    out = size.join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+    return out.where(F.lit(den) * F.col("m") >= F.lit(num) * F.col("n"))
+
+
 def link(documents: DataFrame, *, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
@@ -200,7 +288,7 @@ def link(documents: DataFrame, *, num: int = 75, den: int = 100) -> DataFrame:
     star = scratch.put(star, "star")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = scratch.put(star.groupBy("id").agg(F.max(F.struct("count", F.col("p")))["p"].alias("p")).select(*pair("id", "p")).distinct(), "tried")
-    links = scratch.put(confirm(tried, pool, num, den), "links")
+    links = scratch.put(confirm(tried, pool, reps, num, den), "links")
     comp = components(links, scratch)
     for _ in range(1, ROUNDS):
         of = lambda c, name: comp.select(F.col("id").alias(c), F.col("comp").alias(name))  # noqa: E731, B023
@@ -209,27 +297,27 @@ def link(documents: DataFrame, *, num: int = 75, den: int = 100) -> DataFrame:
         more = scratch.put(apart.groupBy("x", "y").agg(F.max(F.struct("count", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "more")
         if more.isEmpty():
             break
-        found = scratch.put(confirm(more, pool, num, den), "links")
+        found = scratch.put(confirm(more, pool, reps, num, den), "links")
         tried, links = tried.unionByName(more), links.unionByName(found)
         comp = components(links, scratch)
 
     placed = scratch.put(live.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "placed")
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    sk = [F.col("sketch")[i].alias(f"k{i}") for i in range(BITS // 64)]
-    cand = placed.join(apart, "key").join(reps.select(F.col("doc_id").alias("id"), "n", *sk), "id")
-    x, y = cand.alias("x"), cand.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.k{i}").bitwiseXOR(F.col(f"y.k{i}"))) for i in range(BITS // 64)), F.lit(0))
-    fits = (F.lit(den) * F.least("x.n", "y.n") >= F.lit(num) * F.greatest("x.n", "y.n")) & (differ <= largest_xor(num / den))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & fits).select(*pair("x.id", "y.id")).distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    rest = scratch.put(confirm(pairs, pool, num, den), "links")
+    open_ = scratch.put(placed.join(apart, "key"), "open")
+    most = scratch.put(_largest_intersections(pool.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), num, den), "bounds")
+    near = open_.join(most.select("id"), "id")
+    hub = near.groupBy("key").agg(F.min("id").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "hub")
+    fam = components(near.join(hub, "key").select("id", "hub"), scratch, "id", "hub")
+    member = fam.select("id", F.col("comp").alias("fam")).join(near.select("id", "comp").distinct(), "id")
+    member = member.join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id").join(pool.select(F.col("doc_id").alias("id"), "text"), "id")
+    rest = scratch.put(family_links(member, num, den), "links")
     comp = components(links.unionByName(rest), scratch)
 
     final = classes.join(comp, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     known = feats.where("doc_id is not null and n > 0").select("doc_id", "n", "s1", "s2").join(final, ["n", "s1", "s2"]).select("doc_id", "n", "comp")
     lone = feats.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("comp"))
     out = scratch.put(known.unionByName(lone), "out")
-    scratch.drop(feats, classes, reps, live, pool, star, placed, rest)
+    scratch.drop(feats, classes, reps, live, pool, star, placed, open_, most, rest)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
