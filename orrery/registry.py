@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from orrery.plans import q_core
+
+QUERIES = dict(q_core.QUERIES)
+SQL = dict(q_core.SQL)
