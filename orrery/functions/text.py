@@ -29,18 +29,18 @@ def drop_noise(c: Column) -> Column:
 
 def sentences(c: Column, least: int = 0) -> Column:
     """Split after . ! ? and blanks; pieces of fewer than ``least`` characters go."""
-    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x))
     return F.filter(parts, lambda s: F.length(s) >= least)
 
 
 def sentences_cjk(c: Column, longer_than: int = 3, semicolons: bool = False) -> Column:
     p = r"(?<=[。！？.!?;；])\s*" if semicolons else r"(?<=[。！？.!?])\s*"
-    return F.filter(F.transform(F.split(c, p), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(c, p), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)
 
 
 def title(source_file: Column, text: Column) -> Column:
     named = F.replace(F.regexp_replace(source_file, r"\.md$", ""), F.lit("_"), F.lit(" "))
-    first = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: (F.length(s) > 0) & (F.length(s) < 100))
+    first = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda s: (F.length(s) > 0) & (F.length(s) < 100))
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit("")), F.try_element_at(first, F.lit(1)), F.lit("未命名文档"))
 
 
@@ -48,7 +48,7 @@ def alias_entities(text: Column, aliases: dict[str, list[str]] | None = None) ->
     """Canonical names any alias of which the text contains, and `quoted code`, sorted."""
     low = F.lower(text)
     found = [F.when(F.lit(False) | _any(low, [a.lower() for a in al]), F.lit(c)) for c, al in (aliases or L.ALIASES).items()]
-    code = F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), 1), F.trim)
+    code = F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), 1), lambda x: F.trim(x))
     return F.array_sort(F.array_union(F.array_compact(F.array(*found)), code))
 
 
@@ -178,7 +178,7 @@ def file_name(title_: Column) -> Column:
 
 
 def doc_terms_fallback(text: Column) -> Column:
-    return F.slice(F.filter(F.transform(F.split(F.substring(text, 1, 500), "。"), F.trim), lambda s: F.length(s) > 5), 1, 3)
+    return F.slice(F.filter(F.transform(F.split(F.substring(text, 1, 500), "。"), lambda x: F.trim(x)), lambda s: F.length(s) > 5), 1, 3)
 
 
 # -- norms and masses -------------------------------------------------------------------------------------------

@@ -84,7 +84,7 @@ def role_bridge(cooc: DataFrame, mentions: DataFrame, least: int = 3, spread: in
 
 
 def _paragraph_sentences(spheres: DataFrame, least: int) -> DataFrame:
-    paras = F.filter(F.transform(F.split("text", "\n\n"), F.trim), lambda p: F.length(p) > 20)
+    paras = F.filter(F.transform(F.split("text", "\n\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 20)
     d = spheres.select("id", "source_file", F.posexplode(F.flatten(F.transform(paras, lambda p: X.sentences(p)))).alias("i", "s"))
     return d.where(F.length("s") >= least)
 

@@ -32,7 +32,7 @@ def bridge(edges: DataFrame, a: str, b: str, levels: int = 4, least: float = 0.1
     kind = lambda n: F.when(n == 0, "self").when(n == 1, "direct").when(n <= 3, "short").otherwise("long")
     if a == b:
         return spark.createDataFrame([(a, b, True, [a], 0, "self")], "a string, b string, found boolean, path array<string>, length int, kind string")
-    e = edges.where(F.col("weight") >= least).select("src", "dst")
+    e = edges.where(F.col("weight") >= least).select("src", "dst").persist()  # read once a level
     side = lambda x: _start(edges, [x]).select("id", F.array("id").alias("path"))
     seen, front = {0: side(a), 1: side(b)}, {0: side(a), 1: side(b)}
     meet = None
@@ -47,6 +47,7 @@ def bridge(edges: DataFrame, a: str, b: str, levels: int = 4, least: float = 0.1
         meet = row.first()
         if meet is not None:
             break
+    e.unpersist()
     path = list(meet.p) if meet is not None else []
     n = len(path) - 1
     out = spark.createDataFrame([(a, b, bool(path), path, n)], "a string, b string, found boolean, path array<string>, length int")

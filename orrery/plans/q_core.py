@@ -484,3 +484,14 @@ def reply_rerank(spark, d):
     c = R.candidates(X.spheres(spark, d), X.query_vector(spark, d)).withColumn("query_id", F.lit("0"))
     reply = F.when(F.col("seq") % 3 == 0, "none").otherwise(F.concat(F.lit("score: "), (1 + F.col("seq") % 5).cast("string")))
     return R.rerank_by_reply(c, reply)
+
+
+def as_double(name: str, *cols: str) -> None:
+    """The SQL form with decimal columns as doubles."""
+    SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)}) FROM ({SQL[name]})"
+
+
+as_double("kb_counts", "avg_norm", "min_norm", "max_norm")
+as_double("set_norms", "poincare_norm")
+as_double("mass_stats", "min", "max", "median")
+as_double("scalar_norms", "by_level", "jump")
