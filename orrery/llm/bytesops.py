@@ -87,7 +87,11 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     s = np.zeros(len(data) + 1, dtype=U64)
     if len(data):
         p, _ = powers(len(data) + 1)
-        np.cumsum((data.astype(U64) + U64(1)) * p[: len(data)], out=s[1:])
+        x = s[1:]
+        x[:] = data
+        x += U64(1)
+        x *= p[: len(data)]
+        np.cumsum(x, out=x)
     return s
 
 

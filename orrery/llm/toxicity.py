@@ -59,6 +59,31 @@ def words(data: np.ndarray, offs: np.ndarray):
     return row, uniq, inv, (gram >> 7) % GRAMS, word
 
 
+def words_of_all(texts: list[bytes], max_bytes: int = 1 << 19):
+    """``words`` of many texts, cut up so that no array is as long as all their bytes."""
+    rows, uniqs, invs, grams, owners = [], [], [], [], []
+    i = base = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= max_bytes):
+            size += len(texts[j])
+            j += 1
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts[i:j]])]).astype(np.int64)
+        row, uniq, inv, gram, word = words(np.frombuffer(b"".join(texts[i:j]), np.uint8), offs)
+        for out, x in ((rows, row + i), (uniqs, uniq), (invs, inv + base), (grams, gram.astype(np.int32)), (owners, word + base)):
+            out.append(x)
+        base += len(uniq)
+        i = j
+    uniq, first, number = np.unique(np.concatenate(uniqs), return_index=True, return_inverse=True)
+    seen_first = np.zeros(base, bool)
+    seen_first[first] = True
+    word, gram = np.concatenate(owners), np.concatenate(grams)
+    keep = seen_first[word]
+    word, gram = number[word[keep]], gram[keep].astype(np.int64)
+    order = np.argsort(word, kind="stable")
+    return np.concatenate(rows), uniq, number[np.concatenate(invs)], gram[order], word[order]
+
+
 def windows(row: np.ndarray, n_rows: int):
     """(first word, words, row) of all windows: each ``STRIDE`` words, until a row's last word is in one."""
     n = np.bincount(row, minlength=n_rows)
@@ -212,10 +237,9 @@ def _gather(start, length, inv, pad):
     return np.where(mask, inv[np.minimum(at, len(inv) - 1)], pad), mask.astype(f32)
 
 
-def scores(net: Network, data: np.ndarray, offs: np.ndarray, chunk: int = 1024):
-    """(logit of each row's highest window, row has words), and the windows with their logits."""
-    n = len(offs) - 1
-    row, uniq, inv, gram, word = words(data, offs)
+def scores(net: Network, found, n: int, chunk: int = 1024):
+    """(logit of each row's highest window, row has words), and the windows with their logits; ``found`` as of ``words``."""
+    row, uniq, inv, gram, word = found
     start, length, doc = windows(row, n)
     logit = np.empty(len(doc), f32)
     if len(doc):
@@ -237,9 +261,8 @@ def train(sample: list[tuple[bytes, int]], share: float, *, rounds: int = 6, bat
     """(network, slope, intercept) from (text, label) pairs; share: of label 1 among all labelled rows."""
     rng = np.random.default_rng(seed)
     y = np.array([b for _, b in sample])
-    data = np.frombuffer(b"".join(t for t, _ in sample), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t, _ in sample])]).astype(np.int64)
-    row, uniq, inv, gram, word = words(data, offs)
+    found = words_of_all([t for t, _ in sample])
+    row, uniq, inv, gram, word = found
     gram_at = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(uniq)))])
     fit = rng.permutation(len(sample)) % 5 != 0  # the rest sets slope and intercept
     pairs = np.unique(row[fit[row]] * len(uniq) + inv[fit[row]])
@@ -269,7 +292,7 @@ def train(sample: list[tuple[bytes, int]], share: float, *, rounds: int = 6, bat
             chosen = np.flatnonzero(usable)
             chosen = chosen[rng.permutation(len(chosen))[: 4 * len(sample)]]
         else:
-            logit = scores(net, data, offs)[2][3]
+            logit = scores(net, found, len(sample))[2][3]
             order = np.lexsort((-logit, doc))
             top = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
             chance = order[rng.permutation(len(order))]
@@ -293,7 +316,7 @@ def train(sample: list[tuple[bytes, int]], share: float, *, rounds: int = 6, bat
                 at = gram_at[used][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 g = net.gradients(nums[used], gram[at], of, own, mask, y[doc[b]].astype(f32), weight[b].astype(f32))
                 adam.step(net.p, g)
-    best, has, _ = scores(net, data, offs)
+    best, has, _ = scores(net, found, len(sample))
     held = ~fit & has
     slope, shift = _calibrate(best[held], y[held], share) if len(set(y[held])) == 2 else (1.0, float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
     return net, slope, shift
@@ -353,7 +376,7 @@ def _score(model, share: float):
                 if net is None:
                     q = np.full(part.num_rows, share)
                 else:
-                    best, has, _ = scores(net, data, offs)
+                    best, has, _ = scores(net, words(data, offs), part.num_rows)
                     q = np.where(has, _sigmoid(slope * np.where(has, best, 0).astype(np.float64) + shift), share)
                 yield pa.RecordBatch.from_arrays([B.column(part, "doc_id"), pa.array(q)], names=["doc_id", "score"])
 
