@@ -35,11 +35,12 @@ def bridge(edges: DataFrame, a: str, b: str, levels: int = 4, least: float = 0.1
     e = edges.where(F.col("weight") >= least).select("src", "dst").persist()  # read once a level
     side = lambda x: _start(edges, [x]).select("id", F.array("id").alias("path"))
     seen, front = {0: side(a), 1: side(b)}, {0: side(a), 1: side(b)}
-    meet = None
+    meet, kept = None, [e]
     for k in range(2 * levels):
         s = k % 2
         nxt = e.join(front[s], e.src == front[s].id).groupBy("dst").agg(F.min(F.struct("id", "path")).alias("m"))
-        nxt = nxt.select(F.col("dst").alias("id"), F.concat("m.path", F.array("dst")).alias("path")).join(seen[s].select("id"), "id", "left_anti")
+        nxt = nxt.select(F.col("dst").alias("id"), F.concat("m.path", F.array("dst")).alias("path")).join(seen[s].select("id"), "id", "left_anti").persist()
+        kept.append(nxt)
         front[s], seen[s] = nxt, seen[s].unionByName(nxt)
         hit = front[s].join(seen[1 - s].select("id", F.col("path").alias("back")), "id")
         left, right = ("path", "back") if s == 0 else ("back", "path")
@@ -47,7 +48,8 @@ def bridge(edges: DataFrame, a: str, b: str, levels: int = 4, least: float = 0.1
         meet = row.first()
         if meet is not None:
             break
-    e.unpersist()
+    for df in kept:
+        df.unpersist()
     path = list(meet.p) if meet is not None else []
     n = len(path) - 1
     out = spark.createDataFrame([(a, b, bool(path), path, n)], "a string, b string, found boolean, path array<string>, length int")

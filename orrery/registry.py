@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import q_core, q_graph, q_text
+from orrery.plans import q_core, q_graph, q_stream, q_text
 
-QUERIES = q_core.QUERIES | q_text.QUERIES | q_graph.QUERIES
-SQL = q_core.SQL | q_text.SQL | q_graph.SQL
+QUERIES = q_core.QUERIES | q_text.QUERIES | q_graph.QUERIES | q_stream.QUERIES
+SQL = q_core.SQL | q_text.SQL | q_graph.SQL | q_stream.SQL
