@@ -13,11 +13,12 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from orrery.functions import text as T
 
 KINDS = ("pdf", "docx", "md", "markdown", "txt")
-PARSED = "text string, metadata map<string,string>, error string"
+PARSED = Y.StructType([Y.StructField("text", Y.StringType()), Y.StructField("metadata", Y.MapType(Y.StringType(), Y.StringType())), Y.StructField("error", Y.StringType())])
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
