@@ -2,8 +2,8 @@
 
 import pytest
 
-from conftest import assert_same
 from orrery import registry
+from same import assert_same
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
