@@ -96,58 +96,62 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=names)
 
 
-def _shard(key, tbl):
+def _shard(split: int):
     """Suffix array of a shard; repeated windows as intervals, and the classes of split anchors."""
-    doc, at, left, nf = (tbl.column(c).to_numpy() for c in ("doc_id", "at", "left", "nf"))
-    body, offs = B.text_view(tbl.column("body"))
-    n = len(offs) - 1
-    text = np.full(len(body) + n, SEPARATOR, np.uint8)
-    start = offs[:-1] + np.arange(n)  # of each fragment in the text
-    frag = np.repeat(np.arange(n), np.diff(offs))
-    text[np.arange(len(body)) + frag] = body
-    size = np.diff(offs)
-    usable = np.zeros(len(text), bool)
-    room = np.maximum(0, size - LENGTH + 1)
-    of = np.repeat(np.arange(n), room)
-    inner = np.arange(len(of)) - np.repeat(np.cumsum(room) - room, room)
-    usable[start[of] + inner] = True
-    sa = suffix_array(text)
-    _, reach = permuted_prefixes(text, sa, LENGTH, usable)
-    order = sa[usable[sa]]
-    cls = np.cumsum(~reach[order]) - 1
-    where = np.empty(len(text), np.int64)
-    where[start[of] + inner] = np.arange(len(of))
-    w = where[order]  # windows in the order of the suffix array
-    g_doc, g_at = doc[of[w]], (at - left)[of[w]] + inner[w]
-    by = np.lexsort((g_at, g_doc, cls))
-    first = by[np.flatnonzero(np.diff(cls[by], prepend=-1))]  # of each class, the window that starts first
-    repeated = np.ones(len(w), bool)
-    repeated[first] = False
-    # the same place of one document may stand in a class more than once, by way of neighbouring anchors
-    repeated &= ~((g_doc == g_doc[first][cls]) & (g_at == g_at[first][cls]))
-    r = np.lexsort((g_at[repeated], g_doc[repeated]))
-    rd, ra = g_doc[repeated][r], g_at[repeated][r]
-    begins = np.ones(len(rd), bool)
-    begins[1:] = (rd[1:] != rd[:-1]) | (ra[1:] - ra[:-1] > LENGTH)
-    begin = np.flatnonzero(begins)
-    last = np.append(begin[1:], len(rd)) - 1 if len(rd) else begin
-    wide = np.bincount(cls, nf[of[w]] > SPLIT, len(first)) > 0  # classes with a member that other shards may share
-    x = first[wide]
-    p = order[x]
-    sums = B.prefix_sums(text)
-    h1 = B.span_hashes(sums, p, p + LENGTH)
-    h2 = B.span_hashes(B.prefix_sums(np.ascontiguousarray(B.mix(text.astype(U) + U(7)).astype(np.uint8))), p, p + LENGTH)
-    cut, cl = len(begin), len(x)
-    return pa.table(
-        {
-            "kind": pa.array(["cut"] * cut + ["class"] * cl, pa.string()),
-            "doc_id": pa.array(np.concatenate([rd[begin], g_doc[x]])),
-            "start": pa.array(np.concatenate([ra[begin], g_at[x]])),
-            "stop": pa.array(np.concatenate([ra[last] + LENGTH, np.zeros(cl, np.int64)])),
-            "h1": pa.array(np.concatenate([np.zeros(cut, np.int64), h1.view(np.int64)])),
-            "h2": pa.array(np.concatenate([np.zeros(cut, np.int64), h2.view(np.int64)])),
-        }
-    )
+
+    def run(tbl):
+        doc, at, left, nf = (tbl.column(c).to_numpy() for c in ("doc_id", "at", "left", "nf"))
+        body, offs = B.text_view(tbl.column("body"))
+        n = len(offs) - 1
+        text = np.full(len(body) + n, SEPARATOR, np.uint8)
+        start = offs[:-1] + np.arange(n)  # of each fragment in the text
+        frag = np.repeat(np.arange(n), np.diff(offs))
+        text[np.arange(len(body)) + frag] = body
+        size = np.diff(offs)
+        usable = np.zeros(len(text), bool)
+        room = np.maximum(0, size - LENGTH + 1)
+        of = np.repeat(np.arange(n), room)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(room) - room, room)
+        usable[start[of] + inner] = True
+        sa = suffix_array(text)
+        _, reach = permuted_prefixes(text, sa, LENGTH, usable)
+        order = sa[usable[sa]]
+        cls = np.cumsum(~reach[order]) - 1
+        where = np.empty(len(text), np.int64)
+        where[start[of] + inner] = np.arange(len(of))
+        w = where[order]  # windows in the order of the suffix array
+        g_doc, g_at = doc[of[w]], (at - left)[of[w]] + inner[w]
+        by = np.lexsort((g_at, g_doc, cls))
+        first = by[np.flatnonzero(np.diff(cls[by], prepend=-1))]  # of each class, the window that starts first
+        repeated = np.ones(len(w), bool)
+        repeated[first] = False
+        # the same place of one document may stand in a class more than once, by way of neighbouring anchors
+        repeated &= ~((g_doc == g_doc[first][cls]) & (g_at == g_at[first][cls]))
+        r = np.lexsort((g_at[repeated], g_doc[repeated]))
+        rd, ra = g_doc[repeated][r], g_at[repeated][r]
+        begins = np.ones(len(rd), bool)
+        begins[1:] = (rd[1:] != rd[:-1]) | (ra[1:] - ra[:-1] > LENGTH)
+        begin = np.flatnonzero(begins)
+        last = np.append(begin[1:], len(rd)) - 1 if len(rd) else begin
+        wide = np.bincount(cls, nf[of[w]] > split, len(first)) > 0  # classes with a member that other shards may share
+        x = first[wide]
+        p = order[x]
+        sums = B.prefix_sums(text)
+        h1 = B.span_hashes(sums, p, p + LENGTH)
+        h2 = B.span_hashes(B.prefix_sums(np.ascontiguousarray(B.mix(text.astype(U) + U(7)).astype(np.uint8))), p, p + LENGTH)
+        cut, cl = len(begin), len(x)
+        return pa.table(
+            {
+                "kind": pa.array(["cut"] * cut + ["class"] * cl, pa.string()),
+                "doc_id": pa.array(np.concatenate([rd[begin], g_doc[x]])),
+                "start": pa.array(np.concatenate([ra[begin], g_at[x]])),
+                "stop": pa.array(np.concatenate([ra[last] + LENGTH, np.zeros(cl, np.int64)])),
+                "h1": pa.array(np.concatenate([np.zeros(cut, np.int64), h1.view(np.int64)])),
+                "h2": pa.array(np.concatenate([np.zeros(cut, np.int64), h2.view(np.int64)])),
+            }
+        )
+
+    return run
 
 
 def _keep(batches):
@@ -172,7 +176,7 @@ def _keep(batches):
         yield pa.RecordBatch.from_arrays([B.column(batch, "doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_spans(documents: DataFrame, scratch: Scratch, split: int = SPLIT, shard: int = SHARD) -> DataFrame:
     """(doc_id, start, stop) byte intervals whose union is what repeats earlier; intervals may overlap."""
     docs = texts(documents).where("doc_id is not null")
     long = docs.where(F.octet_length("text") >= LENGTH)
@@ -190,11 +194,11 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     differ = first.join(many, "a").select("a", "f", "nf", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"))
     per_doc = scratch.put(differ.groupBy("doc_id").agg(F.collect_list(F.struct("a", "f", "nf", "at")).alias("frags")), "differ")
     total = per_doc.agg(F.sum(F.size("frags")).alias("n")).first().n or 0
-    shards = max(1, -(-int(total) // SHARD))
+    shards = max(1, -(-int(total) // shard))
     cut = arrow_map(docs.join(per_doc, "doc_id"), _cut, "a long, f long, nf long, doc_id long, at long, left int, body binary")
-    salt = F.when(F.col("nf") > SPLIT, F.pmod(F.xxhash64("f"), F.ceil(F.col("nf") / SPLIT))).otherwise(F.lit(0))
-    shard = cut.withColumn("shard", F.pmod(F.xxhash64("a", salt), F.lit(shards)).cast("int")).groupBy("shard")
-    marks = scratch.put(shard.applyInArrow(_shard, "kind string, doc_id long, start long, stop long, h1 long, h2 long"), "marks")
+    salt = F.when(F.col("nf") > split, F.pmod(F.xxhash64("f"), F.ceil(F.col("nf") / split))).otherwise(F.lit(0))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("a", salt), F.lit(shards)).cast("int")).groupBy("shard")
+    marks = scratch.put(dealt.applyInArrow(_shard(split), "kind string, doc_id long, start long, stop long, h1 long, h2 long"), "marks")
     classes = marks.where("kind = 'class'").select("h1", "h2", "doc_id", "start")
     least = classes.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     late = classes.join(least, ["h1", "h2"]).where("struct(doc_id, start) <> first").select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
@@ -203,10 +207,10 @@ def repeated_spans(documents: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def dedup_substrings(documents: DataFrame) -> DataFrame:
+def dedup_substrings(documents: DataFrame, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     scratch = Scratch(documents.sparkSession)
-    cuts = repeated_spans(documents, scratch)
+    cuts = repeated_spans(documents, scratch, **limits)
     per_doc = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     docs = texts(documents)
     clipped = docs.join(per_doc, "doc_id", "left").withColumn("size", F.octet_length("text").cast("long"))

@@ -17,6 +17,7 @@ text of a special token counts as that one token, as the library does by default
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -29,7 +30,7 @@ from orrery.llm.common import arrow_map, table, texts
 MEMO = 300_000
 LIMIT = 1024
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Code points from here on may be letters in the library's Unicode tables and not yet in Python's.
+#: Code points from here on may be of another class in the library's Unicode tables than in Python's.
 _LATE = re.compile("[՘-\U0010ffff]")
 
 _COUNTERS: dict[str, PieceCounter] = {}
@@ -51,9 +52,19 @@ class PieceCounter:
             added = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.unassigned = regex.compile(r"\p{Cn}").search
+        self.assigned: dict[str, bool] = {}
         self.memo: dict[str, int] = {}
 
+    def _doubtful(self, text: str) -> bool:
+        """The text has code points on whose class Unicode versions differ."""
+        known = self.assigned
+        for c in set(text):
+            if c not in known:
+                known[c] = unicodedata.category(c) != "Cn"
+            if not known[c]:
+                return True
+        return False
+
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """(pre-tokens, number of special tokens)."""
         n = 0
@@ -64,7 +75,7 @@ class PieceCounter:
             parts = (text,)
         out: list[str] = []
         for p in parts:
-            if _LATE.search(p) and self.unassigned(p):
+            if _LATE.search(p) and self._doubtful(p):
                 out += [p[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(p)]
             else:
                 out += self.split(p)
