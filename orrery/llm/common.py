@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch carries to a worker; texts of 100 kB then make batches of 50 MB at most.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def configure(spark: SparkSession) -> None:
     """Small Arrow batches, and shuffle files that go when the query that made them ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

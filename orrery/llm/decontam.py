@@ -1,14 +1,16 @@
 """Benchmark decontamination: a document-sharded positional inverted index.
 
-Every shard (a run of training documents that one task holds) stores the postings
-(term -> document, position) of its tokens in term order.  A test window is answered by taking
-the posting list of its rarest term in the shard, shifting it by the term's offset, and
-intersecting the other terms' shifted lists from the next rarest on; the positions that survive
-are exact phrase matches.  ``near`` answers proximity queries from the same lists.
-
-Documents are the sharding key, so nothing is shuffled and no posting list, however common its
-term, ever leaves its shard.  The test windows travel to the tasks in blocks whose size is
-checked: a benchmark beyond ``block_bytes`` is searched block by block.
+The training documents are dealt into shards of about two million bytes.  A shard's postings (term to the
+numbers of its tokens, in term order, as differences) are stored as one row of the index table, beside its
+documents and their lengths.  A test window is answered shard by shard: the posting list of its rarest term
+in the shard is shifted by the term's offset, and the other terms' shifted lists are intersected from the
+next rarest on; the positions that survive are exact phrase matches.  ``near`` answers proximity queries
+from the same lists.
+
+Documents are the sharding key, so nothing is shuffled and no posting list, however common its term,
+leaves its shard.  The index holds the terms of the tests, or of all tokens if the tests have more than ``TERMS``
+terms.  The tests travel in blocks whose size is checked: those beyond ``block_bytes`` are searched block
+by block in the stored index.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no
 window; items with equal texts are both reported; repeated rows give repeated results; columns
@@ -25,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import bytesops as B
-from orrery.llm.common import arrow_map
+from orrery.llm.common import Scratch, arrow_map, table, texts
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
+TERMS = 4 << 20
+GAP = 1 << 16
+INDEX = "docs array<long>, words array<long>, terms binary, starts binary, steps binary"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
 
 
@@ -60,23 +65,62 @@ class TermLookup:
 
 
 class ShardIndex:
-    """Postings of one shard, in term order; a posting is the token's number in the shard.
+    """Postings of one shard in term order; a posting is the token's number in the shard.
 
-    Numbers of adjacent words of a document are adjacent; a gap of ``gap`` numbers between documents
-    keeps a phrase from crossing them.
+    Read for a search, numbers of adjacent words of a document are adjacent, and a gap between documents keeps a
+    phrase from crossing them.
     """
 
-    def __init__(self, tokens: np.ndarray, row: np.ndarray, lookup: TermLookup, gap: int = 1 << 16):
-        self.row = row
-        self.shift = row.astype(np.int64) * gap
-        at, term = lookup.find(tokens)
+    def __init__(self, terms: np.ndarray, starts: np.ndarray, post: np.ndarray, words: np.ndarray):
+        self.terms, self.starts, self.words = terms, starts, words
+        self.first = np.concatenate([[0], np.cumsum(words)])
+        row = np.searchsorted(self.first[1:], post, side="right")
+        self.post = post + row * GAP
+
+    @classmethod
+    def pack(cls, tokens: np.ndarray, row: np.ndarray, n: int, keep: TermLookup | None) -> list:
+        """The stored form of a shard's tokens: words of each document, terms, starts and steps of the lists."""
+        if keep is None:
+            terms, term = np.unique(tokens, return_inverse=True)
+            at = np.arange(len(tokens))
+        else:
+            at, term = keep.find(tokens)
+            used, term = np.unique(term, return_inverse=True)
+            terms = keep.terms[used]
         order = np.argsort(term, kind="stable")
-        self.post = (at + self.shift[at])[order]
-        self.starts = np.searchsorted(term[order], np.arange(len(lookup.terms) + 1))
-        self.df = np.diff(self.starts)
+        post = at[order].astype(np.int64)
+        starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        steps = np.diff(post, prepend=0)
+        steps[starts[:-1]] = post[starts[:-1]]
+        return [np.bincount(row, minlength=n), terms, starts.astype(np.uint32), steps.astype(np.uint32)]
+
+    @classmethod
+    def unpack(cls, words: list[int], terms: bytes, starts: bytes, steps: bytes) -> ShardIndex:
+        starts_ = np.frombuffer(starts, np.uint32).astype(np.int64)
+        post = np.cumsum(np.frombuffer(steps, np.uint32).astype(np.int64))
+        size = np.diff(starts_)
+        before = np.where(starts_[:-1] > 0, post[np.maximum(starts_[:-1] - 1, 0)], 0) if len(post) else starts_[:-1]
+        return cls(np.frombuffer(terms, np.uint64), starts_, post - np.repeat(before, size), np.array(words, np.int64))
+
+    def among(self, terms: np.ndarray) -> Postings:
+        """The lists of the given (sorted) terms, by their number there."""
+        k = np.searchsorted(self.terms, terms)
+        has = k < len(self.terms)
+        has[has] = self.terms[k[has]] == terms[has]
+        k = np.where(has, k, 0)
+        low = self.starts[k] if len(self.terms) else np.zeros(len(terms), np.int64)
+        high = np.where(has, self.starts[np.minimum(k + 1, len(self.starts) - 1)], low)
+        return Postings(self.post, low, high)
+
+
+class Postings:
+    """Posting lists by term number, for one block of tests in one shard."""
+
+    def __init__(self, post: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.post, self.low, self.high, self.df = post, low, high, high - low
 
     def list(self, term: int) -> np.ndarray:
-        return self.post[self.starts[term] : self.starts[term + 1]]
+        return self.post[self.low[term] : self.high[term]]
 
     @staticmethod
     def _within(pos: np.ndarray, lst: np.ndarray) -> np.ndarray:
@@ -105,8 +149,6 @@ class ShardIndex:
             if not len(pos):
                 break
             lst = self.list(terms[j])
-            if not len(lst):
-                return pos[:0]
             k = np.searchsorted(lst, pos - slop)
             pos = pos[(k < len(lst)) & (lst[np.minimum(k, len(lst) - 1)] <= pos + slop)]
         return pos
@@ -143,7 +185,7 @@ class Windows:
         for k, w in enumerate(self.terms):
             self.matrix[k, : len(w)] = w
 
-    def search(self, index: ShardIndex) -> list[tuple[int, np.ndarray]]:
+    def search(self, index: Postings) -> list[tuple[int, np.ndarray]]:
         """(window, start positions) of the windows that occur in the shard."""
         if not len(self.terms):
             return []
@@ -156,49 +198,59 @@ class Windows:
         return found
 
 
-def _search(blocks, width: int, num: int, den: int):
+def _index(keep):
     def run(batches):
-        wins = [Windows(items, width) for items in blocks.value]
+        lookup = TermLookup(keep.value) if keep is not None else None
         for batch in batches:
             for part, data, offs in B.slices(batch):
                 tok, row = tokenize(data, offs)
-                n = part.num_rows
-                first = np.searchsorted(row, np.arange(n + 1))
-                cover = np.zeros(len(tok) + 1, np.int64)
-                gap = 1 << 16
+                words, terms, starts, steps = ShardIndex.pack(tok, row, part.num_rows, lookup)
+                one = lambda x, t: pa.array([x], t)
+                yield pa.RecordBatch.from_arrays(
+                    [one(B.column(part, "doc_id").to_pylist(), pa.list_(pa.int64())), one(words.tolist(), pa.list_(pa.int64())), *(one(x.tobytes(), pa.binary()) for x in (terms, starts, steps))],
+                    names=["docs", "words", "terms", "starts", "steps"],
+                )
+
+    return run
+
+
+def build_index(docs: DataFrame, scratch: Scratch, terms: np.ndarray | None = None) -> DataFrame:
+    """The stored index of the documents: a row a shard.  ``terms``: hashes to keep, or None for all."""
+    keep = docs.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
+    return scratch.put(arrow_map(texts(docs), _index(keep), INDEX), "postings")
+
+
+def _search(block, width: int, num: int, den: int):
+    def run(batches):
+        tests = Windows(block.value, width)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                index = ShardIndex.unpack(r["words"], r["terms"], r["starts"], r["steps"])
+                first, n = index.first, len(index.words)
+                cover = np.zeros(int(first[-1]) + 1, np.int64)
                 hits: list[set[str]] = [set() for _ in range(n)]
-                for w in wins:
-                    index = ShardIndex(tok, row, w.lookup, gap)
-                    for k, pos in w.search(index):
-                        doc = np.searchsorted(first[1:] + np.arange(n, dtype=np.int64) * gap, pos, side="right")
-                        at = pos - doc * gap
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + w.size[k], -1)
-                        for d in np.unique(doc):
-                            hits[d].update(w.ids[i] for i in w.items[k])
+                for k, pos in tests.search(index.among(tests.lookup.terms)):
+                    doc = np.searchsorted(first[1:] + np.arange(n, dtype=np.int64) * GAP, pos, side="right")
+                    at = pos - doc * GAP
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + tests.size[k], -1)
+                    for d in np.unique(doc):
+                        hits[d].update(tests.ids[i] for i in tests.items[k])
                 inside = np.cumsum(cover[:-1]) > 0
-                words = np.diff(first)
-                n_hit = np.bincount(row[inside], minlength=n)
+                n_hit = np.add.reduceat(np.append(inside, False).astype(np.int64), first[:-1]) if n else np.zeros(0, np.int64)
+                n_hit[index.words == 0] = 0
                 names = [sorted(h) for h in hits]
-                edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-                a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                runs: list[list[dict]] = [[] for _ in range(n)]
-                for s, e in zip(a.tolist(), z.tolist()):
-                    while s < e:  # a run of hit words may go on in the next document
-                        d = int(row[s])
-                        stop = min(e, int(first[d + 1]))
-                        runs[d].append({"start": s - int(first[d]), "end": stop - int(first[d])})
-                        s = stop
                 yield pa.RecordBatch.from_arrays(
                     [
-                        B.column(part, "doc_id"),
-                        pa.array(words.astype(np.int64)),
-                        pa.array(n_hit.astype(np.int64)),
+                        pa.array(r["docs"], pa.int64()),
+                        pa.array(index.words),
+                        pa.array(n_hit),
                         pa.array([len(x) for x in names], pa.int64()),
                         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
-                        pa.array((n_hit > 0) & (den * n_hit >= num * words)),
+                        pa.array((n_hit > 0) & (den * n_hit >= num * index.words)),
                         pa.array(names, pa.list_(pa.string())),
-                        pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                        pa.array(_runs(inside, first), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"],
                 )
@@ -206,6 +258,19 @@ def _search(blocks, width: int, num: int, den: int):
     return run
 
 
+def _runs(inside: np.ndarray, first: np.ndarray) -> list[list[dict]]:
+    """The runs of hit words of each document; a run of the shard may go on in the next document."""
+    runs: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        while s < e:
+            d = int(np.searchsorted(first, s, side="right")) - 1
+            stop = min(e, int(first[d + 1]))
+            runs[d].append({"start": s - int(first[d]), "end": stop - int(first[d])})
+            s = stop
+    return runs
+
+
 def _blocks(items: DataFrame, limit: int):
     """Blocks of (id, text) of at most ``limit`` bytes (one larger item makes its own block)."""
     block, size = [], 0
@@ -220,26 +285,24 @@ def _blocks(items: DataFrame, limit: int):
         yield block
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, num: int = 1, den: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, num: int = 1, den: int = 20, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: words, words inside occurring windows, items hit, hit word spans.
 
     A document is contaminated if it has hit words and den * n_hit >= num * n_words.
-    A block is broadcast by itself; a benchmark that fits one block (the usual case) costs one pass.
+    A block is broadcast by itself; tests that fit one block (the usual case) cost one pass over the index.
     Larger ones cost a pass a block, joined by document at the end.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = list(_block_refs(spark, items, block_bytes)) or [spark.sparkContext.broadcast([[]])]
-    parts = [arrow_map(src, _search(b, width, num, den), SCHEMA) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    return _merge(parts, num, den)
-
-
-def _block_refs(spark, items: DataFrame, limit: int):
-    for block in _blocks(items, limit):
-        yield spark.sparkContext.broadcast([block])
+    blocks, terms = [], [np.zeros(0, np.uint64)]
+    for block in _blocks(items, block_bytes):
+        blocks.append(spark.sparkContext.broadcast(block))
+        if terms is not None:
+            terms = [np.unique(np.concatenate([*terms, Windows(block, width).lookup.terms]))]
+            terms = terms if len(terms[0]) <= TERMS else None
+    index = build_index(docs, scratch or Scratch(spark), terms[0] if terms is not None else None)
+    parts = [arrow_map(index, _search(b, width, num, den), SCHEMA) for b in blocks or [spark.sparkContext.broadcast([])]]
+    return parts[0] if len(parts) == 1 else _merge(parts, num, den)
 
 
 def _merge(parts: list[DataFrame], num: int, den: int) -> DataFrame:
@@ -265,6 +328,4 @@ def _merge(parts: list[DataFrame], num: int, den: int) -> DataFrame:
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from orrery.llm.common import table
-
     return match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -308,7 +308,7 @@ def test_gradients():
 # -- decontamination
 
 
-def test_decontamination_odd_rows(spark, docs_of, odd):
+def test_decontamination_odd_rows(spark, docs_of, odd, monkeypatch):
     item = " ".join(f"q{k}" for k in range(20))
     rows = odd + [(50, "x " * 30 + item + " y" * 30), (51, item.upper()), (52, " ".join(item.split()[:12])), (53, "short item"), (54, "x-short-ITEM-y"), (55, " ".join(["w"] * 400) + " " + " ".join(item.split()[3:16]))]
     bench = spark.createDataFrame([(1, item, 9), (2, None, 9), (3, "", 9), (4, "short item", 9), (10, item, 9)], "item_id long, text string, doc_id int")
@@ -322,6 +322,8 @@ def test_decontamination_odd_rows(spark, docs_of, odd):
     split = decontam.match_benchmark(docs_of(rows), bench, block_bytes=80)
     same = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect())
     assert same(split) == same(decontam.match_benchmark(docs_of(rows), bench))
+    monkeypatch.setattr(decontam, "TERMS", 3)  # then the index holds all tokens
+    assert same(decontam.match_benchmark(docs_of(rows), bench)) == same(split)
     assert decontam.match_benchmark(docs_of(rows), bench.where("false")).where("n_hit > 0").count() == 0
 
 
@@ -330,5 +332,7 @@ def test_proximity():
     data, offs = np.frombuffer(b"".join(enc), np.uint8), np.cumsum([0, *map(len, enc)]).astype(np.int64)
     tok, row = decontam.tokenize(data, offs)
     look = decontam.TermLookup(decontam.tokenize(np.frombuffer(b"alpha beta", np.uint8), np.array([0, 10]))[0])
-    index = decontam.ShardIndex(tok, row, look)
-    assert len(index.near(np.array([0, 1]), 3)) == 2 and len(index.near(np.array([0, 1]), 2)) == 1
+    for keep in (look, None):
+        words, *lists = decontam.ShardIndex.pack(tok, row, 3, keep)
+        index = decontam.ShardIndex.unpack(words.tolist(), *(x.tobytes() for x in lists)).among(look.terms)
+        assert len(index.near(np.array([0, 1]), 3)) == 2 and len(index.near(np.array([0, 1]), 2)) == 1
