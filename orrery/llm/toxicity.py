@@ -9,7 +9,7 @@ text, made a probability by a logistic fit on training texts that the network ha
 Documents carry labels and windows don't, so training alternates: score all windows of the training
 texts, keep the highest of each toxic text and the highest and a chance one of each clean text, learn.
 
-Training texts: at most ``per_class`` of either label, in the order of a hash of the id, of at most
+Training texts: at most ``per_class`` of label 0 and of label 1, in the order of a hash of the id, of at most
 ``max_bytes`` each.  That bound is the only one; every text is scored over its whole length.
 
 Defined results: null and empty texts, and texts without a word, get the share of label 1 among the
@@ -31,8 +31,9 @@ WIDTH, STRIDE = 64, 48
 DIM, HIDDEN, ATTEND = 12, 12, 8
 GRAMS = 1 << 15
 VOCAB = 1 << 15
-PER_CLASS = 1200
-MAX_BYTES = 1 << 14
+#: Training texts of label 0 and of label 1 at most, and the bytes of each.
+PER_CLASS = (3600, 1200)
+MAX_BYTES = 1 << 13
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 f32 = np.float32
@@ -123,7 +124,11 @@ class Network:
         """(input vectors of distinct words, trigrams of each)."""
         n = np.bincount(word, minlength=len(num)).astype(f32)
         first = np.cumsum(n).astype(np.int64) - n.astype(np.int64)
-        mean = np.add.reduceat(self.p["gram"][gram], first, axis=0) / n[:, None] if len(num) else np.zeros((0, DIM), f32)
+        mean = np.empty((len(num), DIM), self.p["gram"].dtype)
+        for i in range(0, len(num), 1 << 15):  # so that the vectors of all trigrams are never there at once
+            j = min(i + (1 << 15), len(num))
+            lo, hi = first[i], first[j] if j < len(num) else len(gram)
+            mean[i:j] = np.add.reduceat(self.p["gram"][gram[lo:hi]], first[i:j] - lo, axis=0) / n[i:j, None]
         return np.concatenate([self.p["word"][num], mean], axis=1), n
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -354,7 +359,7 @@ def _calibrate(logit: np.ndarray, y: np.ndarray, share: float) -> tuple[float, f
     return float(at[0]), float(at[1])
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> tuple[list[tuple[bytes, int]], float]:
+def sample_rows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> tuple[list[tuple[bytes, int]], float]:
     """The bounded training sample and the share of label 1 among all labelled training rows."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -362,8 +367,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     short = texts(docs).where(F.octet_length("text") <= max_bytes)
     rows = []
     for kind in (0, 1):
-        ids = lab.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
-        picked = short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        ids = lab.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class[kind])
+        picked = short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[kind])
         rows += [(r.text.encode("utf-8", "replace"), kind) for r in picked.select("text").toLocalIterator()]
     return rows, float(share or 0.0)
 
@@ -383,7 +388,7 @@ def _score(model, share: float):
     return run
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from the rows of ``labels`` that aren't held out."""
     spark = docs.sparkSession
     sample, share = sample_rows(docs, labels, per_class)
