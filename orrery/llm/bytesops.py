@@ -68,9 +68,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n; tables for long texts aren't kept."""
     size = 1 << max(16, int(n).bit_length())
-    p, q = _powers(size)
-    return p, q
+    return _powers(size) if size <= 1 << 22 else _powers.__wrapped__(int(n))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -37,6 +37,8 @@ LENGTH, ANCHOR = 100, 40
 SIDE = LENGTH - ANCHOR
 #: Fragments of one anchor that may share a shard, and fragments a shard holds.
 SPLIT, SHARD = 4096, 8192
+#: Window starts of a long text that are handled at a time.
+CHUNK = 4 << 20
 SEPARATOR = 0xFF  # no byte of UTF-8
 U = np.uint64
 
@@ -51,8 +53,8 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, offs: np.ndarray):
-    """(row, place in the row, anchor hash, fragment hash) of the anchors of all windows."""
+def anchors(data: np.ndarray, offs: np.ndarray, first: int = 0, last: int | None = None):
+    """(row, place in the row, anchor hash, fragment hash) of the anchors of all windows that start in [first, last)."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
@@ -65,6 +67,8 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     windows = _slide(h, SIDE + 1, np.minimum)  # one for each start
     for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist()):
         windows[max(lo, hi - LENGTH + 1) : hi] = 0  # those that leave their row
+    windows[:first] = 0
+    windows[last if last is not None else len(windows) :] = 0
     pad = np.zeros(SIDE, U)
     best = _slide(np.concatenate([pad, windows, pad]), SIDE + 1, np.maximum)
     pos = np.flatnonzero((h == best) & (best > 0))
@@ -74,12 +78,31 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     return row, pos - offs[row], h[pos], frag
 
 
-def _anchor_rows(batches):
-    for batch in batches:
-        for part, data, offs in B.slices(batch, max_bytes=1 << 20):
-            row, at, a, f = anchors(data, offs)
-            ids = B.column(part, "doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(B.signed(a)), pa.array(B.signed(f)), pa.array(ids[row]), pa.array(at)], names=["a", "f", "doc_id", "at"])
+def pieces(data: np.ndarray, chunk: int):
+    """Anchors of one long text, chunk by chunk; a piece reaches as far to either side as its fragments do.
+
+    An anchor of windows on both sides of a cut comes twice, which changes nothing later on.
+    """
+    for c in range(0, max(1, len(data) - LENGTH + 1), chunk):
+        lo = max(0, c - SIDE)
+        part = data[lo : c + chunk + LENGTH + SIDE]
+        _, at, a, f = anchors(part, np.array([0, len(part)]), c - lo, c - lo + chunk)
+        yield at + lo, a, f
+
+
+def _anchor_rows(chunk: int):
+    def run(batches):
+        for batch in batches:
+            for part, data, offs in B.slices(batch, max_bytes=1 << 20):
+                ids = B.column(part, "doc_id").to_numpy(zero_copy_only=False)
+                if part.num_rows == 1 and len(data) > chunk:
+                    found = ((np.zeros(len(at), np.int64), at, a, f) for at, a, f in pieces(data, chunk))
+                else:
+                    found = [anchors(data, offs)]
+                for row, at, a, f in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(B.signed(a)), pa.array(B.signed(f)), pa.array(ids[row]), pa.array(at)], names=["a", "f", "doc_id", "at"])
+
+    return run
 
 
 def _cut(batches):
@@ -176,11 +199,11 @@ def _keep(batches):
         yield pa.RecordBatch.from_arrays([B.column(batch, "doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(documents: DataFrame, scratch: Scratch, split: int = SPLIT, shard: int = SHARD) -> DataFrame:
+def repeated_spans(documents: DataFrame, scratch: Scratch, split: int = SPLIT, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, start, stop) byte intervals whose union is what repeats earlier; intervals may overlap."""
     docs = texts(documents).where("doc_id is not null")
     long = docs.where(F.octet_length("text") >= LENGTH)
-    rows = arrow_map(long, _anchor_rows, "a long, f long, doc_id long, at long")
+    rows = arrow_map(long, _anchor_rows(chunk), "a long, f long, doc_id long, at long")
     often = scratch.put(rows.groupBy("a").count().where("count > 1").select("a"), "often")  # a table, so that a hot anchor's join can be split
     found = scratch.put(rows.join(often.hint("shuffle_hash"), "a"), "anchors")
     first = found.groupBy("a", "f").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("c"))

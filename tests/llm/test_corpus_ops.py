@@ -224,7 +224,16 @@ def test_substrings_odd_rows(spark, docs_of, odd):
     rows = list(odd) + [(20 + k, word(r.randint(0, 80)) + passage[r.randint(0, 30) :] + word(r.randint(0, 80))) for k in range(60)]
     rows += [(200, "ab" * 300), (201, "x" + "ab" * 100), (202, passage + passage), (203, passage[:100]), (204, passage[:99])]
     assert removed(substring_dedup.dedup_substrings(docs_of(rows))) == brute_substrings(rows)
-    assert removed(substring_dedup.dedup_substrings(docs_of(rows), split=4, shard=8)) == brute_substrings(rows)
+    assert removed(substring_dedup.dedup_substrings(docs_of(rows), split=4, shard=8, chunk=50)) == brute_substrings(rows)
+
+
+def test_anchors_of_pieces():
+    r = np.random.default_rng(5)
+    data = r.integers(97, 101, 3000).astype(np.uint8)
+    _, at, a, f = substring_dedup.anchors(data, np.array([0, 3000]))
+    for chunk in (64, 100, 777, 5000):
+        got = {x for p in substring_dedup.pieces(data, chunk) for x in zip(*(y.tolist() for y in p))}
+        assert got == set(zip(at.tolist(), a.tolist(), f.tolist()))
 
 
 def test_suffix_arrays():
