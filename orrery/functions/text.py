@@ -181,6 +181,18 @@ def doc_terms_fallback(text: Column) -> Column:
     return F.slice(F.filter(F.transform(F.split(F.substring(text, 1, 500), "。"), lambda x: F.trim(x)), lambda s: F.length(s) > 5), 1, 3)
 
 
+def frequent_words(text: Column) -> Column:
+    """Words of the first 500 characters that may stand for entities, with repeats."""
+    return F.filter(F.regexp_extract_all(F.substring(text, 1, 500), F.lit(r"[一-鿿A-Za-z]{2,}"), 0), lambda w: ~w.isin(L.STOP_ENTITY))
+
+
+def heading(text: Column) -> Column:
+    """struct(level, title) of the first heading of two signs and more in the first 200 characters, else null."""
+    head = F.substring(text, 1, 200)
+    marks, name = F.regexp_extract(head, r"(?m)^##(#*)\s+(.+)$", 1), F.regexp_extract(head, r"(?m)^##(#*)\s+(.+)$", 2)
+    return F.when(name != "", F.struct((F.length(marks) + 1).alias("level"), F.trim(name).alias("title")))
+
+
 # -- norms and masses -------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import lexicon as L
 from orrery.functions import text as X
-from orrery.operators.scan import similar_pairs
+from orrery.operators.scan import cross_pairs, similar_pairs
 
 MIN_WEIGHT = 0.1
 
@@ -161,24 +161,26 @@ def build(spheres: DataFrame, *, threshold: float = 0.5, mentions: DataFrame | N
 
 
 def incremental(new: DataFrame, existing: DataFrame, *, same: float = 0.6, other: float = 0.5, mentions: DataFrame | None = None, cap: int = 50) -> DataFrame:
-    """New spheres against existing ones by a cascade of rules; the first that holds sets the weight."""
-    from orrery.functions.vectors import cosine
-
-    x = new.select(F.col("id").alias("src"), F.col("embedding").alias("v"), F.col("cluster_id").alias("cx"), F.col("source_file").alias("fx"))
-    y = existing.select(F.col("id").alias("dst"), F.col("embedding").alias("w"), F.col("cluster_id").alias("cy"), F.col("source_file").alias("fy"))
-    d = x.crossJoin(y).where("src <> dst").withColumn("s", cosine(F.col("v"), F.col("w")))
-    shared = F.lit(0)
-    ratio = F.lit(0.0)
+    """New spheres against existing ones by a cascade of rules; the first that holds sets the weight.
+
+    Pairs come from the similarity and the entity join; one file alone weighs too little to make an edge.
+    """
+    sims = cross_pairs(new, existing, min(same, other))
+    found = sims.withColumn("ratio", F.lit(None).cast("double"))
     if mentions is not None:
-        sets = mentions.groupBy("sphere_id").agg(F.collect_set("entity_id").alias("e"))
-        d = d.join(sets.toDF("src", "ex"), "src", "left").join(sets.toDF("dst", "ey"), "dst", "left")
-        shared = F.coalesce(F.size(F.array_intersect("ex", "ey")), F.lit(0))
-        ratio = shared / F.greatest(F.size(F.array_union("ex", "ey")), F.lit(1))
+        m = mentions.select("sphere_id", "entity_id").distinct()
+        size = m.groupBy("sphere_id").agg(F.count(F.lit(1)).alias("n"))
+        x = m.join(new.select(F.col("id").alias("sphere_id")), "sphere_id").withColumnRenamed("sphere_id", "src")
+        y = m.join(existing.select(F.col("id").alias("sphere_id")), "sphere_id").withColumnRenamed("sphere_id", "dst")
+        shared = x.join(y, "entity_id").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+        shared = shared.join(size.toDF("src", "ns"), "src").join(size.toDF("dst", "nd"), "dst").select("src", "dst", (F.col("c") / (F.col("ns") + F.col("nd") - F.col("c"))).alias("ratio"))
+        found = sims.join(shared, ["src", "dst"], "full")
+    of = lambda df, c, k: df.select(F.col("id").alias(c), F.col("cluster_id").alias(k))
+    d = found.join(of(new, "src", "cx"), "src").join(of(existing, "dst", "cy"), "dst")
     weight = (
-        F.when((F.col("cx") == F.col("cy")) & (F.col("s") > same), 0.6 * (0.7 + 0.3 * F.col("s")))
-        .when(shared >= 2, 0.4 * (0.6 + 0.4 * ratio))
-        .when((F.col("cx") != F.col("cy")) & (F.col("s") > other), 0.3 * (0.6 + 0.4 * F.col("s")))
-        .when(F.col("fx") == F.col("fy"), F.lit(0.06))
+        F.when((F.col("cx") == F.col("cy")) & (F.col("sim") > same), 0.6 * (0.7 + 0.3 * F.col("sim")))
+        .when(F.col("ratio").isNotNull(), 0.4 * (0.6 + 0.4 * F.col("ratio")))
+        .when((F.col("cx") != F.col("cy")) & (F.col("sim") > other), 0.3 * (0.6 + 0.4 * F.col("sim")))
     )
     w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
     kept = d.withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)

@@ -92,6 +92,14 @@ def force(semantic: Column, term: Column, field: Column, social: Column, weights
     return weights[0] * semantic + weights[1] * term + weights[2] * field + weights[3] * social
 
 
+def with_feedback(cands: DataFrame, events: DataFrame, like: float = 0.05, dislike: float = 0.1, dormant: float = 0.98) -> DataFrame:
+    """cands (id, score) adjusted by events (id, kind): likes raise, dislikes lower, ids without an event fade."""
+    e = events.groupBy("id").agg(F.count_if(F.col("kind") == "like").alias("up"), F.count_if(F.col("kind") == "dislike").alias("down"))
+    d = cands.join(e, "id", "left")
+    moved = F.col("score") * (1 + like * F.coalesce("up", F.lit(0)) - dislike * F.coalesce("down", F.lit(0)))
+    return d.select("id", F.when(F.col("up").isNull(), F.col("score") * dormant).otherwise(F.greatest(F.lit(0.0), moved)).alias("score"))
+
+
 def expand_concepts(hits: DataFrame, spheres: DataFrame) -> DataFrame:
     """Hit concepts (level 1) also bring in their active children."""
     kids = hits.join(spheres.where("level = 1").select("id", "child_ids"), "id").select(F.explode("child_ids").alias("id"))

@@ -89,3 +89,25 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, block: int = 1024, ca
         return pa.table({k: data[k] for k in order})
 
     return dealt.groupBy("x", "y").applyInArrow(run, out_schema)
+
+
+def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, *, block: int = 1024) -> DataFrame:
+    """src, dst, sim: pairs of a left and a right row (other ids) whose cosine exceeds the threshold, block by block."""
+    nl, nr = (max(1, -(-df.count() // block)) for df in (left, right))
+    rows = lambda df, n, own, other, m, side: df.select("id", "embedding").where("embedding is not null").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("x", "y", F.lit(side).alias("asks"), "id", "embedding")
+    both = rows(left, nl, "x", "y", nr, True).unionByName(rows(right, nr, "y", "x", nl, False))
+
+    def run(tbl):
+        ask = tbl.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        m = matrix(tbl.column("embedding").combine_chunks())
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        ids = np.array(tbl.column("id").to_pylist(), object)
+        a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
+        s = m[a] @ m[b].T
+        i, j = np.nonzero(s > threshold)
+        keep = ids[a[i]] != ids[b[j]]
+        i, j = i[keep], j[keep]
+        return pa.table({"src": pa.array(ids[a[i]], pa.string()), "dst": pa.array(ids[b[j]], pa.string()), "sim": pa.array(s[i, j])})
+
+    return both.groupBy("x", "y").applyInArrow(run, "src string, dst string, sim double")

@@ -70,3 +70,12 @@ def test_partitioning_does_not_matter(spark, sf):
 def test_pushdown(spark, sf):
     plan = X.read(spark, sf, "documents").where("doc_id = 5").select("lang")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_incremental_cascade(spark):
+    rows = [("n1", [1.0, 0.0], 1, "f"), ("e1", [0.9, 0.1], 1, "g"), ("e2", [0.8, 0.6], 2, "g"), ("e3", [0.0, 1.0], 2, "f"), ("e4", [0.0, -1.0], 3, "h")]
+    s = spark.createDataFrame(rows, "id string, embedding array<float>, cluster_id int, source_file string")
+    m = spark.createDataFrame([("n1", "x"), ("n1", "y"), ("e4", "x"), ("e4", "y"), ("e4", "z"), ("e3", "x")], "sphere_id string, entity_id string")
+    got = {r.dst: round(r.weight, 6) for r in E.incremental(s.where("id = 'n1'"), s.where("id <> 'n1'"), mentions=m).collect()}
+    cos = 0.9 / (0.82**0.5)
+    assert got == {"e1": round(0.6 * (0.7 + 0.3 * cos), 6), "e2": round(0.3 * (0.6 + 0.4 * 0.8), 6), "e4": round(0.4 * (0.6 + 0.4 * 2 / 3), 6)}
