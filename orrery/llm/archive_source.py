@@ -153,6 +153,8 @@ class ArchiveReader(DataSourceReader):
         return out
 
     def read(self, partition):
+        if partition is None:  # Spark's stand-in where nothing was planned
+            return
         store, root = open_store(self.root)
         path = f"{root}/{partition.archive}"
         with store.open_input_file(path) as f, zipfile.ZipFile(_Seekable(f)) as z:
