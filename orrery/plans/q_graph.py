@@ -222,66 +222,69 @@ fs AS (SELECT sphere_id, entity_id, min(seq) AS f FROM m GROUP BY ALL), co AS (S
 ds AS (SELECT DISTINCT sphere_id, entity_id FROM m)"""
 
 
-def _mentions(spark, d):
-    t = X.read(spark, d, "documents").where("doc_id < 400 and lang = 'en'").select(F.col("doc_id").cast("string").alias("sphere_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("p", "w"))
+def _mentions(spark, d, part: bool = False):
+    """Mentions of all documents; with ``part`` of those alone that the SQL forms (MEN) read."""
+    t = X.read(spark, d, "documents")
+    t = t.where("doc_id < 400 and lang = 'en'") if part else t
+    t = t.select(F.col("doc_id").cast("string").alias("sphere_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("p", "w"))
     n = F.length("w")
     return O.from_rows(t.select("sphere_id", F.col("w").alias("text"), F.when(n >= 9, "phrase").when(n >= 7, "head").otherwise("attributive").alias("role"), F.col("p").alias("order")))
 
 
 @query("entities", MEN + " SELECT * FROM en")
-def entities(spark, d):
-    return O.entities(_mentions(spark, d))
+def entities(spark, d, part=True):
+    return O.entities(_mentions(spark, d, part))
 
 
 @query("role_stats", MEN + " SELECT count(*) AS entities, count(*) FILTER (occurrences >= 2) AS active, CAST(sum(occurrences) AS BIGINT) AS occurrences, (SELECT count(DISTINCT sphere_id) FROM m) AS spheres FROM en")
-def role_stats(spark, d):
-    return O.stats(_mentions(spark, d))
+def role_stats(spark, d, part=True):
+    return O.stats(_mentions(spark, d, part))
 
 
 @query("role_distribution", MEN + " SELECT entity_id, n_phrase AS phrase, n_head AS head, n_attr AS attributive FROM en")
-def role_distribution(spark, d):
-    return O.distribution(_mentions(spark, d))
+def role_distribution(spark, d, part=True):
+    return O.distribution(_mentions(spark, d, part))
 
 
 @query("cooccurrence", MEN + " SELECT * FROM co WHERE cnt >= 2")
-def cooccurrence(spark, d):
-    return O.cooccurrence(_mentions(spark, d)).where("cnt >= 2")
+def cooccurrence(spark, d, part=True):
+    return O.cooccurrence(_mentions(spark, d, part)).where("cnt >= 2")
 
 
 @query("shared_entities", MEN + " SELECT DISTINCT entity_text FROM m WHERE entity_id IN (SELECT entity_id FROM ds WHERE sphere_id = '1' INTERSECT SELECT entity_id FROM ds WHERE sphere_id = '2')")
-def shared_entities(spark, d):
-    return O.shared(_mentions(spark, d), "1", "2")
+def shared_entities(spark, d, part=True):
+    return O.shared(_mentions(spark, d, part), "1", "2")
 
 
 @query("role_expand", MEN + """, cf AS (SELECT entity_id, least(0.95, greatest(0.3, 0.5 + CASE WHEN occurrences >= 5 THEN 0.2 WHEN occurrences >= 3 THEN 0.1 ELSE 0 END + 0.08 * ((n_phrase > 0)::INT + (n_head > 0)::INT + (n_attr > 0)::INT))) AS j FROM en WHERE occurrences >= 2),
 dd AS (SELECT DISTINCT sphere_id, entity_id, role, round(CASE role WHEN 'phrase' THEN 1.0 WHEN 'head' THEN 0.6 ELSE 0.4 END * j, 6) AS confidence FROM m JOIN cf USING (entity_id)), ok AS (SELECT * FROM dd WHERE confidence >= 0.3)
 SELECT a.sphere_id AS source, b.sphere_id AS target, a.entity_id, a.role, CAST(a.confidence AS DOUBLE) AS confidence FROM ok a JOIN ok b ON a.entity_id = b.entity_id AND a.role = b.role AND a.sphere_id <> b.sphere_id
 QUALIFY row_number() OVER (PARTITION BY a.sphere_id ORDER BY a.confidence DESC, b.sphere_id, a.entity_id, a.role) <= 10""")
-def role_expand(spark, d):
-    return O.expand(_mentions(spark, d))
+def role_expand(spark, d, part=True):
+    return O.expand(_mentions(spark, d, part))
 
 
 @query("edges_entity_overlap", MEN + ", ok AS (SELECT entity_id FROM ds GROUP BY 1 HAVING count(*) <= 10), dk AS (SELECT ds.* FROM ds JOIN ok USING (entity_id)), n AS (SELECT sphere_id, count(*) AS n FROM dk GROUP BY 1), b AS (SELECT x.sphere_id AS a, y.sphere_id AS b, count(*) AS c FROM dk x JOIN dk y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id GROUP BY ALL HAVING count(*) >= 2) SELECT a AS src, b AS dst, round(least(0.4, greatest(0.1, 0.4 * (0.6 + 0.4 * c / (na.n + nb.n - c)))), 6) AS weight FROM b JOIN n na ON na.sphere_id = a JOIN n nb ON nb.sphere_id = b")
-def edges_entity_overlap(spark, d):
-    return _w(E.entity_overlap(_mentions(spark, d), spread=10))
+def edges_entity_overlap(spark, d, part=True):
+    return _w(E.entity_overlap(_mentions(spark, d, part), spread=10))
 
 
 @query("edges_role_bridge", MEN + ", ph AS (SELECT DISTINCT entity_id, sphere_id FROM m WHERE role = 'phrase'), po AS (SELECT * FROM ph WHERE entity_id IN (SELECT entity_id FROM ph GROUP BY 1 HAVING count(*) <= 30)), st AS (SELECT * FROM co WHERE cnt >= 3 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY cnt DESC, other_id) <= 5) SELECT x.sphere_id AS src, y.sphere_id AS dst, round(greatest(0.1, 0.35 * least(1.0, cnt / 6)), 6) AS weight FROM st JOIN po x ON x.entity_id = st.entity_id JOIN po y ON y.entity_id = st.other_id WHERE st.entity_id < st.other_id AND x.sphere_id < y.sphere_id")
-def edges_role_bridge(spark, d):
-    m = _mentions(spark, d)
+def edges_role_bridge(spark, d, part=True):
+    m = _mentions(spark, d, part)
     return _w(E.role_bridge(O.cooccurrence(m), m))
 
 
 @query("entity_graph", MEN + ", ok AS (SELECT entity_id FROM ds GROUP BY 1 HAVING count(*) <= 5) SELECT DISTINCT x.sphere_id AS a, y.sphere_id AS b FROM ds x JOIN ds y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id JOIN ok ON ok.entity_id = x.entity_id")
-def entity_graph(spark, d):
-    m = _mentions(spark, d)
+def entity_graph(spark, d, part=True):
+    m = _mentions(spark, d, part)
     few = m.groupBy("entity_id").agg(F.countDistinct("sphere_id").alias("n")).where("n <= 5").select("entity_id")
     return E.entity_edges(m.join(few, "entity_id", "left_semi"))
 
 
 @query("expand_entities", MEN + ", r AS (SELECT sphere_id, min(CASE entity_text WHEN 'ertion' THEN 1 ELSE 2 END) AS o FROM m WHERE entity_text IN ('ertion', 'thtion') GROUP BY 1) SELECT sphere_id AS target, CASE o WHEN 1 THEN 'ertion' ELSE 'thtion' END AS entity, CAST(0.5 AS DOUBLE) AS confidence FROM r ORDER BY o, sphere_id LIMIT 10")
-def expand_entities(spark, d):
-    return O.expand_entities(_mentions(spark, d), ["ertion", "thtion"])
+def expand_entities(spark, d, part=True):
+    return O.expand_entities(_mentions(spark, d, part), ["ertion", "thtion"])
 
 
 @query("key_entities")
@@ -301,20 +304,20 @@ def expand_pool(spark, d):
 _COM = MEN + ", cm AS (SELECT DISTINCT sphere_id AS id, CAST(sphere_id AS INTEGER) % 6 AS community FROM m), sz AS (SELECT community, count(*) AS size FROM cm GROUP BY 1 HAVING count(*) >= 5), sj AS (SELECT cm.community, entity_text AS subject, count(DISTINCT cm.id) AS freq, any_value(size) AS size FROM cm JOIN sz USING (community) JOIN m ON m.sphere_id = cm.id AND role = 'phrase' GROUP BY ALL)"
 
 
-def _communities(spark, d):
-    return _mentions(spark, d).select(F.col("sphere_id").alias("id")).distinct().withColumn("community", F.col("id").cast("int") % 6)
+def _communities(spark, d, part: bool = False):
+    return _mentions(spark, d, part).select(F.col("sphere_id").alias("id")).distinct().withColumn("community", F.col("id").cast("int") % 6)
 
 
 @query("community_subjects", _COM + " SELECT community, subject, freq, size FROM sj WHERE freq >= 3")
-def community_subjects(spark, d):
-    return H.subjects(_communities(spark, d), _mentions(spark, d)).where("freq >= 3")
+def community_subjects(spark, d, part=True):
+    return H.subjects(_communities(spark, d, part), _mentions(spark, d, part)).where("freq >= 3")
 
 
 @query("concepts", _COM + """, cc AS (SELECT *, 'c_' || md5('concept:' || lower(trim(subject)))[1:8] AS id FROM (SELECT * FROM sj WHERE freq >= greatest(2, floor(size * 0.02)) QUALIFY row_number() OVER (PARTITION BY community ORDER BY freq DESC, subject) <= 3)),
 o AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY id ORDER BY community, subject) = 1), k AS (SELECT o.id, count(DISTINCT m.sphere_id) AS n FROM o JOIN cm USING (community) JOIN m ON m.sphere_id = cm.id AND lower(m.entity_text) = lower(o.subject) GROUP BY 1)
 SELECT o.id, substr(subject, 1, 80) AS text, community, freq, CAST(n AS INTEGER) AS children, CAST(round(1 + 0.1 * n, 6) AS DOUBLE) AS mass FROM o JOIN k USING (id)""")
-def concepts(spark, d):
-    c = H.concepts(_communities(spark, d), _mentions(spark, d), coverage=0.02)
+def concepts(spark, d, part=True):
+    c = H.concepts(_communities(spark, d, part), _mentions(spark, d, part), coverage=0.02)
     return c.select("id", "text", "community", "freq", F.size("child_ids").alias("children"), F.round("mass", 6).alias("mass"))
 
 
@@ -350,3 +353,14 @@ def concept_centroids(spark, d):
     k = H.concepts(_communities(spark, d), _mentions(spark, d), coverage=0.02)
     return cc(k, X.spheres(spark, d)).select("concept", F.round(V.norm(F.col("centroid")), 6).alias("norm"), "n")
 
+
+# -- the queries whose SQL form reads a part of the documents, over all of them -------------------------------------
+
+
+def _whole(fn):
+    return lambda spark, d: fn(spark, d, part=False)
+
+
+# shared_entities asks for two documents by id, which may share nothing: it has the parameter, but no second name
+for _fn in (entities, role_stats, role_distribution, cooccurrence, role_expand, edges_entity_overlap, edges_role_bridge, entity_graph, expand_entities, community_subjects, concepts):
+    query(f"{_fn.__name__}_all")(_whole(_fn))
