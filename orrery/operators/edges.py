@@ -53,17 +53,30 @@ def temporal(spheres: DataFrame, weight: float = 0.12) -> DataFrame:
     return _edges(spheres.select("id", F.lead("id").over(w).alias("nxt")).where("nxt is not null"), "id", "nxt", F.lit(weight))
 
 
+def _meetings(m: DataFrame, block: int = 256) -> DataFrame:
+    """a, b, entity_id: spheres a < b of one entity, from its distinct (sphere_id, entity_id).
+
+    An entity's spheres are dealt into blocks of about ``block``, and every pair of blocks is a key of its
+    own: a common entity is the work of many tasks, and none of its pairs is left out.
+    """
+    n = m.groupBy("entity_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    d = m.join(n, "entity_id").withColumn("own", F.pmod(F.xxhash64("sphere_id"), F.col("nb")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    x = d.select(F.col("sphere_id").alias("a"), "entity_id", F.col("own").alias("i"), F.col("other").alias("j"))
+    y = d.select(F.col("sphere_id").alias("b"), "entity_id", F.col("other").alias("i"), F.col("own").alias("j"))
+    return x.join(y, ["entity_id", "i", "j"]).where("a < b").select("a", "b", "entity_id")
+
+
 def entity_overlap(mentions: DataFrame, least: int = 2, base: float = 0.4, spread: int | None = None) -> DataFrame:
     """Spheres that share ``least`` entities; an entity in more than ``spread`` spheres (if given) links none.
 
-    The join is on the entity, so without a spread a common entity makes the square of its spheres.
+    Without a spread a common entity makes the square of its spheres, in blocks (``_meetings``).
     """
     m = mentions.select("sphere_id", "entity_id").distinct()
     if spread is not None:
         m = m.join(m.groupBy("entity_id").count().where(F.col("count") <= spread).select("entity_id"), "entity_id", "left_semi")
     size = m.groupBy("sphere_id").agg(F.count(F.lit(1)).alias("n"))
-    x, y = m.select(F.col("sphere_id").alias("a"), "entity_id"), m.select(F.col("sphere_id").alias("b"), "entity_id")
-    both = x.join(y, "entity_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    both = _meetings(m).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
     both = both.join(size.select(F.col("sphere_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("sphere_id").alias("b"), F.col("n").alias("nb")), "b")
     ratio = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
     return _edges(both, "a", "b", X.clip(base * (0.6 + 0.4 * ratio), MIN_WEIGHT, base))
@@ -216,4 +229,4 @@ def vector_edges(spheres: DataFrame, threshold: float = 0.65) -> DataFrame:
 
 def entity_edges(mentions: DataFrame) -> DataFrame:
     m = mentions.select("sphere_id", "entity_id").distinct()
-    return m.select(F.col("sphere_id").alias("a"), "entity_id").join(m.select(F.col("sphere_id").alias("b"), "entity_id"), "entity_id").where("a < b").select("a", "b").distinct()
+    return _meetings(m).select("a", "b").distinct()

@@ -266,7 +266,7 @@ def role_expand(spark, d, part=True):
 
 @query("edges_entity_overlap", MEN + ", ok AS (SELECT entity_id FROM ds GROUP BY 1 HAVING count(*) <= 10), dk AS (SELECT ds.* FROM ds JOIN ok USING (entity_id)), n AS (SELECT sphere_id, count(*) AS n FROM dk GROUP BY 1), b AS (SELECT x.sphere_id AS a, y.sphere_id AS b, count(*) AS c FROM dk x JOIN dk y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id GROUP BY ALL HAVING count(*) >= 2) SELECT a AS src, b AS dst, round(least(0.4, greatest(0.1, 0.4 * (0.6 + 0.4 * c / (na.n + nb.n - c)))), 6) AS weight FROM b JOIN n na ON na.sphere_id = a JOIN n nb ON nb.sphere_id = b")
 def edges_entity_overlap(spark, d, part=True):
-    return _w(E.entity_overlap(_mentions(spark, d, part), spread=10))
+    return _w(E.entity_overlap(_mentions(spark, d, part), spread=10 if part else None))
 
 
 @query("edges_role_bridge", MEN + ", ph AS (SELECT DISTINCT entity_id, sphere_id FROM m WHERE role = 'phrase'), po AS (SELECT * FROM ph WHERE entity_id IN (SELECT entity_id FROM ph GROUP BY 1 HAVING count(*) <= 30)), st AS (SELECT * FROM co WHERE cnt >= 3 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY cnt DESC, other_id) <= 5) SELECT x.sphere_id AS src, y.sphere_id AS dst, round(greatest(0.1, 0.35 * least(1.0, cnt / 6)), 6) AS weight FROM st JOIN po x ON x.entity_id = st.entity_id JOIN po y ON y.entity_id = st.other_id WHERE st.entity_id < st.other_id AND x.sphere_id < y.sphere_id")
@@ -278,8 +278,10 @@ def edges_role_bridge(spark, d, part=True):
 @query("entity_graph", MEN + ", ok AS (SELECT entity_id FROM ds GROUP BY 1 HAVING count(*) <= 5) SELECT DISTINCT x.sphere_id AS a, y.sphere_id AS b FROM ds x JOIN ds y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id JOIN ok ON ok.entity_id = x.entity_id")
 def entity_graph(spark, d, part=True):
     m = _mentions(spark, d, part)
-    few = m.groupBy("entity_id").agg(F.countDistinct("sphere_id").alias("n")).where("n <= 5").select("entity_id")
-    return E.entity_edges(m.join(few, "entity_id", "left_semi"))
+    if part:  # the SQL form leaves entities of more than five spheres out
+        few = m.groupBy("entity_id").agg(F.countDistinct("sphere_id").alias("n")).where("n <= 5").select("entity_id")
+        m = m.join(few, "entity_id", "left_semi")
+    return E.entity_edges(m)
 
 
 @query("expand_entities", MEN + ", r AS (SELECT sphere_id, min(CASE entity_text WHEN 'ertion' THEN 1 ELSE 2 END) AS o FROM m WHERE entity_text IN ('ertion', 'thtion') GROUP BY 1) SELECT sphere_id AS target, CASE o WHEN 1 THEN 'ertion' ELSE 'thtion' END AS entity, CAST(0.5 AS DOUBLE) AS confidence FROM r ORDER BY o, sphere_id LIMIT 10")
@@ -334,9 +336,7 @@ def incremental_graph(spark, d):
 
 @query("grow_hierarchy")
 def grow_hierarchy(spark, d):
-    m = _mentions(spark, d)
-    few = m.groupBy("entity_id").agg(F.countDistinct("sphere_id").alias("n")).where("n <= 8").select("entity_id")
-    c, k = H.grow(X.spheres(spark, d), m.join(few, "entity_id", "left_semi"), threshold=0.25, rounds=3, least=3, coverage=0.01)
+    c, k = H.grow(X.spheres(spark, d), _mentions(spark, d), threshold=0.25, rounds=3, least=3, coverage=0.01)
     return k.select("id", "text", "community", "freq")
 
 

@@ -1,13 +1,14 @@
 """Queries over whole tables against brute force on a small one with high ids and several languages."""
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from orrery import registry
+from orrery.operators import edges as E
 from orrery.plans import q_graph
 
 WORDS = "common anchorage village harbourmaster lantern meadows".split()
@@ -57,3 +58,22 @@ def test_mentions_of_all_documents(spark, folder, words):
 @pytest.mark.parametrize("name, column", [("key_entities", "sphere_id"), ("role_expand_all", "source"), ("concept_parents", "id"), ("split_concepts", "id")])
 def test_later_documents_are_there(spark, folder, name, column):
     assert max(int(r[column]) for r in rows(spark, folder, name)) >= 400
+
+
+def test_pairs_of_common_entities(spark, folder, words, monkeypatch):
+    """'common' is in all spheres, more than any spread of the SQL forms."""
+    monkeypatch.setattr(E._meetings, "__defaults__", (5,))
+    sets = {i: set(l) for i, l in words.items()}
+    pairs = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2)}
+    assert {(r.a, r.b) for r in rows(spark, folder, "entity_graph_all")} == {p for p, n in pairs.items() if n}
+    weight = lambda a, b, n: round(0.4 * (0.6 + 0.4 * n / len(sets[a] | sets[b])), 6)
+    got = rows(spark, folder, "edges_entity_overlap_all")
+    assert {(r.src, r.dst): r.weight for r in got} == {p: weight(*p, n) for p, n in pairs.items() if n > 1} and len(got) == len({(r.src, r.dst) for r in got})
+
+
+def test_concepts_of_common_entities(spark, tmp_path):
+    """A phrase in more than eight spheres makes a concept."""
+    d = str(tmp_path)
+    spark.createDataFrame([(400 + i, "navigation of harbours", "de") for i in range(12)], "doc_id long, text string, lang string").withColumn("source", F.lit("s")).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(400 + i, [float(i == k) for k in range(64)], 0) for i in range(12)], "vec_id long, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
+    assert [(r.text, r.freq) for r in rows(spark, d, "grow_hierarchy")] == [("navigation", 12)]
