@@ -11,6 +11,16 @@ leading tokens of the line before and of that after), none of which makes up mor
 Boilerplate stands in ever other surroundings; a line of copied documents stands in the same ones,
 edited here and there, and stays for the document-level stages to judge.
 
+That is what ``recurring_lines`` and the SQL form of op3_line_dedup say.  ``recurring_everywhere`` (the pipeline
+and op3_line_dedup_all) has neither fixed masks nor a share that one group of documents could exceed.  In a leaf
+the tokens of a line are ranked by the number of texts that have them at their place; the line belongs to
+the template of its first m tokens, for every m above half of its tokens at which the ranks fall.  Fixed tokens are
+in all lines of a template and go before any variable field, wherever that is and whatever the length of the line.
+A template recurs if ``contexts`` kinds of surroundings have it, however many texts a kind has: the non-blank lines
+before and after the run of lines that are in many texts, so that blocks of several lines are seen as one.
+Kinds with a line before or after in common are one kind if one of them has more than a third of their texts, as copies
+edited here and there have; texts that are such a run from end to end are of one kind.
+
 Defined results: null texts stay null and have 0 lines; empty texts are one blank line; blank lines are never
 dropped; equal texts lose equal lines; repeated rows are returned each; all other columns are kept,
 whatever their names.
@@ -20,11 +30,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import bytesops as B
-from orrery.llm.common import arrow_map, configure, table
+from orrery.llm.common import Scratch, arrow_map, configure, table
 
 LEAD, STRIDE, MIN_TOKENS, CONTEXTS, SHARE = 2, 3, 6, 10, 4
 U = np.uint64
@@ -127,15 +137,91 @@ def recurring_lines(docs: DataFrame, *, contexts: int = CONTEXTS, share: int = S
     return rows.select("t", "id", "h", "line").join(recur, "t", "left_semi").groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_recurring_lines(docs: DataFrame, *, contexts: int = CONTEXTS, share: int = SHARE, counts: bool = False) -> DataFrame:
+def _leaves(tokens: bool):
+    """Rows (leaf, h, k, line, lead) or (leaf, h, k, line, toks) of the lines that aren't blank, k counting them in their text."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offs in B.slices(batch):
+                lines, row = line_offsets(data, offs)
+                s, e, line = B.spans(data, lines, B.NOT_SPACE)
+                if not len(s):
+                    continue
+                count = np.bincount(line, minlength=len(row))
+                full = np.flatnonzero(count)
+                at = (np.cumsum(count) - count)[full]
+                tok = B.span_hashes(B.prefix_sums(data), s, e)
+                digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+                tok[digits[e] > digits[s]] = VARIABLE
+                place = np.arange(len(tok)) - np.repeat(at, count[full])
+                head = np.where(place < LEAD, B.mix(tok + place.astype(U) * U(0x9E3779B97F4A7C15)), U(0))
+                lead = B.mix(np.add.reduceat(head, at) + U(2))
+                leaf = B.mix(lead + count[full].astype(U) * U(0xD6E8FEB86659FD93))
+                own = row[full]
+                h = part.column(part.schema.get_field_index("h")).to_numpy(zero_copy_only=False)[own]
+                k = np.arange(len(own)) - np.searchsorted(own, own)
+                number = full - np.searchsorted(row, own)
+                last = pa.array(B.signed(lead))
+                if tokens:
+                    last = pa.ListArray.from_arrays(pa.array(np.append(at, len(tok)).astype(np.int32)), pa.array(B.signed(tok)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(B.signed(leaf)), pa.array(h), pa.array(k.astype(np.int32)), pa.array(number.astype(np.int32)), last],
+                    names=["leaf", "h", "k", "line", "toks" if tokens else "lead"],
+                )
+
+    return run
+
+
+def _many(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """The keys that are in ``least`` texts and more, and in how many."""
+    return rows.groupBy(*keys, "h").agg(F.lit(1).alias("x")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def recurring_everywhere(docs: DataFrame, *, contexts: int = CONTEXTS) -> DataFrame:
+    """As ``recurring_lines``, by ranked tokens and kinds of surroundings outside of runs."""
+    scratch = Scratch(docs.sparkSession)
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = src.select("h", "text")
+    lines = arrow_map(texts, _leaves(False), "leaf long, h long, k int, line int, lead long").groupBy("h", "k").agg(*[F.first(c).alias(c) for c in ("leaf", "line", "lead")])
+    lines = scratch.put(lines, "lines")
+    full = _many(lines, ["leaf"], contexts).select("leaf")
+    held = arrow_map(texts, _leaves(True), "leaf long, h long, k int, line int, toks array<long>").join(full, "leaf", "left_semi")
+    held = scratch.put(held.groupBy("h", "k").agg(F.first("leaf").alias("leaf"), F.first("toks").alias("toks")), "held")
+    tok = held.select("leaf", "h", "k", F.size("toks").alias("size"), F.posexplode("toks").alias("p", "tok"))
+    ranked = tok.join(_many(tok, ["leaf", "p", "tok"], contexts), ["leaf", "p", "tok"]).groupBy("h", "k").agg(
+        F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "tok"))).alias("l")
+    )
+    ranked = ranked.where(2 * F.size("l") > F.col("size"))
+    falls = lambda m: (m == F.size("l")) | (F.get("l", m - 1)["n"] != F.get("l", m)["n"])
+    key = lambda m: F.xxhash64("leaf", F.array_sort(F.transform(F.slice("l", F.lit(1), m), lambda x: F.struct(x["p"], x["tok"]))))
+    m = F.filter(F.sequence(F.floor(F.col("size") / 2).cast("int") + 1, F.size("l")), falls)
+    keyed = ranked.select("h", "k", F.explode(F.transform(m, key)).alias("t"))
+    keyed = scratch.put(keyed.join(_many(keyed, ["t"], contexts).select("t"), "t", "left_semi"), "keyed")
+    run = keyed.select("h", "k").distinct().withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("h").orderBy("k")))
+    ends = run.groupBy("h", "run").agg((F.min("k") - 1).alias("kb"), (F.max("k") + 1).alias("ka"))
+    lead = lambda k, name: lines.select("h", F.col("k").alias(k), F.col("lead").alias(name))
+    around = run.join(ends, ["h", "run"]).join(lead("kb", "b"), ["h", "kb"], "left").join(lead("ka", "a"), ["h", "ka"], "left").select("h", "k", "b", "a")
+    # Pairs are kinds of their own at first; those with a side in common take the least name where one pair has more than a third of their texts.
+    kinds = keyed.join(around, ["h", "k"]).groupBy("t", "b", "a", "h").agg(F.lit(1).alias("x")).groupBy("t", "b", "a").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.withColumn("c", F.xxhash64(F.coalesce("b", F.lit(0)), F.coalesce("a", F.lit(0))))
+    for side in ("b", "a", "b"):
+        least = kinds.where(F.col(side).isNotNull()).groupBy("t", side).agg(F.min("c").alias("least"), F.max("n").alias("most"), F.sum("n").alias("all")).where(3 * F.col("most") > F.col("all"))
+        kinds = kinds.join(least.select("t", side, "least"), ["t", side], "left").select("t", "b", "a", "n", F.coalesce("least", "c").alias("c"))
+    recur = kinds.select("t", "c").distinct().groupBy("t").count().where(F.col("count") >= contexts).select("t")
+    gone = keyed.join(recur, "t", "left_semi").select("h", "k").distinct().join(lines.select("h", "k", "line"), ["h", "k"])
+    return src.select("id", "h").distinct().join(gone.groupBy("h").agg(F.collect_set("line").alias("lines")), "h").select("id", "h", "lines")
+
+
+def drop_recurring_lines(docs: DataFrame, *, contexts: int = CONTEXTS, share: int = SHARE, counts: bool = False, everywhere: bool = False) -> DataFrame:
     """The documents without lines of recurring templates; with ``counts`` also n_lines and n_dropped.
 
-    Needs columns doc_id and text; all columns are kept in their order.
+    With ``everywhere`` the templates are those of ``recurring_everywhere``, without a share.  Needs columns doc_id and text; all columns are kept in their order.
     """
     from pyspark.sql.types import LongType, StringType, StructType
 
     configure(docs.sparkSession)
-    lines = recurring_lines(docs, contexts=contexts, share=share).toDF("_id", "_h", "_lines")
+    lines = recurring_everywhere(docs, contexts=contexts) if everywhere else recurring_lines(docs, contexts=contexts, share=share)
+    lines = lines.toDF("_id", "_h", "_lines")
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no name clashes
     at = [c.lower() for c in docs.columns].index("text")
     doc_id = [c.lower() for c in docs.columns].index("doc_id")
@@ -153,3 +239,8 @@ def drop_recurring_lines(docs: DataFrame, *, contexts: int = CONTEXTS, share: in
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_recurring_lines(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op3_line_dedup_all(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs, counts=True, everywhere=True).select("doc_id", "n_lines", "n_dropped", "text")

@@ -6,7 +6,7 @@ from orrery.llm.bpe import op7_bpe
 from orrery.llm.html_text import op4_html_text
 from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
-from orrery.llm.line_dedup import op3_line_dedup
+from orrery.llm.line_dedup import op3_line_dedup, op3_line_dedup_all
 from orrery.llm.lm import op2_lm_score
 from orrery.llm.neardup import op6_near_duplicates
 from orrery.llm.substring_dedup import op5_substring_dedup
@@ -17,6 +17,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_score": op2_lm_score,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_all": op3_line_dedup_all,
     "op4_html_text": op4_html_text,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
