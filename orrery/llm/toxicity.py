@@ -10,7 +10,8 @@ Documents carry labels and windows don't, so training alternates: score all wind
 texts, keep the highest of each toxic text and the highest and a chance one of each clean text, learn.
 
 Training texts: at most ``per_class`` of label 0 and of label 1, in the order of a hash of the id, of at most
-``max_bytes`` each.  That bound is the only one; every text is scored over its whole length.
+``max_bytes`` each.  That bound is the only one; every text is scored over its whole length.  One executor
+task learns from the sample and returns the weights, a few MB whatever the input.
 
 Defined results: null and empty texts, and texts without a word, get the share of label 1 among the
 labelled training rows; without labels of both kinds every text gets that share (0 without labels).
@@ -19,6 +20,8 @@ Rows with a null label teach nothing.  Repeated rows give repeated results; furt
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -359,18 +362,38 @@ def _calibrate(logit: np.ndarray, y: np.ndarray, share: float) -> tuple[float, f
     return float(at[0]), float(at[1])
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> tuple[list[tuple[bytes, int]], float]:
-    """The bounded training sample and the share of label 1 among all labelled training rows."""
+def sample_rows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, float]:
+    """The bounded training sample (text, label) and the share of label 1 among all labelled training rows."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = lab.agg(F.avg("toxic")).first()[0]
     short = texts(docs).where(F.octet_length("text") <= max_bytes)
-    rows = []
-    for kind in (0, 1):
+
+    def picked(kind: int) -> DataFrame:
         ids = lab.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class[kind])
-        picked = short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[kind])
-        rows += [(r.text.encode("utf-8", "replace"), kind) for r in picked.select("text").toLocalIterator()]
-    return rows, float(share or 0.0)
+        return short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[kind])
+
+    return picked(0).unionByName(picked(1)).select("doc_id", "text", "toxic"), float(share or 0.0)
+
+
+def _fit(share: float):
+    """One task learns from the sample and gives the pickled model back, or nothing without both labels."""
+
+    def run(batches):
+        rows = [(t.encode("utf-8", "replace"), int(y), i) for b in batches for i, t, y in zip(*(B.column(b, c).to_pylist() for c in ("doc_id", "text", "toxic")))]
+        rows.sort(key=lambda r: (r[1], r[2], r[0]))  # the order of a shuffle must not matter
+        sample = [(t, y) for t, y, _ in rows]
+        if len({y for _, y in sample}) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sample, share))], pa.binary())], names=["model"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS):
+    """((network, slope, intercept), share); the model's size is fixed by ``VOCAB`` and ``GRAMS``."""
+    sample, share = sample_rows(docs, labels, per_class)
+    found = arrow_map(sample.coalesce(1), _fit(share), "model binary").collect()
+    return (pickle.loads(found[0].model) if found else (None, 0.0, 0.0)), share
 
 
 def _score(model, share: float):
@@ -390,10 +413,8 @@ def _score(model, share: float):
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, per_class: tuple[int, int] = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from the rows of ``labels`` that aren't held out."""
-    spark = docs.sparkSession
-    sample, share = sample_rows(docs, labels, per_class)
-    both = len({y for _, y in sample}) == 2
-    model = spark.sparkContext.broadcast(train(sample, share) if both else (None, 0.0, 0.0))
+    fitted, share = fit(docs, labels, per_class)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     out = arrow_map(texts(docs), _score(model, share), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
