@@ -1,44 +1,37 @@
 """Line dedup by a log-template tree; lines of templates that recur across documents are dropped.
 
 Parsing has a fixed depth: the number of tokens, then the two leading tokens lead to a leaf.  Tokens with
-a digit are variable everywhere.  In a leaf a line of six tokens or more belongs to its exact template and to
-three generalised ones, each of which takes every third further token as a variable field; lines that
-differ in such fields alone meet in one of them.  Templates are hashes, so the tree is a key, its leaves are
-built by aggregation, and no leaf, however full, is held by one task.
-
-A template recurs if documents of different texts hold it in at least ``contexts`` different surroundings (the
-leading tokens of the line before and of that after), none of which makes up more than a quarter of them.
-Boilerplate stands in ever other surroundings; a line of copied documents stands in the same ones,
-edited here and there, and stays for the document-level stages to judge.
-
-That is what ``recurring_lines`` and the SQL form of op3_line_dedup say.  ``recurring_everywhere`` (the pipeline
-and op3_line_dedup_all) has neither fixed masks nor a share that one group of documents could exceed.  In a leaf
-the tokens of a line are ranked by the number of texts that have them at their place; the line belongs to
-the template of its first m tokens, for every m above half of its tokens at which the ranks fall.  Fixed tokens are
-in all lines of a template and go before any variable field, wherever that is and whatever the length of the line.
-A template recurs if ``contexts`` kinds of surroundings have it, however many texts a kind has: the non-blank lines
-before and after the run of lines that are in many texts, so that blocks of several lines are seen as one.
-Kinds with a line before or after in common are one kind if one of them has more than a third of their texts, as copies
-edited here and there have; texts that are such a run from end to end are of one kind.
+a digit are variable everywhere.  In a leaf a line belongs to its exact template and to generalised ones, in
+which a field of the further tokens is variable: one half of them that starts at their beginning, in their
+middle or ends at their end (so any run of up to a quarter of them is in one such half), or every third of
+them.  Lines that differ in such a field alone meet in one template.  Templates are hashes, so the tree is
+a key, its leaves are built by aggregation, and no leaf, however full, is held by one task.
+
+A template is common if ``least`` different texts hold it.  A text is a witness if at least two fifths of its
+lines that aren't blank are of no common template, so that most copies of a document, whose lines all have the same
+company, are no witnesses however many they are.  A template recurs if ``least`` witnesses hold it; then its lines go from
+every document, wherever they stand.  No group has a vote against: texts that are no witnesses don't count.
 
 Defined results: null texts stay null and have 0 lines; empty texts are one blank line; blank lines are never
-dropped; equal texts lose equal lines; repeated rows are returned each; all other columns are kept,
-whatever their names.
+dropped; equal texts are one text and lose equal lines; repeated rows are returned each; lines of one or two
+tokens have their exact template only; all other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import bytesops as B
 from orrery.llm.common import Scratch, arrow_map, configure, table
 
-LEAD, STRIDE, MIN_TOKENS, CONTEXTS, SHARE = 2, 3, 6, 10, 4
+LEAD, STRIDE, LEAST = 2, 3, 10
+#: A witness has at least OWN / OF of its lines for itself.
+OWN, OF = 2, 5
 U = np.uint64
-VARIABLE, EDGE = U(0x5641524941424C45), U(0x4544474545444745)
+VARIABLE = U(0x5641524941424C45)
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
 
@@ -56,15 +49,24 @@ def line_offsets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.append(edges, len(data)), row
 
 
+def masks(place: np.ndarray, count: np.ndarray):
+    """Which tokens are variable in each generalised template, by a token's place and its line's tokens."""
+    rest = count - LEAD
+    half = -(-rest // 2)
+    for start in (0, -(-(rest - half) // 2), rest - half):
+        yield (place - LEAD >= start) & (place - LEAD < start + half)
+    for j in range(STRIDE):
+        yield (place >= LEAD) & (place % STRIDE == j)
+
+
 def parse(data: np.ndarray, offs: np.ndarray):
-    """(row, number in the row, template keys, which of them exist, surroundings) of each line."""
+    """(row, number in the row, tokens, template keys, which of them exist) of each line."""
     lines, row = line_offsets(data, offs)
     n = len(row)
     s, e, line = B.spans(data, lines, B.NOT_SPACE)
     count = np.bincount(line, minlength=n)
     first = np.cumsum(count) - count
-    keys = np.zeros((n, 1 + STRIDE), U)
-    lead = np.full(n, U(1))
+    keys = np.zeros((n, 4 + STRIDE), U)
     if len(s):
         tok = B.span_hashes(B.prefix_sums(data), s, e)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
@@ -75,32 +77,38 @@ def parse(data: np.ndarray, offs: np.ndarray):
         full = np.flatnonzero(count)
         at = first[full]
         keys[full, 0] = np.add.reduceat(fixed, at)
-        for j in range(STRIDE):
-            keys[full, 1 + j] = np.add.reduceat(np.where((place >= LEAD) & (place % STRIDE == j), loose, fixed), at)
-        head = np.where(place < LEAD, fixed, U(0))
-        lead[full] = B.mix(np.add.reduceat(head, at) + U(2))
-    keys = B.mix(keys + count.astype(U)[:, None] * U(0xD6E8FEB86659FD93) + np.arange(1 + STRIDE, dtype=U))
+        for j, mask in enumerate(masks(place, count[line])):
+            keys[full, 1 + j] = np.add.reduceat(np.where(mask, loose, fixed), at)
+    keys = B.mix(keys + count.astype(U)[:, None] * U(0xD6E8FEB86659FD93))
     has = np.zeros(keys.shape, bool)
     has[:, 0] = count > 0
-    has[:, 1:] = (count >= MIN_TOKENS)[:, None]
-    before, after = np.full(n, EDGE), np.full(n, EDGE)
-    same = row[1:] == row[:-1]
-    before[1:][same] = lead[:-1][same]
-    after[:-1][same] = lead[1:][same]
+    has[:, 1:] = (count > LEAD)[:, None] & (keys[:, 1:] != keys[:, :1])
     number = np.arange(n) - np.searchsorted(row, row)
-    return row, number, keys, has, B.mix(before * U(3) + B.mix(after))
+    return row, number, count, keys, has
+
+
+def _templates(lines: bool):
+    """Rows (t, h) of the templates of each text, or (t, h, n, line) of those of each line; n: lines that aren't blank."""
 
+    def run(batches):
+        for batch in batches:
+            for part, data, offs in B.slices(batch):
+                row, number, count, keys, has = parse(data, offs)
+                line, which = np.nonzero(has)
+                h = B.column(part, "h").to_numpy(zero_copy_only=False)
+                t, own = keys[line, which], row[line]
+                order = np.lexsort((line, t, own))
+                t, own, line = t[order], own[order], line[order]
+                new = np.ones(len(t), bool)
+                new[1:] = (t[1:] != t[:-1]) | (own[1:] != own[:-1]) | ((line[1:] != line[:-1]) & lines)
+                t, own, line = t[new], own[new], line[new]
+                cols = [pa.array(B.signed(t)), pa.array(h[own])]
+                if lines:
+                    full = np.bincount(row[count > 0], minlength=part.num_rows)
+                    cols += [pa.array(full[own].astype(np.int32)), pa.array(number[line].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["t", "h", "n", "line"][: len(cols)])
 
-def _templates(batches):
-    for batch in batches:
-        for part, data, offs in B.slices(batch):
-            row, number, keys, has, around = parse(data, offs)
-            line, which = np.nonzero(has)
-            ids, text = (B.column(part, c).to_numpy(zero_copy_only=False) for c in ("id", "h"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(B.signed(keys[line, which])), pa.array(B.signed(around[line])), pa.array(ids[row[line]]), pa.array(text[row[line]]), pa.array(number[line].astype(np.int32))],
-                names=["t", "c", "id", "h", "line"],
-            )
+    return run
 
 
 def _drop(at: int, count_col: bool):
@@ -128,105 +136,36 @@ def _drop(at: int, count_col: bool):
     return run
 
 
-def recurring_lines(docs: DataFrame, *, contexts: int = CONTEXTS, share: int = SHARE) -> DataFrame:
-    """(id, h, lines): the numbers of the lines to drop of each text, by its id and hash."""
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = arrow_map(src, _templates, "t long, c long, id long, h long, line int")
-    per = rows.groupBy("t", "c", "h").agg(F.lit(1).alias("x")).groupBy("t", "c").count().groupBy("t").agg(F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("all"), F.max("count").alias("most"))
-    recur = per.where((F.col("kinds") >= contexts) & (share * F.col("most") <= F.col("all"))).select("t")
-    return rows.select("t", "id", "h", "line").join(recur, "t", "left_semi").groupBy("id", "h").agg(F.collect_set("line").alias("lines"))
+def _often(rows: DataFrame, least: int) -> DataFrame:
+    """The templates that ``least`` texts and more hold."""
+    return rows.groupBy("t", "h").agg(F.lit(1).alias("x")).groupBy("t").count().where(F.col("count") >= least).select("t")
 
 
-def _leaves(tokens: bool):
-    """Rows (leaf, h, k, line, lead) or (leaf, h, k, line, toks) of the lines that aren't blank, k counting them in their text."""
+def recurring_lines(docs: DataFrame, scratch: Scratch, *, least: int = LEAST) -> DataFrame:
+    """(h, lines): the numbers of the lines to drop of each text, by its hash."""
+    src = docs.select(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    common = scratch.put(_often(arrow_map(src, _templates(False), "t long, h long"), least), "common")
+    rows = arrow_map(src, _templates(True), "t long, h long, n int, line int")
+    held = scratch.put(rows.join(common, "t", "left_semi"), "held")
+    shared = held.select("h", "n", "line").distinct().groupBy("h", "n").count()
+    witness = shared.where(OF * (F.col("n") - F.col("count")) >= OWN * F.col("n")).select("h")
+    recur = _often(held.select("t", "h").join(witness, "h", "left_semi"), least)
+    return held.join(recur, "t", "left_semi").groupBy("h").agg(F.collect_set("line").alias("lines"))
 
-    def run(batches):
-        for batch in batches:
-            for part, data, offs in B.slices(batch):
-                lines, row = line_offsets(data, offs)
-                s, e, line = B.spans(data, lines, B.NOT_SPACE)
-                if not len(s):
-                    continue
-                count = np.bincount(line, minlength=len(row))
-                full = np.flatnonzero(count)
-                at = (np.cumsum(count) - count)[full]
-                tok = B.span_hashes(B.prefix_sums(data), s, e)
-                digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-                tok[digits[e] > digits[s]] = VARIABLE
-                place = np.arange(len(tok)) - np.repeat(at, count[full])
-                head = np.where(place < LEAD, B.mix(tok + place.astype(U) * U(0x9E3779B97F4A7C15)), U(0))
-                lead = B.mix(np.add.reduceat(head, at) + U(2))
-                leaf = B.mix(lead + count[full].astype(U) * U(0xD6E8FEB86659FD93))
-                own = row[full]
-                h = part.column(part.schema.get_field_index("h")).to_numpy(zero_copy_only=False)[own]
-                k = np.arange(len(own)) - np.searchsorted(own, own)
-                number = full - np.searchsorted(row, own)
-                last = pa.array(B.signed(lead))
-                if tokens:
-                    last = pa.ListArray.from_arrays(pa.array(np.append(at, len(tok)).astype(np.int32)), pa.array(B.signed(tok)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(B.signed(leaf)), pa.array(h), pa.array(k.astype(np.int32)), pa.array(number.astype(np.int32)), last],
-                    names=["leaf", "h", "k", "line", "toks" if tokens else "lead"],
-                )
-
-    return run
 
-
-def _many(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The keys that are in ``least`` texts and more, and in how many."""
-    return rows.groupBy(*keys, "h").agg(F.lit(1).alias("x")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-
-
-def recurring_everywhere(docs: DataFrame, *, contexts: int = CONTEXTS) -> DataFrame:
-    """As ``recurring_lines``, by ranked tokens and kinds of surroundings outside of runs."""
-    scratch = Scratch(docs.sparkSession)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = src.select("h", "text")
-    lines = arrow_map(texts, _leaves(False), "leaf long, h long, k int, line int, lead long").groupBy("h", "k").agg(*[F.first(c).alias(c) for c in ("leaf", "line", "lead")])
-    lines = scratch.put(lines, "lines")
-    full = _many(lines, ["leaf"], contexts).select("leaf")
-    held = arrow_map(texts, _leaves(True), "leaf long, h long, k int, line int, toks array<long>").join(full, "leaf", "left_semi")
-    held = scratch.put(held.groupBy("h", "k").agg(F.first("leaf").alias("leaf"), F.first("toks").alias("toks")), "held")
-    tok = held.select("leaf", "h", "k", F.size("toks").alias("size"), F.posexplode("toks").alias("p", "tok"))
-    ranked = tok.join(_many(tok, ["leaf", "p", "tok"], contexts), ["leaf", "p", "tok"]).groupBy("h", "k").agg(
-        F.first("leaf").alias("leaf"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "tok"))).alias("l")
-    )
-    ranked = ranked.where(2 * F.size("l") > F.col("size"))
-    falls = lambda m: (m == F.size("l")) | (F.get("l", m - 1)["n"] != F.get("l", m)["n"])
-    key = lambda m: F.xxhash64("leaf", F.array_sort(F.transform(F.slice("l", F.lit(1), m), lambda x: F.struct(x["p"], x["tok"]))))
-    m = F.filter(F.sequence(F.floor(F.col("size") / 2).cast("int") + 1, F.size("l")), falls)
-    keyed = ranked.select("h", "k", F.explode(F.transform(m, key)).alias("t"))
-    keyed = scratch.put(keyed.join(_many(keyed, ["t"], contexts).select("t"), "t", "left_semi"), "keyed")
-    run = keyed.select("h", "k").distinct().withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("h").orderBy("k")))
-    ends = run.groupBy("h", "run").agg((F.min("k") - 1).alias("kb"), (F.max("k") + 1).alias("ka"))
-    lead = lambda k, name: lines.select("h", F.col("k").alias(k), F.col("lead").alias(name))
-    around = run.join(ends, ["h", "run"]).join(lead("kb", "b"), ["h", "kb"], "left").join(lead("ka", "a"), ["h", "ka"], "left").select("h", "k", "b", "a")
-    # Pairs are kinds of their own at first; those with a side in common take the least name where one pair has more than a third of their texts.
-    kinds = keyed.join(around, ["h", "k"]).groupBy("t", "b", "a", "h").agg(F.lit(1).alias("x")).groupBy("t", "b", "a").agg(F.count(F.lit(1)).alias("n"))
-    kinds = kinds.withColumn("c", F.xxhash64(F.coalesce("b", F.lit(0)), F.coalesce("a", F.lit(0))))
-    for side in ("b", "a", "b"):
-        least = kinds.where(F.col(side).isNotNull()).groupBy("t", side).agg(F.min("c").alias("least"), F.max("n").alias("most"), F.sum("n").alias("all")).where(3 * F.col("most") > F.col("all"))
-        kinds = kinds.join(least.select("t", side, "least"), ["t", side], "left").select("t", "b", "a", "n", F.coalesce("least", "c").alias("c"))
-    recur = kinds.select("t", "c").distinct().groupBy("t").count().where(F.col("count") >= contexts).select("t")
-    gone = keyed.join(recur, "t", "left_semi").select("h", "k").distinct().join(lines.select("h", "k", "line"), ["h", "k"])
-    return src.select("id", "h").distinct().join(gone.groupBy("h").agg(F.collect_set("line").alias("lines")), "h").select("id", "h", "lines")
-
-
-def drop_recurring_lines(docs: DataFrame, *, contexts: int = CONTEXTS, share: int = SHARE, counts: bool = False, everywhere: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, least: int = LEAST, counts: bool = False) -> DataFrame:
     """The documents without lines of recurring templates; with ``counts`` also n_lines and n_dropped.
 
-    With ``everywhere`` the templates are those of ``recurring_everywhere``, without a share.  Needs columns doc_id and text; all columns are kept in their order.
+    Needs columns doc_id and text; all columns are kept in their order.
     """
     from pyspark.sql.types import LongType, StringType, StructType
 
     configure(docs.sparkSession)
-    lines = recurring_everywhere(docs, contexts=contexts) if everywhere else recurring_lines(docs, contexts=contexts, share=share)
-    lines = lines.toDF("_id", "_h", "_lines")
+    lines = recurring_lines(docs, Scratch(docs.sparkSession), least=least).toDF("_h", "_lines")
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no name clashes
     at = [c.lower() for c in docs.columns].index("text")
-    doc_id = [c.lower() for c in docs.columns].index("doc_id")
     own = docs.toDF(*names)
-    own = own.join(lines, (F.coalesce(F.col(names[doc_id]).cast("long"), F.lit(-1)) == F.col("_id")) & (F.xxhash64(names[at]) == F.col("_h")), "left").select(*names, "_lines")
+    own = own.join(lines, F.xxhash64(names[at]) == F.col("_h"), "left").select(*names, "_lines")
     schema = StructType()
     for f, c in zip(docs.schema.fields, names):
         schema = schema.add(c, StringType() if c == names[at] else f.dataType)
@@ -239,8 +178,3 @@ def drop_recurring_lines(docs: DataFrame, *, contexts: int = CONTEXTS, share: in
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_recurring_lines(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
-
-
-def op3_line_dedup_all(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_recurring_lines(docs, counts=True, everywhere=True).select("doc_id", "n_lines", "n_dropped", "text")

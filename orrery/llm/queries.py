@@ -6,7 +6,7 @@ from orrery.llm.bpe import op7_bpe
 from orrery.llm.html_text import op4_html_text
 from orrery.llm.media import op8_media
 from orrery.llm.decontam import op10_decontaminate
-from orrery.llm.line_dedup import op3_line_dedup, op3_line_dedup_all
+from orrery.llm.line_dedup import op3_line_dedup
 from orrery.llm.lm import op2_lm_score
 from orrery.llm.neardup import op6_near_duplicates
 from orrery.llm.substring_dedup import op5_substring_dedup
@@ -17,7 +17,6 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_score": op2_lm_score,
     "op3_line_dedup": op3_line_dedup,
-    "op3_line_dedup_all": op3_line_dedup_all,
     "op4_html_text": op4_html_text,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
@@ -47,12 +46,17 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 OP3_SQL = """
 WITH l AS (SELECT doc_id, text, CAST(i AS INTEGER) - 1 AS n, string_split(text, chr(10))[i] AS line FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS g(i)),
 t AS (SELECT *, list_transform(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
-c AS (SELECT *, concat(lag(CAST(w[1:2] AS VARCHAR), 1, 'edge') OVER o, ' / ', lead(CAST(w[1:2] AS VARCHAR), 1, 'edge') OVER o) AS around FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
-k AS (SELECT doc_id, n, text, around, 3 AS j, w AS tpl FROM c WHERE len(w) > 0
-      UNION ALL SELECT doc_id, n, text, around, j, list_transform(w, lambda x, p: CASE WHEN p > 2 AND (p - 1) % 3 = j THEN '<*>' ELSE x END) FROM c, (VALUES (0), (1), (2)) z(j) WHERE len(w) >= 6),
-s AS (SELECT j, tpl, around, count(DISTINCT text) AS d FROM k GROUP BY ALL),
-r AS (SELECT j, tpl FROM s GROUP BY ALL HAVING count(*) >= 10 AND 4 * max(d) <= sum(d)),
-x AS (SELECT DISTINCT doc_id, n FROM k JOIN r USING (j, tpl))
+z AS (SELECT doc_id, text, n, w, len(w) - 2 AS r, (len(w) - 1) // 2 AS half FROM t WHERE len(w) > 0),
+k AS (SELECT doc_id, text, n, w AS tpl FROM z
+      UNION SELECT doc_id, text, n, list_transform(w, lambda x, p: CASE WHEN p - 3 >= s AND p - 3 < s + half THEN '<*>' ELSE x END)
+            FROM (SELECT *, unnest([0, (r - half + 1) // 2, r - half]) AS s FROM z WHERE r > 0)
+      UNION SELECT doc_id, text, n, list_transform(w, lambda x, p: CASE WHEN p > 2 AND (p - 1) % 3 = j THEN '<*>' ELSE x END) FROM z, (VALUES (0), (1), (2)) v(j) WHERE r > 0),
+c AS (SELECT tpl FROM k GROUP BY tpl HAVING count(DISTINCT text) >= 10),
+h AS (SELECT k.* FROM k JOIN c USING (tpl)),
+f AS (SELECT text, count(DISTINCT n) AS filled FROM z GROUP BY text),
+o AS (SELECT text FROM h JOIN f USING (text) GROUP BY text, filled HAVING 5 * (filled - count(DISTINCT n)) >= 2 * filled),
+r AS (SELECT tpl FROM h JOIN o USING (text) GROUP BY tpl HAVING count(DISTINCT text) >= 10),
+x AS (SELECT DISTINCT doc_id, n FROM h JOIN r USING (tpl))
 SELECT doc_id, count(*) AS n_lines, count(x.n) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (x.n IS NULL), '') AS text
 FROM l LEFT JOIN x USING (doc_id, n) GROUP BY doc_id
 """

@@ -6,7 +6,7 @@ from orrery.llm import line_dedup
 
 
 def drop(docs_of, rows):
-    return {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_recurring_lines(docs_of(rows), counts=True, everywhere=True).collect()}
+    return {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_recurring_lines(docs_of(rows), counts=True).collect()}
 
 
 def word(r):
@@ -59,3 +59,23 @@ def test_copies_and_edited_copies_stay(docs_of):
         rows.append((i, "\n".join(map(" ".join, own))))
     rows += [(100 + i, rows[0][1]) for i in range(20)]
     assert drop(docs_of, rows) == {i: (t, 0) for i, t in rows}
+
+
+def test_the_inside_of_a_block_goes_and_copies_of_a_document_stay(docs_of):
+    r = random.Random(6)
+    licence = "You may use this text as you like\nas long as you keep this notice in it\nand say where you found it"
+    rows = [(i, f"{prose(r)}\n{prose(r)}\n{licence}\n{prose(r)}") for i in range(200)]
+    copy = "\n".join(prose(r) for _ in range(6))
+    rows += [(300 + i, f"{copy}\n{word(r)}") for i in range(100)]
+    got = drop(docs_of, rows)
+    assert {got[i][1] for i in range(200)} == {3} and {got[300 + i][1] for i in range(100)} == {0}
+
+
+def test_just_enough_texts_and_a_very_long_one(docs_of):
+    r = random.Random(7)
+    line = "Nine words that stand below each of our texts"
+    short = [(i, f"{prose(r)}\n{line}") for i in range(9)]
+    assert {n for _, n in drop(docs_of, short).values()} == {0}
+    long = "\n".join(prose(r) for _ in range(20_000)) + f"\n{line}\n{line}"
+    got = drop(docs_of, [*short, (9, long), (9, long)])
+    assert {n for _, n in got.values()} == {1, 2} and got[9] == (long[: -2 * len(line) - 2], 2)
