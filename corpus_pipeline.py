@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 documents.  Rows leave by a stage's decision only: toxic documents, near copies of a kept document, and
-contaminated documents.  n_chars follows the text when lines are dropped.
+documents with a word inside a benchmark window, however long they are.  n_chars follows the text when lines
+are dropped.
+
+Defined results: null and empty texts go through every stage, as do rows with a null id; repeated rows of an id are
+kept or leave together; empty tables give no rows; further columns of documents, whatever their names, are
+kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, match_benchmark(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return _keep(docs, match_benchmark(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
