@@ -1,24 +1,26 @@
 """Benchmark decontamination: a document-sharded positional inverted index.
 
-The training documents are dealt into shards of about two million bytes.  A shard's postings (term to the
+The training documents are dealt into shards of about two million bytes.  A shard's postings (every term to the
 numbers of its tokens, in term order, as differences) are stored as one row of the index table, beside its
 documents and their lengths.  A test window is answered shard by shard: the posting list of its rarest term
 in the shard is shifted by the term's offset, and the other terms' shifted lists are intersected from the
-next rarest on; the positions that survive are exact phrase matches.  ``near`` answers proximity queries
-from the same lists.
+next rarest on; the positions that survive are exact phrase matches.  ``near_benchmark`` answers proximity
+queries from the same lists: documents in which all words of a window stand close together, in any order.
 
 Documents are the sharding key, so nothing is shuffled and no posting list, however common its term,
-leaves its shard.  The index holds the terms of the tests, or of all tokens if the tests have more than ``TERMS``
-terms.  The tests travel in blocks whose size is checked: those beyond ``block_bytes`` are searched block
-by block in the stored index.
+leaves its shard.  The tests travel in blocks of at most ``block_bytes`` (an item is never cut), one block at a
+time: those beyond the first are searched in the stored index once more, and the hits of each document row are
+united at the end.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no
-window; items with equal texts are both reported; repeated rows give repeated results; columns
-other than the id and the text are ignored.
+window; items with a null id are left out, as a result couldn't name them; items with equal texts are both
+reported; repeated rows of documents, with or without an id, are documents of their own and give repeated
+results; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -30,11 +32,11 @@ from orrery.llm import bytesops as B
 from orrery.llm.common import Scratch, arrow_map, table, texts
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
-TERMS = 4 << 20
+BLOCK_BYTES = 1 << 20
 GAP = 1 << 16
+SPAN = 2 * WINDOW
 INDEX = "docs array<long>, words array<long>, terms binary, starts binary, steps binary"
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
+SCHEMA = "shard long, place int, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<struct<start:int,end:int>>"
 
 
 def tokenize(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,26 +46,6 @@ def tokenize(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (B.span_hashes(B.prefix_sums(low), s, e) if len(s) else np.zeros(0, np.uint64)), row
 
 
-class TermLookup:
-    """Sorted test terms with a bit table in front, so that most training tokens cost one probe."""
-
-    BITS = 20
-
-    def __init__(self, terms: np.ndarray):
-        self.terms = np.unique(terms)
-        self.bits = np.zeros(1 << self.BITS, bool)
-        self.bits[(self.terms >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-
-    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into tokens, term number) of the tokens that are test terms."""
-        at = np.flatnonzero(self.bits[(tokens >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        if not len(at) or not len(self.terms):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.terms, tokens[at]), len(self.terms) - 1)
-        ok = self.terms[k] == tokens[at]
-        return at[ok], k[ok]
-
-
 class ShardIndex:
     """Postings of one shard in term order; a posting is the token's number in the shard.
 
@@ -78,18 +60,11 @@ class ShardIndex:
         self.post = post + row * GAP
 
     @classmethod
-    def pack(cls, tokens: np.ndarray, row: np.ndarray, n: int, keep: TermLookup | None) -> list:
+    def pack(cls, tokens: np.ndarray, row: np.ndarray, n: int) -> list:
         """The stored form of a shard's tokens: words of each document, terms, starts and steps of the lists."""
-        if keep is None:
-            terms, term = np.unique(tokens, return_inverse=True)
-            at = np.arange(len(tokens))
-        else:
-            at, term = keep.find(tokens)
-            used, term = np.unique(term, return_inverse=True)
-            terms = keep.terms[used]
-        order = np.argsort(term, kind="stable")
-        post = at[order].astype(np.int64)
-        starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        terms, term = np.unique(tokens, return_inverse=True)
+        post = np.argsort(term, kind="stable").astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
         steps = np.diff(post, prepend=0)
         steps[starts[:-1]] = post[starts[:-1]]
         return [np.bincount(row, minlength=n), terms, starts.astype(np.uint32), steps.astype(np.uint32)]
@@ -102,6 +77,11 @@ class ShardIndex:
         before = np.where(starts_[:-1] > 0, post[np.maximum(starts_[:-1] - 1, 0)], 0) if len(post) else starts_[:-1]
         return cls(np.frombuffer(terms, np.uint64), starts_, post - np.repeat(before, size), np.array(words, np.int64))
 
+    def document(self, pos: np.ndarray) -> np.ndarray:
+        """The number in the shard of the document that has each position."""
+        n = len(self.words)
+        return np.searchsorted(self.first[1:] + np.arange(n, dtype=np.int64) * GAP, pos, side="right")
+
     def among(self, terms: np.ndarray) -> Postings:
         """The lists of the given (sorted) terms, by their number there."""
         k = np.searchsorted(self.terms, terms)
@@ -153,6 +133,32 @@ class Postings:
             pos = pos[(k < len(lst)) & (lst[np.minimum(k, len(lst) - 1)] <= pos + slop)]
         return pos
 
+    def together(self, terms: np.ndarray, span: int) -> np.ndarray:
+        """Those of ``near`` that stand with all other terms among some ``span`` words."""
+        terms = np.unique(terms)
+        found = []
+        for p in self.near(terms, span - 1).tolist():
+            near = [self._around(t, p, span) for t in terms.tolist()]
+            at = np.concatenate(near)
+            order = np.argsort(at, kind="stable")
+            at, kind = at[order], np.repeat(np.arange(len(near)), [len(x) for x in near])[order]
+            seen, left, have = np.zeros(len(near), np.int64), 0, 0
+            for right in range(len(at)):
+                have += seen[kind[right]] == 0
+                seen[kind[right]] += 1
+                while at[right] - at[left] >= span:
+                    seen[kind[left]] -= 1
+                    have -= seen[kind[left]] == 0
+                    left += 1
+                if have == len(near):
+                    found.append(p)
+                    break
+        return np.array(found, np.int64)
+
+    def _around(self, term: int, p: int, span: int) -> np.ndarray:
+        lst = self.list(term)
+        return lst[np.searchsorted(lst, p - span + 1) : np.searchsorted(lst, p + span)]
+
 
 class Windows:
     """The distinct windows of a block of items, with the items of each."""
@@ -163,97 +169,112 @@ class Windows:
         data = np.frombuffer(b"".join(enc), np.uint8)
         offs = np.concatenate([[0], np.cumsum([len(x) for x in enc])]).astype(np.int64)
         tok, row = tokenize(data, offs)
-        self.lookup = TermLookup(tok)
-        num = np.searchsorted(self.lookup.terms, tok)
-        seen: dict[bytes, int] = {}
-        self.terms: list[np.ndarray] = []
-        self.items: list[list[int]] = []
-        first = np.searchsorted(row, np.arange(len(items) + 1))
-        for i in range(len(items)):
-            t = num[first[i] : first[i + 1]]
-            n = min(width, len(t))
-            for s in range(len(t) - n + 1 if n else 0):
-                w = t[s : s + n]
-                k = seen.setdefault(w.tobytes(), len(self.terms))
-                if k == len(self.terms):
-                    self.terms.append(w)
-                    self.items.append([])
-                if not self.items[k] or self.items[k][-1] != i:
-                    self.items[k].append(i)
-        self.size = np.array([len(w) for w in self.terms], np.int64)
-        self.matrix = np.full((len(self.terms), width), -1, np.int64)
-        for k, w in enumerate(self.terms):
-            self.matrix[k, : len(w)] = w
+        self.vocab = np.unique(tok)
+        num = np.searchsorted(self.vocab, tok)
+        words = np.bincount(row, minlength=len(items))
+        size = np.minimum(words, width)
+        many = np.where(words > 0, words - size + 1, 0)
+        item = np.repeat(np.arange(len(items)), many)
+        start = (np.cumsum(words) - words)[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+        at = start[:, None] + np.arange(width)
+        inside = np.arange(width) < size[item][:, None]
+        every = np.where(inside, num[np.minimum(at, max(0, len(num) - 1))] if len(num) else -1, -1)
+        self.matrix, which = np.unique(every, axis=0, return_inverse=True) if len(every) else (every, item)
+        self.size = (self.matrix >= 0).sum(1)
+        pair = np.unique(np.stack([which.reshape(-1), item], 1), axis=0)
+        self.first, self.item = np.searchsorted(pair[:, 0], np.arange(len(self.matrix) + 1)), pair[:, 1]
+
+    def terms(self, k: int) -> np.ndarray:
+        return self.matrix[k, : self.size[k]]
+
+    def ids_of(self, k: int) -> list[str]:
+        return [self.ids[i] for i in self.item[self.first[k] : self.first[k + 1]].tolist()]
+
+    def present(self, index: Postings) -> np.ndarray:
+        """The windows all of whose terms the shard has."""
+        df = np.where(self.matrix >= 0, index.df[self.matrix] if len(index.df) else 0, np.iinfo(np.int64).max)
+        return np.flatnonzero(df.min(1) > 0) if len(df) else np.zeros(0, np.int64)
 
     def search(self, index: Postings) -> list[tuple[int, np.ndarray]]:
         """(window, start positions) of the windows that occur in the shard."""
-        if not len(self.terms):
-            return []
-        df = np.where(self.matrix >= 0, index.df[self.matrix], np.iinfo(np.int64).max)
-        found = []
-        for k in np.flatnonzero(df.min(1) > 0):
-            pos = index.phrase(self.terms[k])
-            if len(pos):
-                found.append((int(k), pos))
-        return found
+        found = ((k, index.phrase(self.terms(k))) for k in self.present(index).tolist())
+        return [(k, pos) for k, pos in found if len(pos)]
 
 
-def _index(keep):
-    def run(batches):
-        lookup = TermLookup(keep.value) if keep is not None else None
-        for batch in batches:
-            for part, data, offs in B.slices(batch):
-                tok, row = tokenize(data, offs)
-                words, terms, starts, steps = ShardIndex.pack(tok, row, part.num_rows, lookup)
-                one = lambda x, t: pa.array([x], t)
-                yield pa.RecordBatch.from_arrays(
-                    [one(B.column(part, "doc_id").to_pylist(), pa.list_(pa.int64())), one(words.tolist(), pa.list_(pa.int64())), *(one(x.tobytes(), pa.binary()) for x in (terms, starts, steps))],
-                    names=["docs", "words", "terms", "starts", "steps"],
-                )
+def _index(batches):
+    for batch in batches:
+        for part, data, offs in B.slices(batch):
+            tok, row = tokenize(data, offs)
+            words, terms, starts, steps = ShardIndex.pack(tok, row, part.num_rows)
+            one = lambda x, t: pa.array([x], t)
+            yield pa.RecordBatch.from_arrays(
+                [one(B.column(part, "doc_id").to_pylist(), pa.list_(pa.int64())), one(words.tolist(), pa.list_(pa.int64())), *(one(x.tobytes(), pa.binary()) for x in (terms, starts, steps))],
+                names=["docs", "words", "terms", "starts", "steps"],
+            )
 
-    return run
+
+def build_index(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The stored index of the documents: a row a shard, with a number of its own."""
+    return scratch.put(arrow_map(texts(docs), _index, INDEX).withColumn("shard", F.monotonically_increasing_id()), "postings")
 
 
-def build_index(docs: DataFrame, scratch: Scratch, terms: np.ndarray | None = None) -> DataFrame:
-    """The stored index of the documents: a row a shard.  ``terms``: hashes to keep, or None for all."""
-    keep = docs.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
-    return scratch.put(arrow_map(texts(docs), _index(keep), INDEX), "postings")
+def _shards(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            yield r, ShardIndex.unpack(r["words"], r["terms"], r["starts"], r["steps"])
 
 
 def _search(block, width: int, num: int, den: int):
     def run(batches):
         tests = Windows(block.value, width)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                index = ShardIndex.unpack(r["words"], r["terms"], r["starts"], r["steps"])
-                first, n = index.first, len(index.words)
-                cover = np.zeros(int(first[-1]) + 1, np.int64)
-                hits: list[set[str]] = [set() for _ in range(n)]
-                for k, pos in tests.search(index.among(tests.lookup.terms)):
-                    doc = np.searchsorted(first[1:] + np.arange(n, dtype=np.int64) * GAP, pos, side="right")
-                    at = pos - doc * GAP
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + tests.size[k], -1)
-                    for d in np.unique(doc):
-                        hits[d].update(tests.ids[i] for i in tests.items[k])
-                inside = np.cumsum(cover[:-1]) > 0
-                n_hit = np.add.reduceat(np.append(inside, False).astype(np.int64), first[:-1]) if n else np.zeros(0, np.int64)
-                n_hit[index.words == 0] = 0
-                names = [sorted(h) for h in hits]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r["docs"], pa.int64()),
-                        pa.array(index.words),
-                        pa.array(n_hit),
-                        pa.array([len(x) for x in names], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
-                        pa.array((n_hit > 0) & (den * n_hit >= num * index.words)),
-                        pa.array(names, pa.list_(pa.string())),
-                        pa.array(_runs(inside, first), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"],
-                )
+        for r, index in _shards(batches):
+            first, n = index.first, len(index.words)
+            cover = np.zeros(int(first[-1]) + 1, np.int64)
+            hits: list[set[str]] = [set() for _ in range(n)]
+            for k, pos in tests.search(index.among(tests.vocab)):
+                doc = index.document(pos)
+                at = pos - doc * GAP
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + tests.size[k], -1)
+                for d in np.unique(doc):
+                    hits[d].update(tests.ids_of(k))
+            inside = np.cumsum(cover[:-1]) > 0
+            n_hit = np.add.reduceat(np.append(inside, False).astype(np.int64), first[:-1]) if n else np.zeros(0, np.int64)
+            n_hit[index.words == 0] = 0
+            names = [sorted(h) for h in hits]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, r["shard"], np.int64)),
+                    pa.array(np.arange(n, dtype=np.int32)),
+                    pa.array(r["docs"], pa.int64()),
+                    pa.array(index.words),
+                    pa.array(n_hit),
+                    pa.array([len(x) for x in names], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
+                    pa.array((n_hit > 0) & (den * n_hit >= num * index.words)),
+                    pa.array(names, pa.list_(pa.string())),
+                    pa.array(_runs(inside, first), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                ],
+                names=["shard", "place", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"],
+            )
+
+    return run
+
+
+def _near(block, width: int, span: int):
+    def run(batches):
+        tests = Windows(block.value, width)
+        for r, index in _shards(batches):
+            lists, hits = index.among(tests.vocab), [set() for _ in index.words]
+            for k in tests.present(lists).tolist():
+                for d in np.unique(index.document(lists.together(tests.terms(k), span))):
+                    hits[d].update(tests.ids_of(k))
+            n, names = len(hits), [sorted(h) for h in hits]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, r["shard"], np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(r["docs"], pa.int64()), pa.array(names, pa.list_(pa.string()))],
+                names=["shard", "place", "doc_id", "near_ids"],
+            )
 
     return run
 
@@ -285,43 +306,71 @@ def _blocks(items: DataFrame, limit: int):
         yield block
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+
+
+def _by_block(index: DataFrame, benchmark: DataFrame, block_bytes: int, search, schema: str, scratch: Scratch, some: str) -> list[DataFrame]:
+    """The search of each block; of several, what is found (``some``) is written before the next one is broadcast."""
+    sc, parts = index.sparkSession.sparkContext, []
+    blocks = _blocks(_items(benchmark), block_bytes)
+    block, following = next(blocks, []), next(blocks, None)
+    while True:
+        sent = sc.broadcast(block)
+        part = arrow_map(index, search(sent), schema)
+        if following is None and not parts:
+            return [part]
+        parts.append(scratch.put(part.where(some), "hits"))
+        sent.unpersist()
+        if following is None:
+            return parts
+        block, following = following, next(blocks, None)
+
+
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, num: int = 1, den: int = 20, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: words, words inside occurring windows, items hit, hit word spans.
 
-    A document is contaminated if it has hit words and den * n_hit >= num * n_words.
-    A block is broadcast by itself; tests that fit one block (the usual case) cost one pass over the index.
-    Larger ones cost a pass a block, joined by document at the end.
-    """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    blocks, terms = [], [np.zeros(0, np.uint64)]
-    for block in _blocks(items, block_bytes):
-        blocks.append(spark.sparkContext.broadcast(block))
-        if terms is not None:
-            terms = [np.unique(np.concatenate([*terms, Windows(block, width).lookup.terms]))]
-            terms = terms if len(terms[0]) <= TERMS else None
-    index = build_index(docs, scratch or Scratch(spark), terms[0] if terms is not None else None)
-    parts = [arrow_map(index, _search(b, width, num, den), SCHEMA) for b in blocks or [spark.sparkContext.broadcast([])]]
-    return parts[0] if len(parts) == 1 else _merge(parts, num, den)
-
-
-def _merge(parts: list[DataFrame], num: int, den: int) -> DataFrame:
-    """Results over several blocks: spans and items united, then the digests anew.
-
-    Rows are met by id and words; repeated rows of one id and text give one row here.
+    A document is contaminated if it has hit words and den * n_hit >= num * n_words.  Tests that fit one block
+    (the usual case) cost one pass over the index, larger ones a pass a block.
     """
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    merged = rows.groupBy("doc_id", "n_words").agg(
+    scratch = scratch or Scratch(docs.sparkSession)
+    index = build_index(docs, scratch)
+    parts = _by_block(index, benchmark, block_bytes, lambda b: _search(b, width, num, den), SCHEMA, scratch, "n_hit > 0")
+    return (parts[0] if len(parts) == 1 else _merge(index, parts, num, den)).drop("shard", "place")
+
+
+def near_benchmark(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, span: int = SPAN, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, near_ids: the items, sorted, with a window all of whose words stand among some ``span`` words of the document, in any order."""
+    if not 0 < span < GAP:
+        raise ValueError(f"span must be from 1 to {GAP - 1}")
+    scratch = scratch or Scratch(docs.sparkSession)
+    index = build_index(docs, scratch)
+    parts = _by_block(index, benchmark, block_bytes, lambda b: _near(b, width, span), "shard long, place int, doc_id long, near_ids array<string>", scratch, "size(near_ids) > 0")
+    if len(parts) == 1:
+        return parts[0].drop("shard", "place")
+    found = functools.reduce(DataFrame.unionByName, parts).groupBy("shard", "place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_ids")))).alias("near_ids"))
+    return _rows(index).join(found, ["shard", "place"], "left").select("doc_id", F.coalesce("near_ids", F.array().cast("array<string>")).alias("near_ids"))
+
+
+def _rows(index: DataFrame) -> DataFrame:
+    """(shard, place, doc_id, n_words) of every row of the documents."""
+    rows = index.select("shard", F.posexplode(F.arrays_zip("docs", "words")).alias("place", "x"))
+    return rows.select("shard", "place", F.col("x.docs").alias("doc_id"), F.col("x.words").alias("n_words"))
+
+
+def _merge(index: DataFrame, parts: list[DataFrame], num: int, den: int) -> DataFrame:
+    """Results over several blocks: spans and items of each row united, then the digests anew."""
+    merged = functools.reduce(DataFrame.unionByName, parts).groupBy("shard", "place").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("sp"),
     )
     step = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    merged = merged.withColumn("hit_spans", F.aggregate("sp", F.slice(F.col("sp"), 1, 0), step))
+    merged = merged.withColumn("hit_spans", F.aggregate("sp", F.slice(F.col("sp"), 1, 0), step)).drop("sp")
+    empty = "array<struct<start:int,end:int>>"
+    merged = _rows(index).join(merged, ["shard", "place"], "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))).withColumn("hit_spans", F.coalesce("hit_spans", F.array().cast(empty)))
     merged = merged.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"])))
     return merged.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        "shard", "place", "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (den * F.col("n_hit") >= num * F.col("n_words"))).alias("contaminated"), "item_ids", "hit_spans",
     )

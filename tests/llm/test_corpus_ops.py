@@ -317,7 +317,7 @@ def test_gradients():
 # -- decontamination
 
 
-def test_decontamination_odd_rows(spark, docs_of, odd, monkeypatch):
+def test_decontamination_odd_rows(spark, docs_of, odd):
     item = " ".join(f"q{k}" for k in range(20))
     rows = odd + [(50, "x " * 30 + item + " y" * 30), (51, item.upper()), (52, " ".join(item.split()[:12])), (53, "short item"), (54, "x-short-ITEM-y"), (55, " ".join(["w"] * 400) + " " + " ".join(item.split()[3:16]))]
     bench = spark.createDataFrame([(1, item, 9), (2, None, 9), (3, "", 9), (4, "short item", 9), (10, item, 9)], "item_id long, text string, doc_id int")
@@ -331,17 +331,41 @@ def test_decontamination_odd_rows(spark, docs_of, odd, monkeypatch):
     split = decontam.match_benchmark(docs_of(rows), bench, block_bytes=80)
     same = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect())
     assert same(split) == same(decontam.match_benchmark(docs_of(rows), bench))
-    monkeypatch.setattr(decontam, "TERMS", 3)  # then the index holds all tokens
-    assert same(decontam.match_benchmark(docs_of(rows), bench)) == same(split)
     assert decontam.match_benchmark(docs_of(rows), bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_blocks(spark, docs_of):
+    """Blocks of tests change nothing, with repeated rows, two texts of one id and null ids on either side."""
+    r = random.Random(11)
+    vocab = [f"w{k}" for k in range(40)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(k, text(r.randint(1, 30))) for k in range(30)] + [(None, text(5)), (3, text(14))]
+    rows = [(k, text(20) + " " + items[k % 30][1] + " " + text(10)) for k in range(60)]
+    rows += [(5, rows[6][1]), (7, rows[7][1]), (7, rows[7][1]), (None, rows[8][1]), (None, rows[9][1]), (None, None), (70, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same = lambda df: sorted(map(str, ((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.item_ids, r.hit_spans) for r in df.collect())))
+    one = same(decontam.match_benchmark(docs_of(rows), bench))
+    assert len(one) == len(rows) and one == same(decontam.match_benchmark(docs_of(rows), bench, block_bytes=80))
+    near = lambda **kw: sorted((str(r.doc_id), r.near_ids) for r in decontam.near_benchmark(docs_of(rows), bench, width=6, span=9, **kw).collect())
+    assert near() == near(block_bytes=80) and len(near()) == len(rows)
+    want = sorted((str(i), sorted({str(k) for k, t in items if k is not None and brute_near_phrase((x or "").split(), t.split(), 6, 9)})) for i, x in rows)
+    assert near() == want and any(x for _, x in want) and not all(x for _, x in want)
+
+
+def brute_near_phrase(words, item, width, span):
+    n = min(width, len(item))
+    wanted = [set(item[k : k + n]) for k in range(len(item) - n + 1)] if n else []
+    return any(w <= set(words[s : s + span]) for w in wanted for s in range(len(words)))
+
+
 def test_proximity():
     enc = [b"alpha one two beta", b"alpha", b"beta x alpha"]
     data, offs = np.frombuffer(b"".join(enc), np.uint8), np.cumsum([0, *map(len, enc)]).astype(np.int64)
     tok, row = decontam.tokenize(data, offs)
-    look = decontam.TermLookup(decontam.tokenize(np.frombuffer(b"alpha beta", np.uint8), np.array([0, 10]))[0])
-    for keep in (look, None):
-        words, *lists = decontam.ShardIndex.pack(tok, row, 3, keep)
-        index = decontam.ShardIndex.unpack(words.tolist(), *(x.tobytes() for x in lists)).among(look.terms)
-        assert len(index.near(np.array([0, 1]), 3)) == 2 and len(index.near(np.array([0, 1]), 2)) == 1
+    terms = np.unique(decontam.tokenize(np.frombuffer(b"alpha beta", np.uint8), np.array([0, 10]))[0])
+    words, *lists = decontam.ShardIndex.pack(tok, row, 3)
+    index = decontam.ShardIndex.unpack(words.tolist(), *(x.tobytes() for x in lists))
+    assert index.among(np.unique(tok)).df.tolist() == np.unique(tok, return_counts=True)[1].tolist()
+    index = index.among(terms)
+    assert len(index.near(np.array([0, 1]), 3)) == 2 and len(index.near(np.array([0, 1]), 2)) == 1
+    assert len(index.together(np.array([0, 1]), 4)) == 2 and len(index.together(np.array([0, 1]), 3)) == 1
