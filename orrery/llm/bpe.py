@@ -3,6 +3,9 @@
 Long texts are cut where the splitting pattern always ends a match: before a space or line feed
 that follows a printable ASCII character other than a space.  No match goes over such a place (a
 match takes a blank only as its first character), so the pieces' ids joined are the text's ids.
+A piece may still hold a run of blanks that the library's matcher can't take; such runs are taken by a scan:
+of a run before another character the pattern matches all blanks but the last, and of one at the end all, so
+that much is one match, which is merged by itself, and the rest of the piece goes on with the last blank.
 
 Defined results: null and empty texts have no ids (the digests of nothing); repeated rows give
 repeated results; further columns are kept by ``encode_text`` only if ``keep`` asks for them.
@@ -10,6 +13,7 @@ repeated results; further columns are kept by ``encode_text`` only if ``keep`` a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -22,6 +26,8 @@ from orrery.llm.common import arrow_map, table, texts
 PIECE = 1 << 16
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _SAFE = re.compile(r"(?<=[!-~])[ \n]")
+#: A run of blanks (by the splitting pattern's white space) that is taken by a scan.
+RUN = 1 << 12
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -51,12 +57,39 @@ def pieces(text: str, size: int = PIECE):
     yield text[i:] if i else text
 
 
+def _blank(enc, run: str) -> list[int]:
+    """Ids of one match that is nothing but blanks, however long.
+
+    The merges of a byte run depend on the whole run, and the library merges a long piece in n log n steps.
+    """
+    return enc._core_bpe.encode_single_piece(run.encode())
+
+
+def _short(enc, text: str) -> list[int]:
+    if len(text) < RUN:
+        return enc.encode_ordinary(text)
+    ids, i = [], 0
+    for m in _runs().finditer(text):
+        stop = m.end() - (m.end() < len(text))  # the last blank may begin the next match
+        ids += enc.encode_ordinary(text[i : m.start()]) if m.start() > i else []
+        ids += _blank(enc, text[m.start() : stop])
+        i = stop
+    return ids + enc.encode_ordinary(text[i:]) if i else enc.encode_ordinary(text)
+
+
+@functools.cache
+def _runs():
+    import regex
+
+    return regex.compile(rf"\s{{{RUN},}}+")
+
+
 def encode(enc, text: str) -> list[int]:
     if len(text) <= PIECE:
-        return enc.encode_ordinary(text)
+        return _short(enc, text)
     ids: list[int] = []
     for p in pieces(text):
-        ids += enc.encode_ordinary(p)
+        ids += _short(enc, p)
     return ids
 
 

@@ -68,6 +68,30 @@ def test_cut_texts_have_the_same_ids(monkeypatch):
         assert bpe.encode(enc, t) == enc.encode_ordinary(t)
 
 
+def test_long_runs_of_blanks(monkeypatch):
+    """The library's matcher gives up on such runs; a plain loop over byte pairs doesn't."""
+    enc = bpe.encoding(RANKS)
+    for t in (" " * 2_000_000, "x" + "\n" * 2_000_000 + "y", "a b" * 100 + "\t\u00a0" * 600_000 + " é"):
+        assert enc.decode_bytes(bpe.encode(enc, t)) == t.encode()
+    ranks = enc._mergeable_ranks
+
+    def merged(piece):
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        while True:
+            best = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                return [ranks[p] for p in parts]
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    blanks = " \n\n  \t" * 200
+    monkeypatch.setattr(bpe, "RUN", 8)
+    bpe._runs.cache_clear()
+    assert bpe.encode(enc, "x" + blanks + " y") == merged(b"x") + merged(blanks.encode()) + merged(b" y")
+    for t in fuzz(300, 6) + [f"a{' ' * 20}\n{' ' * 9}b", "\u3000" * 12 + "!", "1" + "\x85" * 9]:
+        assert bpe.encode(enc, t) == enc.encode_ordinary(t)
+    bpe._runs.cache_clear()
+
+
 def test_encode_then_decode(spark, docs_of, odd):
     e = bpe.encode_text(docs_of(odd), RANKS)
     assert e.columns == ["doc_id", "text", "id", "h", "token_ids"]
