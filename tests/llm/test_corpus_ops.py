@@ -227,6 +227,26 @@ def test_substrings_odd_rows(spark, docs_of, odd):
     assert removed(substring_dedup.dedup_substrings(docs_of(rows), split=4, shard=8, chunk=50)) == brute_substrings(rows)
 
 
+def test_substrings_of_a_hot_passage(spark, docs_of):
+    """A passage in all documents with ever other surroundings, dealt by longer and longer strings."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, tails = word(170), [word(7) for _ in range(3)]
+    rows = [(k, word(r.randint(20, 90)) + passage + r.choice(tails) + word(r.randint(20, 90))) for k in range(150)] + [(k, word(5) + passage[:120]) for k in range(150, 170)]
+    want = brute_substrings(rows)
+    for split in (2, 7, 40):
+        assert removed(substring_dedup.dedup_substrings(docs_of(rows), split=split, shard=16)) == want
+
+
+def test_substrings_of_repeated_rows(spark, docs_of):
+    """Of equal rows one is whole; rows of an id are documents of their own, and a null id comes last."""
+    r = random.Random(10)
+    a, b = ("".join(r.choice("abcdefgh ") for _ in range(279)) for _ in range(2))
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a), (None, b + a)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in substring_dedup.dedup_substrings(docs_of(rows)).collect())
+    assert got == [(False, 1, 279, 0), (False, 1, 279, 0), (False, 1, 279, 279), (False, 2, 279, 279), (True, 0, 279, 279), (True, 0, 558, 558)]
+
+
 def test_anchors_of_pieces():
     r = np.random.default_rng(5)
     data = r.integers(97, 101, 3000).astype(np.uint8)
