@@ -67,6 +67,22 @@ def _meetings(m: DataFrame, block: int = 256) -> DataFrame:
     return x.join(y, ["entity_id", "i", "j"]).where("a < b").select("a", "b", "entity_id")
 
 
+def meetings_with(mentions: DataFrame, new: DataFrame, block: int = 256) -> DataFrame:
+    """src, dst of each new sphere (id) and every other one, once for each entity that they share; an entity's spheres come in blocks."""
+    m = mentions.select("sphere_id", "entity_id").distinct()
+    x = m.join(new.select(F.col("id").alias("sphere_id")), "sphere_id", "left_semi")
+    y = m.join(x.select("entity_id").distinct(), "entity_id", "left_semi")
+    count = lambda d, c: d.groupBy("entity_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(c))
+    n = count(x, "nx").join(count(y, "ny"), "entity_id")
+
+    def dealt(d, own, other, parts, others, name):
+        d = d.join(n, "entity_id").withColumn(own, F.pmod(F.xxhash64("sphere_id"), F.col(parts)).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(F.col("sphere_id").alias(name), "entity_id", "i", "j")
+
+    both = dealt(x, "i", "j", "nx", "ny", "src").join(dealt(y, "j", "i", "ny", "nx", "dst"), ["entity_id", "i", "j"])
+    return both.where("src <> dst").select("src", "dst")
+
+
 def entity_overlap(mentions: DataFrame, least: int = 2, base: float = 0.4, spread: int | None = None) -> DataFrame:
     """Spheres that share ``least`` entities; an entity in more than ``spread`` spheres (if given) links none.
 
@@ -117,30 +133,51 @@ def _words(c: Column, n: int) -> Column:
     return F.array_distinct(F.slice(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""), 1, n))
 
 
-def effect_score(cause: Column, sentence: Column) -> Column:
-    first = _words(cause, 15)
-    overlap = F.size(F.array_intersect(first, _words(sentence, 20))) / F.greatest(F.size(first), F.lit(1))
+def own_score(sentence: Column) -> Column:
+    """The part of an effect's score that doesn't depend on the cause."""
     n = F.length(sentence)
     return (
         F.when(_has(F.lower(sentence), L.EFFECT), 0.4).otherwise(0.0)
-        + 0.3 * overlap
         + F.when((n > 30) & (n < 300), 0.2).otherwise(0.0)
         + F.when(sentence.rlike(r"\d+%|\d+\.\d+"), 0.1).otherwise(0.0)
     )
 
 
+def effect_score(cause: Column, sentence: Column) -> Column:
+    first = _words(cause, 15)
+    overlap = F.size(F.array_intersect(first, _words(sentence, 20))) / F.greatest(F.size(first), F.lit(1))
+    return own_score(sentence) + 0.3 * overlap
+
+
 def direction(cause: Column, effect: Column) -> Column:
     c, e = F.lower(F.substring(cause, 1, 150)), F.lower(F.substring(effect, 1, 150))
     half = F.substring(c, F.lit(1), F.floor(F.length(c) / 2).cast("int"))
     return F.when(_has(e, L.REVERSE), "reverse").when(_has(c, L.FORWARD), "forward").when(_has(half, L.GENERIC), "forward").otherwise("bidirectional")
 
 
-def causal(spheres: DataFrame, markers: list[str] | None = None) -> DataFrame:
-    """For spheres of one file: the first cause of one that finds an effect in the other, and that effect."""
-    c = cause_sentences(spheres, markers)
-    e = _paragraph_sentences(spheres, 20).select(F.col("id").alias("other"), "source_file", F.col("i").alias("j"), F.col("s").alias("effect"))
-    d = c.join(e, "source_file").where("id <> other").withColumn("score", F.round(effect_score(F.col("cause"), F.col("effect")), 9))
-    best = d.groupBy("id", "other", "i", "cause").agg(F.max(F.struct("score", (-F.col("j")).alias("nj"), "effect")).alias("m")).where("m.score >= 0.3")
+def causal(spheres: DataFrame, markers: list[str] | None = None, least: float = 0.3, only: str | None = None) -> DataFrame:
+    """For spheres of one file: the first cause of one (or of ``only`` that one) that finds an effect in the other, and that effect.
+
+    A sentence reaches ``least`` by itself or with words that it shares with a cause.  Causes meet sentences in two ways,
+    neither of which is every pair of a file's sentences: over shared words, which are counted, and, where a sphere's best
+    sentence suffices by itself, that one with the first cause of each other sphere, as no later cause is asked then.
+    """
+    asking = spheres.where(F.col("id") == only) if only is not None else spheres
+    c = cause_sentences(asking, markers).withColumn("cw", _words(F.col("cause"), 15)).withColumn("nw", F.greatest(F.size("cw"), F.lit(1)))
+    near = spheres.join(asking.select("source_file").distinct(), "source_file", "left_semi") if only is not None else spheres
+    e = _paragraph_sentences(near, 20).select(F.col("id").alias("other"), "source_file", F.col("i").alias("j"), F.col("s").alias("effect"))
+    e = e.withColumn("own", own_score(F.col("effect"))).withColumn("ew", _words(F.col("effect"), 20))
+    # words that say something: a sentence that can't reach the least even with all words shared never does
+    e = e.where(F.round(F.col("own") + 0.3, 9) >= least)
+    asks = c.select("source_file", "id", "i", "cause", "nw", F.explode("cw").alias("w"))
+    has = e.select("source_file", "other", "j", "effect", "own", F.explode("ew").alias("w"))
+    meet = asks.join(has, ["source_file", "w"]).where("id <> other").groupBy("id", "i", "other", "j").agg(F.count(F.lit(1)).alias("k"), *[F.first(x).alias(x) for x in ("cause", "effect", "own", "nw")])
+    over = meet.select("id", "other", "i", "cause", F.round(F.col("own") + 0.3 * F.col("k") / F.col("nw"), 9).alias("score"), "j", "effect")
+    alone = e.withColumn("score", F.round("own", 9)).where(F.col("score") >= least).groupBy("source_file", "other").agg(F.max(F.struct("score", (-F.col("j")).alias("nj"), "effect")).alias("m"))
+    lead = c.groupBy("source_file", "id").agg(F.min(F.struct("i", "cause")).alias("l")).select("source_file", "id", "l.i", "l.cause")
+    alone = lead.join(alone, "source_file").where("id <> other").select("id", "other", "i", "cause", "m.score", (-F.col("m.nj")).alias("j"), "m.effect")
+    d = over.unionByName(alone).where(F.col("score") >= least)
+    best = d.groupBy("id", "other", "i", "cause").agg(F.max(F.struct("score", (-F.col("j")).alias("nj"), "effect")).alias("m"))
     first = best.groupBy("id", "other").agg(F.min(F.struct("i", "cause", "m")).alias("f")).select("id", "other", "f.cause", F.col("f.m.score").alias("score"), F.col("f.m.effect").alias("effect"))
     return _edges(first, "id", "other", X.clip(0.35 + 0.3 * F.col("score"), MIN_WEIGHT, 0.6), "axon", direction(F.col("cause"), F.col("effect")))
 
@@ -183,9 +220,8 @@ def incremental(new: DataFrame, existing: DataFrame, *, same: float = 0.6, other
     if mentions is not None:
         m = mentions.select("sphere_id", "entity_id").distinct()
         size = m.groupBy("sphere_id").agg(F.count(F.lit(1)).alias("n"))
-        x = m.join(new.select(F.col("id").alias("sphere_id")), "sphere_id").withColumnRenamed("sphere_id", "src")
-        y = m.join(existing.select(F.col("id").alias("sphere_id")), "sphere_id").withColumnRenamed("sphere_id", "dst")
-        shared = x.join(y, "entity_id").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+        among = m.join(new.select("id").union(existing.select("id")).distinct().toDF("sphere_id"), "sphere_id", "left_semi")
+        shared = meetings_with(among, new).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
         shared = shared.join(size.toDF("src", "ns"), "src").join(size.toDF("dst", "nd"), "dst").select("src", "dst", (F.col("c") / (F.col("ns") + F.col("nd") - F.col("c"))).alias("ratio"))
         found = sims.join(shared, ["src", "dst"], "full")
     of = lambda df, c, k: df.select(F.col("id").alias(c), F.col("cluster_id").alias(k))
@@ -218,6 +254,21 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.countDistinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("edges")).crossJoin(d.agg(F.round(F.avg("d"), 6).alias("avg_degree"), F.max("d").alias("max_degree")))
 
 
+def connection_table(spheres: DataFrame, threshold: float = 0.5, mentions: DataFrame | None = None, cooc: DataFrame | None = None) -> DataFrame:
+    """src, dst, rule, weight: every connection by the rule that makes it, before any merging."""
+    p = pairs(spheres, threshold)
+    parts = {"same_cluster": same_cluster(p), "cross_cluster": cross_cluster(p), "cross_cluster_same_file": cross_cluster_same_file(p, spheres), "temporal": temporal(spheres)}
+    if mentions is not None:
+        parts["entity_overlap"] = entity_overlap(mentions)
+    if cooc is not None:
+        parts["role_bridge"] = role_bridge(cooc, mentions)
+    out = None
+    for rule, e in parts.items():
+        rows = e.select("src", "dst", F.lit(rule).alias("rule"), "weight")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def connection_type(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight", F.when(F.col("kind") == "axon", F.concat(F.lit("axon:"), "direction")).otherwise("dendrite").alias("type"))
 

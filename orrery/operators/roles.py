@@ -61,7 +61,9 @@ def shared(m: DataFrame, a: str, b: str) -> DataFrame:
 def expand(m: DataFrame, sources: DataFrame | None = None, least: float = 0.3, top: int = 10) -> DataFrame:
     """source, target, entity_id, role, confidence: spheres that hold an active entity in the same role.
 
-    The confidence floor acts before the join: an entity that can't reach it joins nothing.
+    The confidence floor acts before the join: an entity that can't reach it joins nothing.  All spheres of an entity in a
+    role have one confidence, so a source's best ``top`` hold none but the first ``top`` of them besides itself: no
+    entity, however common, sends more targets to the join.
     """
     e = entities(m).where("occurrences >= 2")
     roles = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in ("n_phrase", "n_head", "n_attr")), F.lit(0))
@@ -71,7 +73,8 @@ def expand(m: DataFrame, sources: DataFrame | None = None, least: float = 0.3, t
     s = d.select(F.col("sphere_id").alias("source"), "entity_id", "role", "confidence")
     if sources is not None:
         s = s.join(sources.select(F.col("id").alias("source")), "source", "left_semi")
-    t = d.select(F.col("sphere_id").alias("target"), "entity_id", "role")
+    first = Window.partitionBy("entity_id", "role").orderBy("target")
+    t = d.select(F.col("sphere_id").alias("target"), "entity_id", "role").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= top + 1).drop("rn")
     w = Window.partitionBy("source").orderBy(F.desc("confidence"), "target", "entity_id", "role")
     return s.join(t, ["entity_id", "role"]).where("source <> target").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top).select("source", "target", "entity_id", "role", "confidence")
 

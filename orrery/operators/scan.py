@@ -51,6 +51,50 @@ def top_k(vectors: DataFrame, queries: dict[str, list[float]], k: int, *, cosine
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = 1024, cosine: bool = False) -> DataFrame:
+    """query_id, id, score: the k best of all vectors for each row of ``queries`` (id, embedding), ties by id.
+
+    For any number of queries: both sides are dealt into blocks, each block of queries meets each block of
+    vectors in one task, and the task hands on the best k of its queries only.
+    """
+    both = _blocks_of(queries, vectors, block)
+
+    def run(tbl):
+        ask = tbl.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        m = matrix(tbl.column("embedding").combine_chunks())
+        if cosine:
+            m = _unit(m)
+        ids = np.array(tbl.column("id").to_pylist(), object)
+        a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
+        b = b[np.argsort(ids[b])]
+        s = m[a] @ m[b].T
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        n = best.shape[1]
+        return pa.table({"query_id": pa.array(np.repeat(ids[a], n), pa.string()), "id": pa.array(ids[b][best].reshape(-1), pa.string()), "score": pa.array(np.take_along_axis(s, best, 1).reshape(-1))})
+
+    from pyspark.sql import Window
+
+    rows = both.groupBy("x", "y").applyInArrow(run, "query_id string, id string, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _blocks_of(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """(x, y, asks, id, embedding): every pair of a block of the left rows (which ask) and one of the right rows."""
+    nl, nr = (max(1, -(-df.count() // block)) for df in (left, right))
+
+    def rows(df, n, own, other, m, side):
+        d = df.select("id", "embedding").where("embedding is not null").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("x", "y", F.lit(side).alias("asks"), "id", "embedding")
+
+    return rows(left, nl, "x", "y", nr, True).unionByName(rows(right, nr, "y", "x", nl, False))
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, *, block: int = 1024, carry: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     """a, b, sim, and the carried columns as a_*, b_*: all pairs a < b whose cosine exceeds the threshold.
 
@@ -69,9 +113,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, block: int = 1024, ca
     def run(tbl):
         x, y = tbl.column("x")[0].as_py(), tbl.column("y")[0].as_py()
         blk = tbl.column("blk").to_numpy()
-        m = matrix(tbl.column("embedding").combine_chunks())
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        m = _unit(matrix(tbl.column("embedding").combine_chunks()))
         ids = np.array(tbl.column("id").to_pylist(), object)
         left, right = (np.arange(len(ids)), np.arange(len(ids))) if x == y else (np.flatnonzero(blk == x), np.flatnonzero(blk == y))
         s = m[left] @ m[right].T
@@ -93,15 +135,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, *, block: int = 1024, ca
 
 def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, *, block: int = 1024) -> DataFrame:
     """src, dst, sim: pairs of a left and a right row (other ids) whose cosine exceeds the threshold, block by block."""
-    nl, nr = (max(1, -(-df.count() // block)) for df in (left, right))
-    rows = lambda df, n, own, other, m, side: df.select("id", "embedding").where("embedding is not null").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("x", "y", F.lit(side).alias("asks"), "id", "embedding")
-    both = rows(left, nl, "x", "y", nr, True).unionByName(rows(right, nr, "y", "x", nl, False))
+    both = _blocks_of(left, right, block)
 
     def run(tbl):
         ask = tbl.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        m = matrix(tbl.column("embedding").combine_chunks())
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        m = _unit(matrix(tbl.column("embedding").combine_chunks()))
         ids = np.array(tbl.column("id").to_pylist(), object)
         a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
         s = m[a] @ m[b].T

@@ -15,7 +15,7 @@ from orrery.operators import edges as E
 from orrery.operators import evaluate as Q
 from orrery.operators import retrieve as R
 from orrery.operators import store as S
-from orrery.operators.scan import top_k
+from orrery.operators.scan import nearest
 
 QUERIES, SQL = {}, {}
 
@@ -77,10 +77,10 @@ def retrieve_excluding(spark, d):
     return _shown(R.retrieve(s, X.query_vector(spark, d), exclude=S.excluded(s.where("seq % 3 = 0"), s.where("seq % 6 = 0"))))
 
 
-@query("vector_top_k", PRE + "SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 1, 2) QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, CAST(b.vec_id AS VARCHAR)) <= 20")
+@query("vector_top_k", PRE + "SELECT CAST(a.vec_id AS VARCHAR) AS query_id, CAST(b.vec_id AS VARCHAR) AS id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, CAST(b.vec_id AS VARCHAR)) <= 20")
 def vector_top_k(spark, d):
-    q = {str(i): X.query_vector(spark, d, i) for i in range(3)}
-    return top_k(X.vectors(spark, d), q, 20).select("query_id", "id", F.round("score", 6).alias("score"))
+    v = X.vectors(spark, d)
+    return nearest(v.where(F.col("id").cast("long") % 50 == 0), v, 20).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("poincare_fullscan", PRE + f"SELECT id, round({POIN.format(ru='0.5', rv='0.5', cos=COS.format('q', 'v'))}, 6) AS dist FROM s, q ORDER BY {POIN.format(ru='0.5', rv='0.5', cos=COS.format('q', 'v'))}, id LIMIT 20")
@@ -424,15 +424,16 @@ def term_factor(spark, d):
 
 # -- evaluation ---------------------------------------------------------------------------------------------------
 
-_EV = PRE + ", qs AS (SELECT id AS query_id, v AS qv, cluster_id AS ql FROM s WHERE seq < 20), r AS (SELECT query_id, s.id, s.source_file, s.cluster_id = ql AS relevant, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(qv, s.v) DESC, s.id) AS rank FROM qs, s WHERE s.id <> query_id QUALIFY rank <= 10)"
+_EV = PRE + ", qs AS (SELECT id AS query_id, v AS qv, cluster_id AS ql FROM s WHERE seq % 50 = 0), r AS (SELECT query_id, s.id, s.source_file, s.cluster_id = ql AS relevant, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(qv, s.v) DESC, s.id) AS rank FROM qs, s WHERE s.id <> query_id QUALIFY rank <= 10)"
 
 
-def _results(spark, d, n=20, k=10):
+def _results(spark, d, k=10):
+    """The k nearest of every sphere whose id is divisible by 50, among all the others."""
     s = X.spheres(spark, d)
-    q = {r.id: [float(x) for x in r.embedding] for r in s.where(F.col("seq") < n).select("id", "embedding").toLocalIterator()}
-    lab = s.select(F.col("id").alias("query_id"), F.col("cluster_id").alias("ql"))
-    r = top_k(X.spheres(spark, d), q, k + 1).where("id <> query_id")
+    v = X.vectors(spark, d).join(s.select("id"), "id", "left_semi")
+    r = nearest(v.where(F.col("id").cast("long") % 50 == 0), v, k + 1).where("id <> query_id")
     r = Q.ranked(r, "score").where(F.col("rank") <= k)
+    lab = s.select(F.col("id").alias("query_id"), F.col("cluster_id").alias("ql"))
     return r.join(s.select("id", "source_file", "cluster_id"), "id").join(lab, "query_id").withColumn("relevant", F.col("cluster_id") == F.col("ql"))
 
 

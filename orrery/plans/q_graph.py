@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orrery import fixtures as X
@@ -133,16 +134,22 @@ def bridge(spark, d):
     return G.bridge(graph(spark, d), "5", "37").select("a", "b", "found", "length")
 
 
-@query("activation", GRAPH + """, gg AS (SELECT src, dst, round(weight, 6) AS weight FROM g), sd AS (SELECT * FROM (VALUES ('5', 1.0::DOUBLE), ('9', 0.6::DOUBLE), ('12', 0.01::DOUBLE)) z(id, a)),
+ACTIVATION = GRAPH + """, gg AS (SELECT src, dst, round(weight, 6) AS weight FROM g), sd AS (SELECT * FROM (VALUES ('5', 1.0::DOUBLE), ('9', 0.6::DOUBLE), ('12', 0.01::DOUBLE)) z(id, a)),
 h1 AS (SELECT dst AS id, sum(a * weight * 0.5) AS a FROM sd JOIN gg ON gg.src = sd.id WHERE a >= 0.05 AND a * weight * 0.5 >= 0.02 AND dst NOT IN (SELECT id FROM sd) GROUP BY 1),
 h2 AS (SELECT dst AS id, sum(a * weight * 0.5) AS a FROM h1 JOIN gg ON gg.src = h1.id WHERE a * weight * 0.5 >= 0.02 AND dst NOT IN (SELECT id FROM sd UNION SELECT id FROM h1) GROUP BY 1),
-al AS (SELECT * FROM sd UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) SELECT id, round(a / (SELECT max(a) FROM al), 4) AS activation FROM al""")
+al AS (SELECT * FROM sd UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
+
+
+@query("activation", ACTIVATION + " SELECT id, round(a / (SELECT max(a) FROM al), 4) AS activation FROM al")
 def activation(spark, d):
     return G.activation(graph(spark, d).withColumn("weight", F.round("weight", 6)), {"5": 1.0, "9": 0.6, "12": 0.01})
 
 
-@query("traction", GRAPH + """, sd AS (SELECT id FROM c ORDER BY ip DESC, id LIMIT 10), pl AS (SELECT src AS id, sum(weight) AS w FROM g WHERE weight >= 0.15 AND dst IN (SELECT id FROM sd) GROUP BY 1)
-SELECT c.id, round(ip, 6) AS score, round(ip + 0.1 * least(0.5, coalesce(w, 0) / 10) * (SELECT max(ip) - min(ip) FROM c), 6) AS boosted FROM c LEFT JOIN pl USING (id)""")
+_TRACTION = GRAPH + """, sd AS (SELECT id FROM c ORDER BY ip DESC, id LIMIT 10), pl AS (SELECT src AS id, sum(weight) AS w FROM g WHERE weight >= 0.15 AND dst IN (SELECT id FROM sd) GROUP BY 1)
+SELECT c.id, ip AS s0, ip + 0.1 * least(0.5, coalesce(w, 0) / 10) * (SELECT max(ip) - min(ip) FROM c) AS b0 FROM c LEFT JOIN pl USING (id)"""
+
+
+@query("traction", "SELECT id, round(s0, 6) AS score, round(b0, 6) AS boosted FROM (" + _TRACTION + ")")
 def traction(spark, d):
     return _traction(spark, d).select("id", F.round("score", 6).alias("score"), F.round("boosted", 6).alias("boosted"))
 
@@ -154,7 +161,7 @@ def _traction(spark, d):
     return G.traction(c, graph(spark, d), c.orderBy(F.desc("score"), "id").limit(10))
 
 
-@query("traction_movement")
+@query("traction_movement", "SELECT round(avg(m), 6) AS avg_move, count(*) FILTER (m > 0) AS moved_up, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY s0 DESC, id) - row_number() OVER (ORDER BY b0 DESC, id) AS m FROM (" + _TRACTION + "))")
 def traction_movement(spark, d):
     return G.movement(_traction(spark, d))
 
@@ -215,89 +222,92 @@ def incremental_edges(spark, d):
 
 # -- roles: tokens of six letters and more stand for entities, their length for their role --------------------------
 
-MEN = """WITH w0 AS (SELECT CAST(doc_id AS VARCHAR) AS sphere_id, regexp_extract_all(lower(text), '[a-z]{6,}') AS l FROM documents WHERE doc_id < 400 AND lang = 'en'),
+MEN = """WITH w0 AS (SELECT CAST(doc_id AS VARCHAR) AS sphere_id, regexp_extract_all(lower(text), '[a-z]{6,}') AS l FROM documents),
 m AS (SELECT sphere_id, i AS seq, l[i] AS entity_text, md5(l[i])[1:8] AS entity_id, CASE WHEN len(l[i]) >= 9 THEN 'phrase' WHEN len(l[i]) >= 7 THEN 'head' ELSE 'attributive' END AS role FROM w0, unnest(generate_series(1, len(l))) g(i)),
 en AS (SELECT entity_id, min(entity_text) AS entity_text, count(*) AS occurrences, count(DISTINCT sphere_id) FILTER (role = 'phrase') AS n_phrase, count(DISTINCT sphere_id) FILTER (role = 'head') AS n_head, count(DISTINCT sphere_id) FILTER (role = 'attributive') AS n_attr FROM m GROUP BY 1),
 fs AS (SELECT sphere_id, entity_id, min(seq) AS f FROM m GROUP BY ALL), co AS (SELECT fs.entity_id, m.entity_id AS other_id, count(*) AS cnt FROM fs JOIN m USING (sphere_id) WHERE fs.entity_id <> m.entity_id AND f < seq GROUP BY ALL),
 ds AS (SELECT DISTINCT sphere_id, entity_id FROM m)"""
 
 
-def _mentions(spark, d, part: bool = False):
-    """Mentions of all documents; with ``part`` of those alone that the SQL forms (MEN) read."""
+def _mentions(spark, d):
     t = X.read(spark, d, "documents")
-    t = t.where("doc_id < 400 and lang = 'en'") if part else t
     t = t.select(F.col("doc_id").cast("string").alias("sphere_id"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("p", "w"))
     n = F.length("w")
     return O.from_rows(t.select("sphere_id", F.col("w").alias("text"), F.when(n >= 9, "phrase").when(n >= 7, "head").otherwise("attributive").alias("role"), F.col("p").alias("order")))
 
 
 @query("entities", MEN + " SELECT * FROM en")
-def entities(spark, d, part=True):
-    return O.entities(_mentions(spark, d, part))
+def entities(spark, d):
+    return O.entities(_mentions(spark, d))
 
 
 @query("role_stats", MEN + " SELECT count(*) AS entities, count(*) FILTER (occurrences >= 2) AS active, CAST(sum(occurrences) AS BIGINT) AS occurrences, (SELECT count(DISTINCT sphere_id) FROM m) AS spheres FROM en")
-def role_stats(spark, d, part=True):
-    return O.stats(_mentions(spark, d, part))
+def role_stats(spark, d):
+    return O.stats(_mentions(spark, d))
 
 
 @query("role_distribution", MEN + " SELECT entity_id, n_phrase AS phrase, n_head AS head, n_attr AS attributive FROM en")
-def role_distribution(spark, d, part=True):
-    return O.distribution(_mentions(spark, d, part))
+def role_distribution(spark, d):
+    return O.distribution(_mentions(spark, d))
+
 
+@query("cooccurrence", MEN + " SELECT entity_id, other_id, cnt, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY cnt DESC, other_id) AS INTEGER) AS rank FROM co WHERE cnt >= 2 QUALIFY rank <= 10")
+def cooccurrence(spark, d):
+    w = Window.partitionBy("entity_id").orderBy(F.desc("cnt"), "other_id")
+    return O.cooccurrence(_mentions(spark, d)).where("cnt >= 2").withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
-@query("cooccurrence", MEN + " SELECT * FROM co WHERE cnt >= 2")
-def cooccurrence(spark, d, part=True):
-    return O.cooccurrence(_mentions(spark, d, part)).where("cnt >= 2")
 
+@query("shared_entities", MEN + " SELECT DISTINCT entity_text FROM m WHERE entity_id IN (SELECT entity_id FROM ds WHERE sphere_id = '3' INTERSECT SELECT entity_id FROM ds WHERE sphere_id = '8')")
+def shared_entities(spark, d):
+    return O.shared(_mentions(spark, d), "3", "8")
 
-@query("shared_entities", MEN + " SELECT DISTINCT entity_text FROM m WHERE entity_id IN (SELECT entity_id FROM ds WHERE sphere_id = '1' INTERSECT SELECT entity_id FROM ds WHERE sphere_id = '2')")
-def shared_entities(spark, d, part=True):
-    return O.shared(_mentions(spark, d, part), "1", "2")
 
+_OK = MEN + """, cf AS (SELECT entity_id, least(0.95, greatest(0.3, 0.5 + CASE WHEN occurrences >= 5 THEN 0.2 WHEN occurrences >= 3 THEN 0.1 ELSE 0 END + 0.08 * ((n_phrase > 0)::INT + (n_head > 0)::INT + (n_attr > 0)::INT))) AS j FROM en WHERE occurrences >= 2),
+dd AS (SELECT DISTINCT sphere_id, entity_id, role, round(CASE role WHEN 'phrase' THEN 1.0 WHEN 'head' THEN 0.6 ELSE 0.4 END * j, 6) AS confidence FROM m JOIN cf USING (entity_id)), ok AS (SELECT * FROM dd WHERE confidence >= 0.3)"""
 
-@query("role_expand", MEN + """, cf AS (SELECT entity_id, least(0.95, greatest(0.3, 0.5 + CASE WHEN occurrences >= 5 THEN 0.2 WHEN occurrences >= 3 THEN 0.1 ELSE 0 END + 0.08 * ((n_phrase > 0)::INT + (n_head > 0)::INT + (n_attr > 0)::INT))) AS j FROM en WHERE occurrences >= 2),
-dd AS (SELECT DISTINCT sphere_id, entity_id, role, round(CASE role WHEN 'phrase' THEN 1.0 WHEN 'head' THEN 0.6 ELSE 0.4 END * j, 6) AS confidence FROM m JOIN cf USING (entity_id)), ok AS (SELECT * FROM dd WHERE confidence >= 0.3)
+
+@query("role_expand", _OK + """
 SELECT a.sphere_id AS source, b.sphere_id AS target, a.entity_id, a.role, CAST(a.confidence AS DOUBLE) AS confidence FROM ok a JOIN ok b ON a.entity_id = b.entity_id AND a.role = b.role AND a.sphere_id <> b.sphere_id
 QUALIFY row_number() OVER (PARTITION BY a.sphere_id ORDER BY a.confidence DESC, b.sphere_id, a.entity_id, a.role) <= 10""")
-def role_expand(spark, d, part=True):
-    return O.expand(_mentions(spark, d, part))
+def role_expand(spark, d):
+    return O.expand(_mentions(spark, d))
 
 
-@query("edges_entity_overlap", MEN + ", ok AS (SELECT entity_id FROM ds GROUP BY 1 HAVING count(*) <= 10), dk AS (SELECT ds.* FROM ds JOIN ok USING (entity_id)), n AS (SELECT sphere_id, count(*) AS n FROM dk GROUP BY 1), b AS (SELECT x.sphere_id AS a, y.sphere_id AS b, count(*) AS c FROM dk x JOIN dk y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id GROUP BY ALL HAVING count(*) >= 2) SELECT a AS src, b AS dst, round(least(0.4, greatest(0.1, 0.4 * (0.6 + 0.4 * c / (na.n + nb.n - c)))), 6) AS weight FROM b JOIN n na ON na.sphere_id = a JOIN n nb ON nb.sphere_id = b")
-def edges_entity_overlap(spark, d, part=True):
-    return _w(E.entity_overlap(_mentions(spark, d, part), spread=10 if part else None))
+@query("edges_entity_overlap", MEN + ", n AS (SELECT sphere_id, count(*) AS n FROM ds GROUP BY 1), b AS (SELECT x.sphere_id AS a, y.sphere_id AS b, count(*) AS c FROM ds x JOIN ds y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id GROUP BY ALL HAVING count(*) >= 2) SELECT a AS src, b AS dst, round(least(0.4, greatest(0.1, 0.4 * (0.6 + 0.4 * c / (na.n + nb.n - c)))), 6) AS weight FROM b JOIN n na ON na.sphere_id = a JOIN n nb ON nb.sphere_id = b")
+def edges_entity_overlap(spark, d):
+    return _w(E.entity_overlap(_mentions(spark, d)))
 
 
 @query("edges_role_bridge", MEN + ", ph AS (SELECT DISTINCT entity_id, sphere_id FROM m WHERE role = 'phrase'), po AS (SELECT * FROM ph WHERE entity_id IN (SELECT entity_id FROM ph GROUP BY 1 HAVING count(*) <= 30)), st AS (SELECT * FROM co WHERE cnt >= 3 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY cnt DESC, other_id) <= 5) SELECT x.sphere_id AS src, y.sphere_id AS dst, round(greatest(0.1, 0.35 * least(1.0, cnt / 6)), 6) AS weight FROM st JOIN po x ON x.entity_id = st.entity_id JOIN po y ON y.entity_id = st.other_id WHERE st.entity_id < st.other_id AND x.sphere_id < y.sphere_id")
-def edges_role_bridge(spark, d, part=True):
-    m = _mentions(spark, d, part)
+def edges_role_bridge(spark, d):
+    m = _mentions(spark, d)
     return _w(E.role_bridge(O.cooccurrence(m), m))
 
 
-@query("entity_graph", MEN + ", ok AS (SELECT entity_id FROM ds GROUP BY 1 HAVING count(*) <= 5) SELECT DISTINCT x.sphere_id AS a, y.sphere_id AS b FROM ds x JOIN ds y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id JOIN ok ON ok.entity_id = x.entity_id")
-def entity_graph(spark, d, part=True):
-    m = _mentions(spark, d, part)
-    if part:  # the SQL form leaves entities of more than five spheres out
-        few = m.groupBy("entity_id").agg(F.countDistinct("sphere_id").alias("n")).where("n <= 5").select("entity_id")
-        m = m.join(few, "entity_id", "left_semi")
-    return E.entity_edges(m)
+@query("entity_graph", MEN + " SELECT DISTINCT x.sphere_id AS a, y.sphere_id AS b FROM ds x JOIN ds y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id")
+def entity_graph(spark, d):
+    return E.entity_edges(_mentions(spark, d))
 
 
 @query("expand_entities", MEN + ", r AS (SELECT sphere_id, min(CASE entity_text WHEN 'ertion' THEN 1 ELSE 2 END) AS o FROM m WHERE entity_text IN ('ertion', 'thtion') GROUP BY 1) SELECT sphere_id AS target, CASE o WHEN 1 THEN 'ertion' ELSE 'thtion' END AS entity, CAST(0.5 AS DOUBLE) AS confidence FROM r ORDER BY o, sphere_id LIMIT 10")
-def expand_entities(spark, d, part=True):
-    return O.expand_entities(_mentions(spark, d, part), ["ertion", "thtion"])
+def expand_entities(spark, d):
+    return O.expand_entities(_mentions(spark, d), ["ertion", "thtion"])
 
 
-@query("key_entities")
+@query("key_entities", MEN + """, k AS (SELECT sphere_id, entity_text AS t, occurrences * coalesce(c, 0) AS k FROM ds JOIN en USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS c FROM co GROUP BY 1) USING (entity_id)),
+l AS (SELECT sphere_id, list([t] ORDER BY k DESC, t) AS l FROM k GROUP BY 1)
+SELECT sphere_id, array_to_string(list_reduce(l, lambda acc, x: CASE WHEN len(acc) < 5 AND len(list_filter(acc, lambda y: contains(y, x[1]) OR contains(x[1], y))) = 0 THEN list_concat(acc, x) ELSE acc END), '|') AS entities FROM l""")
 def key_entities(spark, d):
     return O.key_entities(_mentions(spark, d)).select("sphere_id", F.array_join("entities", "|").alias("entities"))
 
 
-@query("expand_pool")
+@query("expand_pool", _OK + """, ht AS (SELECT DISTINCT sphere_id AS id, 1 / (1 + CAST(sphere_id AS INTEGER)) AS score FROM m WHERE CAST(sphere_id AS INTEGER) % 50 = 0),
+t10 AS (SELECT a.sphere_id AS source, b.sphere_id AS target, a.entity_id, a.role, a.confidence FROM ok a JOIN ht ON ht.id = a.sphere_id JOIN ok b ON a.entity_id = b.entity_id AND a.role = b.role AND a.sphere_id <> b.sphere_id QUALIFY row_number() OVER (PARTITION BY a.sphere_id ORDER BY a.confidence DESC, b.sphere_id, a.entity_id, a.role) <= 10),
+t3 AS (SELECT t10.*, score FROM t10 JOIN ht ON ht.id = source WHERE target NOT IN (SELECT id FROM ht) QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target, entity_id, role) <= 3)
+SELECT target AS id, round(max(score * confidence * 0.6), 6) AS score FROM t3 GROUP BY 1 ORDER BY max(score * confidence * 0.6) DESC, id LIMIT 20""")
 def expand_pool(spark, d):
     m = _mentions(spark, d)
-    hits = m.select(F.col("sphere_id").alias("id")).distinct().where("cast(id as int) < 12").withColumn("score", 1 / (1 + F.col("id").cast("int")))
+    hits = m.select(F.col("sphere_id").alias("id")).distinct().where("cast(id as int) % 50 = 0").withColumn("score", 1 / (1 + F.col("id").cast("int")))
     return O.expand_pool(m, hits).withColumn("score", F.round("score", 6))
 
 
@@ -306,24 +316,27 @@ def expand_pool(spark, d):
 _COM = MEN + ", cm AS (SELECT DISTINCT sphere_id AS id, CAST(sphere_id AS INTEGER) % 6 AS community FROM m), sz AS (SELECT community, count(*) AS size FROM cm GROUP BY 1 HAVING count(*) >= 5), sj AS (SELECT cm.community, entity_text AS subject, count(DISTINCT cm.id) AS freq, any_value(size) AS size FROM cm JOIN sz USING (community) JOIN m ON m.sphere_id = cm.id AND role = 'phrase' GROUP BY ALL)"
 
 
-def _communities(spark, d, part: bool = False):
-    return _mentions(spark, d, part).select(F.col("sphere_id").alias("id")).distinct().withColumn("community", F.col("id").cast("int") % 6)
+def _communities(spark, d):
+    return _mentions(spark, d).select(F.col("sphere_id").alias("id")).distinct().withColumn("community", F.col("id").cast("int") % 6)
 
 
 @query("community_subjects", _COM + " SELECT community, subject, freq, size FROM sj WHERE freq >= 3")
-def community_subjects(spark, d, part=True):
-    return H.subjects(_communities(spark, d, part), _mentions(spark, d, part)).where("freq >= 3")
+def community_subjects(spark, d):
+    return H.subjects(_communities(spark, d), _mentions(spark, d)).where("freq >= 3")
+
+
+_CON = _COM + """, cc AS (SELECT *, 'c_' || md5('concept:' || lower(trim(subject)))[1:8] AS id FROM (SELECT * FROM sj WHERE freq >= greatest(2, floor(size * 0.02)) QUALIFY row_number() OVER (PARTITION BY community ORDER BY freq DESC, subject) <= 3)),
+o AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY id ORDER BY community, subject) = 1), kd AS (SELECT DISTINCT o.id AS concept, o.community, o.freq, substr(subject, 1, 80) AS t, m.sphere_id AS child FROM o JOIN cm USING (community) JOIN m ON m.sphere_id = cm.id AND lower(m.entity_text) = lower(o.subject))"""
 
 
-@query("concepts", _COM + """, cc AS (SELECT *, 'c_' || md5('concept:' || lower(trim(subject)))[1:8] AS id FROM (SELECT * FROM sj WHERE freq >= greatest(2, floor(size * 0.02)) QUALIFY row_number() OVER (PARTITION BY community ORDER BY freq DESC, subject) <= 3)),
-o AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY id ORDER BY community, subject) = 1), k AS (SELECT o.id, count(DISTINCT m.sphere_id) AS n FROM o JOIN cm USING (community) JOIN m ON m.sphere_id = cm.id AND lower(m.entity_text) = lower(o.subject) GROUP BY 1)
+@query("concepts", _CON + """, k AS (SELECT o.id, count(DISTINCT m.sphere_id) AS n FROM o JOIN cm USING (community) JOIN m ON m.sphere_id = cm.id AND lower(m.entity_text) = lower(o.subject) GROUP BY 1)
 SELECT o.id, substr(subject, 1, 80) AS text, community, freq, CAST(n AS INTEGER) AS children, CAST(round(1 + 0.1 * n, 6) AS DOUBLE) AS mass FROM o JOIN k USING (id)""")
-def concepts(spark, d, part=True):
-    c = H.concepts(_communities(spark, d, part), _mentions(spark, d, part), coverage=0.02)
+def concepts(spark, d):
+    c = H.concepts(_communities(spark, d), _mentions(spark, d), coverage=0.02)
     return c.select("id", "text", "community", "freq", F.size("child_ids").alias("children"), F.round("mass", 6).alias("mass"))
 
 
-@query("concept_parents")
+@query("concept_parents", _CON + " SELECT child AS id, concept AS parent_id FROM kd QUALIFY row_number() OVER (PARTITION BY child ORDER BY community, freq DESC, t, concept) = 1")
 def concept_parents(spark, d):
     return H.parents(H.concepts(_communities(spark, d), _mentions(spark, d), coverage=0.02))
 
@@ -334,7 +347,15 @@ def incremental_graph(spark, d):
     return H.incremental_edges(s, H.added(s, s.where("seq % 10 <> 0")), threshold=0.25)
 
 
-@query("grow_hierarchy")
+_GROW = (
+    PAIRS.replace(f"sim > {T}", "sim > 0.25") + MEN.replace("WITH w0", ", w0", 1)
+    + ", eg AS (SELECT a, b FROM p UNION SELECT x.sphere_id, y.sphere_id FROM ds x JOIN ds y ON x.entity_id = y.entity_id AND x.sphere_id < y.sphere_id), g AS (SELECT a AS src, b AS dst FROM eg UNION ALL SELECT b, a FROM eg), l0 AS (SELECT DISTINCT src AS id, src AS label FROM g), "
+    + ", ".join(_STEP.format(n=i, p=i - 1) for i in (1, 2, 3))
+    + _COM[len(MEN) :].replace("cm AS (SELECT DISTINCT sphere_id AS id, CAST(sphere_id AS INTEGER) % 6 AS community FROM m)", "cm AS (SELECT id, label AS community FROM l3)").replace("HAVING count(*) >= 5", "HAVING count(*) >= 3")
+)
+
+
+@query("grow_hierarchy", _GROW + _CON[len(_COM) :].replace("size * 0.02", "size * 0.01") + " SELECT id, substr(subject, 1, 80) AS text, community, freq FROM o WHERE id IN (SELECT concept FROM kd)")
 def grow_hierarchy(spark, d):
     c, k = H.grow(X.spheres(spark, d), _mentions(spark, d), threshold=0.25, rounds=3, least=3, coverage=0.01)
     return k.select("id", "text", "community", "freq")
@@ -346,21 +367,9 @@ def split_concepts(spark, d):
     return H.split_concepts(k, X.vectors(spark, d))
 
 
-@query("concept_centroids")
+@query("concept_centroids", _CON + ", x AS (SELECT concept, i, avg(CAST(embedding[i] AS DOUBLE)) AS a, count(*) AS n FROM kd JOIN embeddings ON CAST(vec_id AS VARCHAR) = child, unnest(generate_series(1, 64)) g(i) WHERE vec_id IN (SELECT doc_id FROM documents) GROUP BY ALL) SELECT concept, round(sqrt(sum(a * a)), 6) AS norm, max(n) AS n FROM x GROUP BY 1")
 def concept_centroids(spark, d):
     from orrery.operators.cluster import concept_centroids as cc
 
     k = H.concepts(_communities(spark, d), _mentions(spark, d), coverage=0.02)
     return cc(k, X.spheres(spark, d)).select("concept", F.round(V.norm(F.col("centroid")), 6).alias("norm"), "n")
-
-
-# -- the queries whose SQL form reads a part of the documents, over all of them -------------------------------------
-
-
-def _whole(fn):
-    return lambda spark, d: fn(spark, d, part=False)
-
-
-# shared_entities asks for two documents by id, which may share nothing: it has the parameter, but no second name
-for _fn in (entities, role_stats, role_distribution, cooccurrence, role_expand, edges_entity_overlap, edges_role_bridge, entity_graph, expand_entities, community_subjects, concepts):
-    query(f"{_fn.__name__}_all")(_whole(_fn))

@@ -15,7 +15,7 @@ from orrery.operators import retrieve as R
 from orrery.operators import store as S
 from orrery.plans import models as M
 from orrery.plans.q_core import PRE
-from orrery.plans.q_graph import graph
+from orrery.plans.q_graph import ACTIVATION, graph
 
 QUERIES, SQL = {}, {}
 
@@ -40,15 +40,15 @@ def fallback_entities(spark, d):
     return w.withColumn("rn", F.row_number().over(o)).where("rn <= 5").drop("rn")
 
 
-@query("heading_histogram", "WITH t AS (SELECT '## ' || lang || chr(10) || text AS t FROM documents ORDER BY doc_id LIMIT 5000), h AS (SELECT len(regexp_extract(substr(t, 1, 200), '(?m)^##(#*)\\s+(.+)$', 1)) + 1 AS level, trim(regexp_extract(substr(t, 1, 200), '(?m)^##(#*)\\s+(.+)$', 2)) AS title FROM t) SELECT CAST(level AS INTEGER) AS level, title, count(*) AS n FROM h GROUP BY ALL ORDER BY n DESC, title LIMIT 25")
+@query("heading_histogram", "WITH t AS (SELECT '## ' || lang || chr(10) || text AS t FROM documents), h AS (SELECT len(regexp_extract(substr(t, 1, 200), '(?m)^##(#*)\\s+(.+)$', 1)) + 1 AS level, trim(regexp_extract(substr(t, 1, 200), '(?m)^##(#*)\\s+(.+)$', 2)) AS title FROM t) SELECT CAST(level AS INTEGER) AS level, title, count(*) AS n FROM h GROUP BY ALL ORDER BY n DESC, title LIMIT 25")
 def heading_histogram(spark, d):
-    t = X.read(spark, d, "documents").orderBy("doc_id").limit(5000).select(T.heading(F.concat(F.lit("## "), F.col("lang"), F.lit("\n"), F.col("text"))).alias("h")).where("h is not null")
+    t = X.read(spark, d, "documents").select(T.heading(F.concat(F.lit("## "), F.col("lang"), F.lit("\n"), F.col("text"))).alias("h")).where("h is not null")
     return t.groupBy("h.level", "h.title").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "title").limit(25)
 
 
-@query("activation_stats")
+@query("activation_stats", ACTIVATION.replace(", ('12', 0.01::DOUBLE)", "") + ", r AS (SELECT round(a / (SELECT max(a) FROM al), 4) AS activation FROM al) SELECT count(*) AS n, max(activation) AS max, min(activation) AS min, round(avg(activation), 6) AS mean FROM r")
 def activation_stats(spark, d):
-    a = G.activation(graph(spark, d), {"5": 1.0, "9": 0.6})
+    a = G.activation(graph(spark, d).withColumn("weight", F.round("weight", 6)), {"5": 1.0, "9": 0.6})
     return a.agg(F.count(F.lit(1)).alias("n"), F.max("activation").alias("max"), F.min("activation").alias("min"), F.round(F.avg("activation"), 6).alias("mean"))
 
 
@@ -104,7 +104,7 @@ def embed_offline(spark, d):
     return M.embed(t).select("id", F.size("embedding").alias("dim"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x, 5).cast("string")), ",")).alias("digest"))
 
 
-@query("ask_offline")
+@query("ask_offline", "WITH p AS (SELECT conv_id, string_agg('[第' || CAST(rn AS VARCHAR) || '段] ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn) AS p FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id), q AS (SELECT conv_id, substr(p, instr(p, '] ') + 2) AS p FROM p) SELECT conv_id, substr(CASE WHEN instr(p, '. ') > 0 THEN substr(p, 1, instr(p, '. ') - 1) ELSE p END, 1, 300) AS reply, CAST(NULL AS VARCHAR) AS error FROM q")
 def ask_offline(spark, d):
     c = X.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
     return c.withColumn("g", M.generate(T.prompt(F.transform("l", lambda x: x["text"])))).select("conv_id", "g.reply", "g.error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -80,7 +81,7 @@ def stream_event_counts(spark, d):
     return I.collect_stream(c, _name("counts"), "complete").select("event_type", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-@query("stream_exclusions")
+@query("stream_exclusions", "SELECT user_id AS session_id, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
 def stream_exclusions(spark, d):
     e = _stream(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     return I.collect_stream(N.stream_exclusions(e, 10, None), _name("exclusions"), "update").select("session_id", F.explode("ids").alias("id"))
@@ -102,7 +103,11 @@ def ingest_chunks(spark, d):
 def stream_ingest(spark, d):
     from orrery.sources.tables import Store
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     root = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     store = Store(spark, f"{root}/store")
     docs = _stream(spark, d, "documents").select("text", F.col("source").alias("source_file"), F.col("lang").alias("source_type"))
