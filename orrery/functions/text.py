@@ -153,7 +153,7 @@ def score_of_reply(reply: Column) -> Column:
 
 def json_of_reply(reply: Column) -> Column:
     """The reply if it is JSON, else its first fenced JSON block, else null."""
-    block = F.regexp_extract(reply, r"(?s)```json\s*(\{.*?\})\s*```", 1)
+    block = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     ok = lambda c: F.try_parse_json(c).isNotNull()
     return F.when(ok(reply), reply).when((block != "") & ok(block), block)
 

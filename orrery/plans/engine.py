@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +30,12 @@ class Engine:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, store: Store | None = None, dim: int = 64):
         self.spark, self.store, self.dim = spark, store, dim
+        self.embed_query = M.QueryEmbedder(dim)
         self.tables = dict(tables or {})
         if store is not None:
             for name in store.current():
-                self.tables.setdefault(name, store.load(name))
+                if name != "wal":
+                    self.tables.setdefault(name, store.load(name))
         self.register()
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -48,12 +53,13 @@ class Engine:
 
     # -- queries
 
-    def embed_query(self, text: str) -> list[float]:
-        return M.embed_texts([text], self.dim)[0]
-
     def _with_vectors(self) -> DataFrame:
         return self["spheres"].join(self["vectors"], "id")
 
+    def hyde(self, query: str, k: int = 5, backend: str = "offline", **kw) -> DataFrame:
+        """``query`` by the vector of a made-up answer."""
+        return self.query(M.hypothetical(query, backend), k, **kw)
+
     def query(self, query: str | list[float], k: int = 5, fetch_k: int = 50, mode: str = "hyperbolic", exclude: DataFrame | None = None, focus: str | None = None) -> DataFrame:
         q = self.embed_query(query) if isinstance(query, str) else query
         s = self._with_vectors()
@@ -69,14 +75,20 @@ class Engine:
         return p.withColumn("g", M.generate(F.col("prompt"), backend)).select(F.lit(question).alias("question"), "sources", "g.reply", "g.error")
 
     def multi(self, query: str | list[float], k: int = 5, mode: str = "gravity") -> DataFrame:
-        """simple: cosine; gravity: similarity x mass; deep: activation over the graph, then greedy diversity."""
+        """id, score.  simple: cosine; gravity: similarity x mass; poincare: similarity over hyperbolic distance; deep: activation
+        over the graph, then greedy diversity.  Another mode raises."""
         q = self.embed_query(query) if isinstance(query, str) else query
         s = self._with_vectors().where("active")
+        best = lambda d: d.orderBy(F.desc("score"), "id").limit(k)
         if mode == "gravity":
-            return R.gravity_score(s, q, F.col("effective_mass")).orderBy(F.desc("score"), "id").limit(k)
+            return best(R.gravity_score(s, q, F.col("effective_mass")))
+        if mode == "poincare":
+            return best(R.poincare_score(s, q))
         c = R.candidates(s, q)
+        if mode == "simple":
+            return best(c.select("id", F.col("ip").alias("score")))
         if mode != "deep":
-            return c.select("id", F.col("ip").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+            raise ValueError(f"no such mode: {mode}")
         seeds = {r.id: r.ip for r in c.orderBy(F.desc("ip"), "id").limit(10).select("id", "ip").collect()}
         act = G.activation(self["edges"], seeds)
         pool = s.join(act.orderBy(F.desc("activation"), "id").limit(100), "id").withColumn("query_id", F.lit("q"))
@@ -89,6 +101,20 @@ class Engine:
     def document(self, id_: str) -> DataFrame:
         return S.get(self["spheres"], id_).drop("text", "gravity_field", "term_weights")
 
+    def list_documents(self, limit: int = 100, offset: int = 0) -> DataFrame:
+        """A page of active documents by id, without their texts."""
+        ids = S.page(self["spheres"], limit, offset, "id")
+        return self["spheres"].join(F.broadcast(ids), "id").drop("text", "gravity_field", "term_weights").orderBy("id")
+
+    def stats(self) -> DataFrame:
+        return S.stats(self["spheres"].withColumn("seq", F.col("id")))
+
+    def backends(self) -> dict[str, bool]:
+        return M.backends()
+
+    def connections(self, id_: str) -> DataFrame:
+        return S.neighbours(self["edges"], id_)
+
     def navigate(self, id_: str, hops: int = 2, least: float = 0.2) -> DataFrame:
         return G.navigate(self["edges"], id_, hops, least)
 
@@ -121,6 +147,82 @@ class Engine:
         self.tables |= {"spheres": s, "vectors": v} | ({"edges": e} if "edges" in self.tables else {})
         self.register()
 
+    def add_connection(self, a: str, b: str, weight: float = 1.0) -> None:
+        """An edge in both directions; a known one gets the weight.  Radii stay."""
+        new = self.spark.createDataFrame([(a, b, float(weight)), (b, a, float(weight))], "src string, dst string, weight double")
+        self.tables["edges"] = S.upsert_edges(self["edges"], new)
+        self.register()
+
+    def rewrite(self, docs: DataFrame, backend: str | None = None, **kw) -> DataFrame:
+        """docs (id, text, source_file, source_type), by rule or by a model."""
+        return M.rewrite_full(docs, backend, **kw) if backend else M.rewrite(docs, **kw)
+
+    def migrate_texts(self, backend: str | None = None) -> None:
+        """All active spheres rewritten in place; ids stay, as edges and vectors hang on them."""
+        new = self.rewrite(S.active(self["spheres"]), backend).select("id", F.col("content").alias("_content"))
+        d = self["spheres"].join(new, "id", "left").withColumn("text", F.coalesce("_content", "text"))
+        self.tables["spheres"] = d.select(*self["spheres"].columns)
+        self._publish("spheres")
+
+    def rebuild_connections(self, threshold: float = 0.5, with_causal: bool = False) -> DataFrame:
+        """All edges anew; their number and the mean degree."""
+        sv = self._with_vectors().where("active")
+        m = self.tables.get("mentions")
+        self.tables["edges"] = E.build(sv, threshold=threshold, mentions=m, cooc=O.cooccurrence(m) if m is not None else None, with_causal=with_causal)
+        self._publish("edges")
+        return E.graph_stats(self["edges"])
+
+    def rebuild_axon(self, id_: str | None = None) -> DataFrame:
+        """Causal edges of all spheres, or of one, merged into the graph; how many there are."""
+        found = E.causal(S.active(self["spheres"]), only=id_)
+        old = self.tables.get("edges")
+        self.tables["edges"] = E.merge(old, found) if old is not None else E.merge(found)
+        self._publish("edges")
+        return self["edges"].where("kind = 'axon' and src < dst").agg(F.count(F.lit(1)).alias("axons"))
+
+    def calibrate(self) -> DataFrame:
+        """Masses and diversities from the graph; their statistics."""
+        new = D.calibrate(self._with_vectors().where("active"), self["edges"]).select("id", "mass", "diversity")
+        self.tables["spheres"] = S.update(self["spheres"], new)
+        self._publish("spheres")
+        return D.mass_stats(self["spheres"].where("active"))
+
+    def ingest(self, docs: DataFrame, entry: str | None = None) -> DataFrame:
+        """What was added, under a write-ahead entry: ready, then committing, then the tables, then done.
+
+        The new rows are appended to the stored tables by one pointer, so an entry that isn't done when the engine starts
+        again (``recover``) has added all of its rows or none, and is rolled back: the next try adds what isn't there.
+        """
+        entry = entry or uuid.uuid4().hex
+        self._log(entry, "ready")
+        new = to_spheres(docs)
+        new = S.insert(self["spheres"], new) if "spheres" in self.tables else new
+        self._log(entry, "committing")
+        self.store.append({"spheres": new, "vectors": M.embed(new, self.dim)})
+        self.tables |= {n: self.store.load(n) for n in ("spheres", "vectors")}
+        self.register()
+        self._log(entry, "done")
+        return self.spark.read.parquet(f"{self.store.root}/{self.store.current()['spheres'][-1]}")
+
+    def _log(self, entry: str, status: str) -> None:
+        now = time.time()
+        row = self.spark.createDataFrame([(entry, status, now)], "entry_id string, status string, updated_at double")
+        if status == "ready":
+            self.store.append({"wal": row})
+        else:
+            self.store.save_all({"wal": S.wal_advance(self.store.load("wal"), row)})
+
+    def recover(self, hours: float = 24) -> DataFrame:
+        """At start: unfinished entries are rolled back, old finished ones forgotten; the entries that were rolled back now."""
+        if self.store is None or "wal" not in self.store.current():
+            return self.spark.createDataFrame([], "entry_id string")
+        wal = self.store.load("wal")
+        open_ = [r.entry_id for r in wal.where("status in ('ready', 'committing')").select("entry_id").collect()]
+        self.store.save_all({"wal": S.wal_clean(S.wal_recover(wal), time.time(), hours)})
+        self.tables = {n: self.store.load(n) for n in self.store.current() if n != "wal"}
+        self.register()
+        return self.spark.createDataFrame([(e,) for e in open_], "entry_id string")
+
     def rebuild(self, *, full: bool = False, k: int | None = 5, threshold: float = 0.5, with_causal: bool = False) -> None:
         """Clusters, fields, roles, edges, calibration and radius, in this order; full also embeds anew and grows concepts.
 

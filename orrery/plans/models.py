@@ -37,6 +37,18 @@ def lexical(prompts: list[str]) -> list[str]:
 BACKENDS: dict[str, Backend] = {"offline": extractive, "lexical": lexical}
 
 
+def backends() -> dict[str, bool]:
+    """Every backend, and whether a probe of one prompt comes back."""
+    return {name: available(name) for name in BACKENDS}
+
+
+def available(backend: str) -> bool:
+    try:
+        return backend in BACKENDS and len(BACKENDS[backend](["ping"])) == 1
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def generate(prompt: Column, backend: str = "offline") -> Column:
     """struct(reply, error)."""
     fn = BACKENDS.get(backend)
@@ -80,6 +92,70 @@ def embed(docs: DataFrame, dim: int = 64, fn: Callable[[list[str], int], list[li
     return docs.select("id", run("text").alias("embedding"))
 
 
+class QueryEmbedder:
+    """Query vectors with a bounded cache; when it is full its older quarter goes."""
+
+    def __init__(self, dim: int = 64, fn: Callable[[list[str], int], list[list[float]]] = embed_texts, most: int = 1000, prefix: str = ""):
+        self.dim, self.fn, self.most, self.prefix = dim, fn, most, prefix
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache: dict[str, list[float]] = {}
+        self.hits = self.misses = 0
+
+    def __call__(self, text: str) -> list[float]:
+        if text in self.cache:
+            self.hits += 1
+            return self.cache[text]
+        self.misses += 1
+        vec = self.fn([self.prefix + text], self.dim)[0]
+        if len(self.cache) >= self.most:
+            for k in list(self.cache)[: max(1, self.most // 4)]:
+                del self.cache[k]
+        self.cache[text] = vec
+        return vec
+
+    def stats(self) -> dict[str, int]:
+        return {"hits": self.hits, "misses": self.misses, "size": len(self.cache), "max": self.most}
+
+
+def hypothetical(query: str, backend: str = "offline") -> str:
+    """A made-up answer to look for instead of the query; the query itself where the backend has none."""
+    if not available(backend):
+        return query
+    reply = BACKENDS[backend]([f"Write a short passage that answers: {query}"])[0]
+    return reply.strip() or query
+
+
+#: A structured reply: JSON with these keys.
+REWRITTEN = "struct<title:string,summary:string,content:string,entities:array<string>,sections:array<struct<heading:string,content:string>>>"
+
+
+def rewrite_full(docs: DataFrame, backend: str, *, tries: int = 3, most_chars: int = 6000, aliases: dict | None = None) -> DataFrame:
+    """docs (id, text, source_file, source_type) by a model that answers in JSON, bare or in a fence.
+
+    A reply that can't be read is asked for again, ``tries`` times in all; what has none then is rewritten by rule, as are
+    all documents of an unknown backend.  rewrite_model says which path made a row.
+    """
+    d = docs.withColumn("_try", F.lit(None).cast(REWRITTEN))
+    prompt = F.concat(F.lit("Rewrite as JSON with title, summary, content, entities and sections. Kind: "), F.coalesce("source_type", F.lit("")), F.lit("\n\n"), F.substring("text", 1, most_chars))
+    for _ in range(tries if backend in BACKENDS else 0):
+        reply = T.json_of_reply(generate(F.when(F.col("_try").isNull(), prompt), backend)["reply"])
+        d = d.withColumn("_try", F.coalesce("_try", F.from_json(reply, REWRITTEN)))
+    light = rewrite(docs.select("id", "text", "source_file", "source_type"), light=[], aliases=aliases).select("id", *[F.col(c).alias(f"_{c}") for c in ("title", "content", "summary", "entities")])
+    d = d.select("id", "_try").join(light, "id")
+    known = lambda e: F.transform(e, lambda x: T.canonical(x, aliases))
+    entities = F.array_sort(F.array_distinct(F.concat(known(F.coalesce("_try.entities", F.array().cast("array<string>"))), "_entities")))
+    has = F.col("_try").isNotNull()
+    return d.select(
+        "id", F.coalesce("_try.title", "_title").alias("title"), F.coalesce("_try.content", "_content").alias("content"),
+        F.when(has, F.coalesce("_try.summary", F.lit(""))).otherwise(F.col("_summary")).alias("summary"),
+        F.when(has, entities).otherwise(F.col("_entities")).alias("entities"),
+        F.coalesce("_try.sections", F.array().cast("array<struct<heading:string,content:string>>")).alias("sections"),
+        F.when(has, backend).otherwise("rule").alias("rewrite_model"),
+    )
+
+
 def rewrite(docs: DataFrame, full: list[str] = (), light: list[str] = (), aliases: dict | None = None) -> DataFrame:
     """Clean documents: title, content, summary, entities, and which path made them (light needs no model)."""
     clean = T.drop_noise(F.col("text"))

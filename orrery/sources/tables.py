@@ -90,10 +90,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 class Store:
-    """Versioned tables under a root: a version is a directory, a pointer file names the one that counts.
+    """Versioned tables under a root: a version is a directory, and the newest of numbered pointer files names those that count.
 
-    ``save_all`` writes every table of a change into a new version and moves the pointer last, so that readers
-    see all of a change or nothing of it.
+    ``save_all`` writes every table of a change into a new version and a pointer of the next number last, by one rename, so
+    that readers see all of a change or nothing of it, and a job that dies at any point leaves the pointer before it in
+    force.  Of two writers at once the second raises.  A table may consist of several versions' directories: ``append``
+    adds one and rewrites nothing, ``compact`` makes one of them.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
@@ -104,36 +106,64 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, rel: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rel}")
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rel}" if rel else self.root)
 
-    def current(self) -> dict[str, str]:
-        if not self._fs().exists(self._path("current.json")):
-            return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/current.json", wholetext=True).collect()))
+    def _pointers(self) -> list[int]:
+        if not self._fs().exists(self._path("")):
+            return []
+        names = (s.getPath().getName() for s in self._fs().listStatus(self._path("")))
+        return sorted(int(n[len("current-") : -len(".json")]) for n in names if n.startswith("current-") and n.endswith(".json"))
+
+    def _pointed(self, number: int) -> dict[str, list[str]]:
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/current-{number:012d}.json", wholetext=True).collect()))
+
+    def current(self) -> dict[str, list[str]]:
+        """The directories of each table."""
+        known = self._pointers()
+        return self._pointed(known[-1]) if known else {}
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.current()[name]}")
+        return self.spark.read.parquet(*(f"{self.root}/{p}" for p in self.current()[name]))
 
     def save_all(self, tables: dict[str, DataFrame], partition: dict[str, list[str]] | None = None) -> None:
+        self._change(tables, partition or {}, False)
+
+    def append(self, tables: dict[str, DataFrame], partition: dict[str, list[str]] | None = None) -> None:
+        """The rows beside those that are there; a table that isn't there is made."""
+        self._change(tables, partition or {}, True)
+
+    def compact(self, name: str) -> None:
+        if len(self.current().get(name, ())) > 1:
+            self.save_all({name: self.load(name)})
+
+    def _change(self, tables: dict[str, DataFrame], partition: dict[str, list[str]], beside: bool) -> None:
         version = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        now = self.current()
+        known = self._pointers()
+        now = self._pointed(known[-1]) if known else {}
         for name, df in tables.items():
             w = df.write
-            if partition and name in partition:
+            if name in partition:
                 w = w.partitionBy(*partition[name])
             w.parquet(f"{self.root}/{version}/{name}")
-            now[name] = f"{version}/{name}"
-        fs, tmp = self._fs(), self._path(f"current.json.{version}")
+            now[name] = [*(now.get(name, ()) if beside else ()), f"{version}/{name}"]
+        self._point(now, known[-1] + 1 if known else 0)
+        self._sweep()
+
+    def _point(self, now: dict[str, list[str]], number: int) -> None:
+        fs, tmp, final = self._fs(), self._path(f"_{number}-{uuid.uuid4().hex}.json"), self._path(f"current-{number:012d}.json")
         out = fs.create(tmp)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        if fs.exists(self._path("current.json")):
-            fs.delete(self._path("current.json"), False)
-        fs.rename(tmp, self._path("current.json"))
-        self._sweep(now)
-
-    def _sweep(self, now: dict[str, str]) -> None:
-        live = {p.split("/")[0] for p in now.values()}
+        if fs.exists(final) or not fs.rename(tmp, final):
+            fs.delete(tmp, False)
+            raise RuntimeError(f"another writer has published change {number} of {self.root}")
+
+    def _sweep(self) -> None:
+        """Old pointers, and versions that neither of the two newest names; of those the last ``keep`` stay, as a writer may be at them."""
+        known = self._pointers()
+        for number in known[:-2]:
+            self._fs().delete(self._path(f"current-{number:012d}.json"), False)
+        live = {p.split("/")[0] for n in known[-2:] for paths in self._pointed(n).values() for p in paths}
         old = sorted(s.getPath().getName() for s in self._fs().listStatus(self._path("")) if s.isDirectory())
         for v in [v for v in old if v not in live][: -self.keep or None]:
             self._fs().delete(self._path(v), True)

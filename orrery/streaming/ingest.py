@@ -18,14 +18,18 @@ def to_spheres(docs: DataFrame) -> DataFrame:
     return schema.complete(c.withColumn("id", schema.sphere_id(F.col("source_file"), F.col("text")))).dropDuplicates(["id"])
 
 
-def upsert_into(store, name: str = "spheres") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends what isn't there; a batch that runs again adds nothing."""
+def upsert_into(store, name: str = "spheres", parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends what isn't there; a batch that runs again adds nothing.
+
+    A batch writes its own rows only; a table of more than ``parts`` directories is made one.
+    """
 
     def batch(docs: DataFrame, _: int) -> None:
         new = to_spheres(docs)
         have = store.current()
-        rows = store.load(name).unionByName(S.insert(store.load(name), new)) if name in have else new
-        store.save_all({name: rows})
+        store.append({name: S.insert(store.load(name), new) if name in have else new})
+        if len(have.get(name, ())) >= parts:
+            store.compact(name)
 
     return batch
 

@@ -53,3 +53,33 @@ def stream_exclusions(returned: DataFrame, most: int = 100, ttl_ms: int | None =
 
     kind = dict(returned.dtypes)["session_id"]
     return returned.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, ids array<bigint>", "ids array<bigint>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stream_history(turns: DataFrame, rounds: int = 10, ttl_ms: int | None = 1_800_000) -> DataFrame:
+    """Keyed state of turns (session_id, seq, role, content): session_id, history (the newest ``rounds`` rounds as text).
+
+    A session idle for ``ttl_ms`` (None: never) is forgotten.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, batches, state: GroupState):
+        if ttl_ms is not None and state.hasTimedOut:
+            state.remove()
+            return
+        roles, said = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
+        for b in batches:
+            b = b.sort_values("seq")
+            roles += b["role"].tolist()
+            said += b["content"].tolist()
+        over = max(0, len(roles) - 2 * rounds)
+        over += over % 2  # whole rounds go
+        roles, said = roles[over:], said[over:]
+        state.update((roles, said))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        text = "\n\n".join(f"{'Human' if r == 'user' else 'Assistant'}: {c}" for r, c in zip(roles, said))
+        yield pd.DataFrame({"session_id": [key[0]], "history": [text]})
+
+    kind = dict(turns.dtypes)["session_id"]
+    return turns.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, history string", "roles array<string>, said array<string>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
