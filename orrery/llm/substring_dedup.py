@@ -168,7 +168,10 @@ def _shard(tbl):
     cls = np.cumsum(~reach[order]) - 1
     where = np.empty(len(text), np.int64)
     where[start[of] + inner] = np.arange(len(of))
-    w = where[order]  # windows in the order of the suffix array
+    many = np.bincount(cls)[cls] > 1  # windows of classes of one are done with
+    cls = cls[many]
+    cls = np.cumsum(np.diff(cls, prepend=cls[:1]) > 0)
+    w = where[order[many]]  # windows in the order of the suffix array
     g_doc, g_at = doc[of[w]], begin[of[w]] + inner[w]
     by = np.lexsort((g_at, g_doc, cls))
     first = by[np.flatnonzero(np.diff(cls[by], prepend=-1))]  # of each class, the window that starts first

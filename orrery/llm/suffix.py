@@ -41,7 +41,7 @@ def _place(sa, at, c, v, forward):
     """Put the suffixes v of first symbols c at their buckets' running heads (tails), keeping their order."""
     order = np.argsort(c, kind="stable")
     c, v = c[order], v[order]
-    first = np.flatnonzero(np.diff(c, prepend=-1))
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     size = np.diff(np.append(first, len(c)))
     rank = np.arange(len(c)) - np.repeat(first, size)
     sa[at[c] + rank if forward else at[c] - rank] = v
@@ -51,7 +51,9 @@ def _place(sa, at, c, v, forward):
 def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """The suffix array, given the LMS suffixes in order (or, for sorting LMS substrings, in any order)."""
     n = len(t)
-    ti = t.astype(np.int64)
+    ti = t.astype(np.uint8 if sigma <= 1 << 8 else np.uint16 if sigma <= 1 << 16 else np.int64)  # small symbols are sorted by radix
+    where = np.int32 if n < 1 << 31 else np.int64
+    lms = lms.astype(where)
     count = np.bincount(ti, minlength=sigma)
     end = np.cumsum(count)
     start = end - count
@@ -59,7 +61,7 @@ def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndar
     n_lms = np.bincount(ti[lms], minlength=sigma)
     by_char = np.split(lms[np.argsort(ti[lms], kind="stable")], np.cumsum(n_lms)[:-1])
     used = np.flatnonzero(count)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, where)
     head = start.copy()
     large = ~s
 
@@ -69,7 +71,7 @@ def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndar
         if len(v):
             _place(sa, head, ti[v], v, True)
 
-    push_large(np.array([n]))
+    push_large(np.array([n], where))
     for c in used:
         done = start[c]
         while done < head[c]:
@@ -109,7 +111,9 @@ def _names(t: np.ndarray, lms: np.ndarray, in_order: np.ndarray) -> np.ndarray:
         np.cumsum(mixed * p[: len(t)], out=sums[1:])
         h = B.mix((sums[stop] - sums[lms]) * q[lms] + (stop - lms).astype(np.uint64))
     h[-1] ^= np.uint64(1)  # the last one runs into the end and equals no other
-    where = np.searchsorted(lms, in_order)
+    number = np.empty(len(t), np.int32 if len(t) < 1 << 31 else np.int64)
+    number[lms] = np.arange(len(lms))
+    where = number[in_order]
     hs = h[where]
     names = np.empty(len(lms), np.int64)
     names[where] = np.concatenate([[0], np.cumsum(hs[1:] != hs[:-1])])
