@@ -7,11 +7,15 @@ numbers of pairs seen once, twice and more.  It also sends, for each next word,
 contexts and its tokens to the word buckets, where they become sorted arrays the same way.
 
 Hot contexts (a word may hold a third of all tokens) are spread over all buckets by pair; their partial
-statistics, at most ``HOT`` contexts, are summed by the driver.  Which contexts are spread is guessed from
+statistics, of at most ``HOT`` contexts, are summed by one aggregation.  Which contexts are spread is guessed from
 about one document in 97; the guess balances the work and has no influence on any count.
 
+The names of the buckets' arrays are arrays themselves, one for each ``SEGMENT`` buckets, so that neither the driver nor
+a worker holds a list of all buckets: the driver sums nothing but a few totals and one name for each segment.
+
 Scoring.  Workers map the arrays from the shared folder and look up each slice's distinct words and pairs by
-binary search.  Only the pages they touch are read, so a model may exceed a worker's memory.
+binary search.  Only the pages they touch are read, so a model may exceed a worker's memory.  From a store that can't be
+mapped a worker copies the arrays it looks into, ``NEAR_BYTES`` of them at most, the one used longest ago going first.
 
 Tokens are words between ASCII white space, A-Z lower-cased, then one end; a start stands before the first word
 and is never predicted.  Probability is shared out over the V known tokens and one unknown.
@@ -30,6 +34,7 @@ import os
 import pickle
 import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,9 @@ from orrery.llm.common import Scratch, arrow_map, table, texts
 FLUSH = 2_000_000
 BUCKET_ROWS = 1_000_000
 HOT = 1000
+#: Buckets whose names are one array, and partitions that merge buckets at most.
+SEGMENT, MOST_PARTS = 4096, 100_000
+NEAR_BYTES = 4 << 30
 U = np.uint64
 START, END = U(0x5354415254535441), U(0x454E44454E44454E)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -155,8 +163,7 @@ def _save(store, path: str, x: np.ndarray) -> None:
 
 def _merge_pairs(root: str, places: Places, n_words: int):
     """A bucket's blocks into sorted arrays; rows: what the next steps need of it."""
-    names = ["kind", "bucket", "block"]
-    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.binary())])
+    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.binary()), ("context", pa.int64()), ("nums", pa.list_(pa.int64()))])
 
     def run(key, tbl):
         bucket = key[0].as_py()
@@ -178,17 +185,16 @@ def _merge_pairs(root: str, places: Places, n_words: int):
         name = f"pairs-{bucket}-{uuid.uuid4().hex}"
         for kind, x in (("key", k), ("count", c.astype(np.uint32) if c.max() < 1 << 32 else c), ("context", ctx[~hot]), ("stat", stat[~hot])):
             _save(store, f"{base}/{name}.{kind}.npy", x)
-        rows = [("file", bucket, name.encode()), ("counts", bucket, pickle.dumps([int((c == i).sum()) for i in (1, 2, 3, 4)]))]
-        if hot.any():
-            rows.append(("hot", bucket, pickle.dumps((ctx[hot], stat[hot]))))
+        rows = [("file", bucket, name.encode(), None, [int((c == i).sum()) for i in (1, 2, 3, 4)])]
+        rows += [("hot", bucket, None, v, n.tolist()) for v, n in zip(B.signed(ctx[hot]).tolist(), stat[hot])]
         wu, inv = np.unique(w, return_inverse=True)
         kinds, tokens = np.bincount(inv), np.bincount(inv, c).astype(np.int64)
         to = bucket_of(wu, n_words)
         order = np.argsort(to, kind="stable")
         ids, start = np.unique(to[order], return_index=True)
         for b, part in zip(ids, np.split(order, start[1:])):
-            rows.append(("words", int(b), pickle.dumps((wu[part], _small(kinds[part]), _small(tokens[part])), protocol=5)))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], names=names)
+            rows.append(("words", int(b), pickle.dumps((wu[part], _small(kinds[part]), _small(tokens[part])), protocol=5), None, None))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
@@ -230,22 +236,15 @@ def build(train: DataFrame, scratch: Scratch) -> str:
     n_words = max(6, math.ceil(0.1 * tokens / BUCKET_ROWS))
     places = Places(n, hot)
     blocks = arrow_map(train.select("doc_id", "text"), _blocks_of_pairs(places), "bucket int, block binary")
-    merged = scratch.put(blocks.groupBy("bucket").applyInArrow(_merge_pairs(root, places, n_words), "kind string, bucket int, block binary"), "merged")
-    words = scratch.put(merged.where("kind = 'words'").groupBy("bucket").applyInArrow(_merge_words(root), "bucket int, name string, stats array<long>"), "words")
-    meta = {"n": n, "n_words": n_words, "hot": [], "pairs": {}, "words": {}}
-    counts, hot_sum, total = [0] * 4, {}, [0] * 8
-    for r in merged.where("kind <> 'words'").toLocalIterator():
-        if r.kind == "file":
-            meta["pairs"][r.bucket] = bytes(r.block).decode()
-        elif r.kind == "counts":
-            counts = [a + b for a, b in zip(counts, pickle.loads(r.block))]
-        else:
-            for v, s in zip(*pickle.loads(r.block)):
-                hot_sum[int(v)] = hot_sum.get(int(v), 0) + s
-    for r in words.toLocalIterator():
-        meta["words"][r.bucket] = r.name
-        total = [a + b for a, b in zip(total, r.stats)]
-    meta["hot"] = [[v, *map(int, s)] for v, s in sorted(hot_sum.items())]
+    to = lambda df, n: df.repartition(min(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_PARTS), "bucket").groupBy("bucket")
+    merged = scratch.put(to(blocks, n).applyInArrow(_merge_pairs(root, places, n_words), "kind string, bucket int, block binary, context long, nums array<long>"), "merged")
+    words = scratch.put(to(merged.where("kind = 'words'").select("bucket", "block"), n_words).applyInArrow(_merge_words(root), "bucket int, name string, stats array<long>"), "words")
+    sums = lambda df, col, k: [int(x or 0) for x in df.agg(*[F.sum(F.col(col)[i]) for i in range(k)]).first()]
+    files = merged.where("kind = 'file'")
+    counts, total = sums(files, "nums", 4), sums(words, "stats", 8)
+    hot_sum = merged.where("kind = 'hot'").groupBy("context").agg(*[F.sum(F.col("nums")[i]).alias(f"n{i}") for i in range(4)]).collect()  # at most HOT rows
+    meta = {"n": n, "n_words": n_words, "pairs": _directory(files.select("bucket", F.col("block").cast("string").alias("name")), root, "pairs"), "words": _directory(words.select("bucket", "name"), root, "words")}
+    meta["hot"] = sorted([int(np.int64(r.context).view(U)), r.n0, r.n1, r.n2, r.n3] for r in hot_sum)
     meta |= {"places": [int(x) for x in places.hot], "v": total[0], "tokens": total[1], "kinds": total[2], "d2": discounts(*counts), "d1": discounts(*total[3:7])}
     d = meta["d1"]
     meta["left"] = d[0] * total[3] + d[1] * total[4] + d[2] * total[7]
@@ -257,6 +256,22 @@ def build(train: DataFrame, scratch: Scratch) -> str:
     return root
 
 
+def _directory(names: DataFrame, root: str, kind: str) -> dict[str, str]:
+    """The arrays of names (bucket, name), one a segment: segment number -> array."""
+
+    def run(key, tbl):
+        segment = key[0].as_py()
+        out = np.zeros(SEGMENT, "S48")
+        out[np.array(tbl.column("bucket").to_pylist()) % SEGMENT] = [x.encode() for x in tbl.column("name").to_pylist()]
+        store, base = open_store(root)
+        name = f"{kind}-names-{segment}-{uuid.uuid4().hex}"
+        _save(store, f"{base}/{name}.npy", out)
+        return pa.table({"segment": pa.array([segment], pa.int32()), "name": [name]})
+
+    rows = names.withColumn("segment", F.floor(F.col("bucket") / SEGMENT).cast("int")).groupBy("segment").applyInArrow(run, "segment int, name string")
+    return {str(r.segment): r.name for r in rows.collect()}
+
+
 def _hot_contexts(train: DataFrame) -> tuple[np.ndarray, float]:
     """(contexts to spread, at most HOT; about how many tokens there are), from a thin slice of the documents."""
 
@@ -288,24 +303,39 @@ class Model:
         hot = np.array([r[0] for r in m["hot"]], U)
         order = np.argsort(hot)
         self.hot, self.hot_stat = hot[order], np.array([r[1:] for r in m["hot"]], np.int64).reshape(-1, 4)[order]
-        self.maps: dict[str, np.ndarray] = {}
-        self.folder = None
+        self.maps: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.folder, self.near = None, 0
 
     def array(self, name: str) -> np.ndarray:
-        if name not in self.maps:
-            from pyarrow import fs
-
-            path = f"{self.base}/{name}.npy"
-            if not isinstance(self.store, fs.LocalFileSystem):  # a store that can't be mapped: by way of a local copy
-                self.folder = self.folder or tempfile.TemporaryDirectory()
-                near = os.path.join(self.folder.name, f"{name}.npy")
-                with self.store.open_input_stream(path) as f, open(near, "wb") as out:
-                    while chunk := f.read(8 << 20):
-                        out.write(chunk)
-                path = near
-            self.maps[name] = np.load(path, mmap_mode="r")
+        if name in self.maps:
+            self.maps.move_to_end(name)
+            return self.maps[name]
+        from pyarrow import fs
+
+        path = f"{self.base}/{name}.npy"
+        if not isinstance(self.store, fs.LocalFileSystem):
+            path = self._copy(path, name)
+        self.maps[name] = np.load(path, mmap_mode="r")
         return self.maps[name]
 
+    def _copy(self, path: str, name: str) -> str:
+        self.folder = self.folder or tempfile.TemporaryDirectory()
+        near = os.path.join(self.folder.name, f"{name}.npy")
+        self.near += self.store.get_file_info(path).size
+        while self.near > NEAR_BYTES and self.maps:
+            old = os.path.join(self.folder.name, f"{self.maps.popitem(last=False)[0]}.npy")
+            self.near -= os.path.getsize(old)
+            os.remove(old)
+        with self.store.open_input_stream(path) as f, open(near, "wb") as out:
+            while chunk := f.read(8 << 20):
+                out.write(chunk)
+        return near
+
+    def name_of(self, kind: str, bucket: int) -> str | None:
+        """What the arrays of a bucket are called; None if it has none."""
+        segment = self.m[kind].get(str(bucket // SEGMENT))
+        return self.array(segment)[bucket % SEGMENT].decode() or None if segment else None
+
     @staticmethod
     def _find(keys: np.ndarray, q: np.ndarray):
         """(positions, found) of sorted queries."""
@@ -323,7 +353,7 @@ class Model:
         """(tokens, distinct contexts) of distinct words."""
         tokens, kinds = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
         for b, at in self._by_bucket(bucket_of(w, self.m["n_words"]), w):
-            name = self.m["words"].get(str(b))
+            name = self.name_of("words", b)
             if name:
                 k, ok = self._find(self.array(f"{name}.key"), w[at])
                 tokens[at[ok]] = self.array(f"{name}.tokens")[k[ok]]
@@ -334,7 +364,7 @@ class Model:
         """(total, seen once, twice, more) of distinct contexts."""
         out = np.zeros((len(v), 4), np.int64)
         for b, at in self._by_bucket(bucket_of(v, self.m["n"]), v):
-            name = self.m["pairs"].get(str(b))
+            name = self.name_of("pairs", b)
             if name:
                 k, ok = self._find(self.array(f"{name}.context"), v[at])
                 out[at[ok]] = self.array(f"{name}.stat")[k[ok]]
@@ -347,7 +377,7 @@ class Model:
         """Counts of distinct pairs."""
         out = np.zeros(len(key), np.int64)
         for b, at in self._by_bucket(self.places.of(v, key), key):
-            name = self.m["pairs"].get(str(b))
+            name = self.name_of("pairs", b)
             if name:
                 k, ok = self._find(self.array(f"{name}.key"), key[at])
                 out[at[ok]] = self.array(f"{name}.count")[k[ok]]
