@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import time
 import uuid
@@ -29,7 +30,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-MANIFEST = "_manifest.json"
+#: Manifests are numbered, and the newest counts: none is ever replaced, so a writer that dies leaves the last one in force.
+MANIFEST = "_manifest-{:012d}.json"
+_NUMBERED = re.compile(r"_manifest-(\d{12})\.json")
 SCHEMA = "name string, archive string, position long, attempts int, payload binary, error string"
 _ARROW = pa.schema([("name", pa.string()), ("archive", pa.string()), ("position", pa.int64()), ("attempts", pa.int32()), ("payload", pa.binary()), ("error", pa.string())])
 
@@ -110,12 +113,13 @@ class ArchiveWriter(DataSourceArrowWriter):
         store, root = open_store(self.root)
         store.create_dir(root, recursive=True)
         new = sorted(a for m in messages if m is not None for a in m.archives)
-        old = _manifest(store, root)
-        with store.open_output_stream(f"{root}/{MANIFEST}.{self.job}") as f:
+        number, old = _manifest(store, root)
+        draft, final = f"{root}/_draft-{self.job}.json", f"{root}/{MANIFEST.format(number + 1)}"
+        with store.open_output_stream(draft) as f:
             f.write(json.dumps(old + new).encode())
-        if store.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.NotFound and not isinstance(store, fs.LocalFileSystem):
-            store.delete_file(f"{root}/{MANIFEST}")
-        store.move(f"{root}/{MANIFEST}.{self.job}", f"{root}/{MANIFEST}")
+        if store.get_file_info(final).type != fs.FileType.NotFound:
+            raise OSError(f"another writer has committed {final}")
+        store.move(draft, final)
         self._sweep(store, root, {a[0] for a in new})
 
     def abort(self, messages):
@@ -128,11 +132,13 @@ class ArchiveWriter(DataSourceArrowWriter):
                 store.delete_file(info.path)
 
 
-def _manifest(store: fs.FileSystem, root: str) -> list:
-    if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
-        return []
-    with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-        return [tuple(x) for x in json.loads(f.read())]
+def _manifest(store: fs.FileSystem, root: str) -> tuple[int, list]:
+    """(number, archives) of the newest manifest; (-1, none) without one."""
+    found = [int(m[1]) for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if (m := _NUMBERED.fullmatch(i.base_name))]
+    if not found:
+        return -1, []
+    with store.open_input_stream(f"{root}/{MANIFEST.format(max(found))}") as f:
+        return max(found), [tuple(x) for x in json.loads(f.read())]
 
 
 class ArchiveReader(DataSourceReader):
@@ -147,7 +153,7 @@ class ArchiveReader(DataSourceReader):
     def partitions(self):
         store, root = open_store(self.root)
         out = []
-        for name, size, _ in _manifest(store, root):
+        for name, size, _ in _manifest(store, root)[1]:
             n = max(1, -(-size // self.range))
             out += [ByteRange(name, size, size * k // n, size * (k + 1) // n) for k in range(n)]
         return out

@@ -232,5 +232,6 @@ def test_members_are_retried_by_themselves(spark, docs_of, tmp_path, monkeypatch
 def test_uncommitted_archives_are_not_read(spark, docs_of, tmp_path):
     media.store_media(docs_of([(1, "a")]), str(tmp_path))
     (tmp_path / "other-attempt.zip").write_bytes(b"half")
+    (tmp_path / "_draft-of-one-that-died.json").write_text('[["other-')
     media.store_media(docs_of([(2, "b")]), str(tmp_path))
     assert sorted(r.name for r in media.read_media(spark, str(tmp_path)).collect()) == ["1", "2"]
