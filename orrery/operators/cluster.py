@@ -100,8 +100,8 @@ def kmeans(vectors: DataFrame, k: int | None = 5, seed: int = 42, runs: int = 3,
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    d = vectors.withColumn("features", array_to_vector(V.doubles(F.col("embedding"))))
-    n = vectors.count()
+    d = vectors.withColumn("features", array_to_vector(V.doubles(F.col("embedding")))).persist()  # read once, for all starts
+    n = d.count()
     k = auto_k(vectors, seed) if k is None else k
     k = min(k, max(2, n))
     best = None
@@ -110,6 +110,7 @@ def kmeans(vectors: DataFrame, k: int | None = 5, seed: int = 42, runs: int = 3,
         m = (km.setWeightCol(weight_col) if weight_col else km).fit(d)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
+    d.unpersist()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
     centre = vectors.sparkSession.createDataFrame(rows, "cluster_id int, centroid array<double>").select("cluster_id", V.unit(F.col("centroid")).alias("centroid"))
     label = best.transform(d).select("id", "cluster_id", "embedding").join(F.broadcast(centre), "cluster_id")
@@ -122,12 +123,13 @@ def auto_k(vectors: DataFrame, seed: int = 42, least: int = 5, most: int = 20) -
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    n = vectors.count()
-    d = vectors.select("id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
+    d = vectors.select("id", array_to_vector(V.doubles(F.col("embedding"))).alias("features")).persist()  # read once, for all k
+    n = d.count()
     best = (-2.0, -1)
     for k in range(least, min(most, int(n**0.5)) + 1):
         m = KMeans(k=k, seed=seed).fit(d)
         best = max(best, (ClusteringEvaluator().evaluate(m.transform(d)), -k))
+    d.unpersist()
     return -best[1]
 
 

@@ -84,6 +84,7 @@ def traction(cands: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float
 
 
 def movement(reranked: DataFrame) -> DataFrame:
+    """How far reranking moved the candidates of one query (``fetch_k`` at most, so one task ranks them)."""
     a, b = Window.orderBy(F.desc("score"), "id"), Window.orderBy(F.desc("boosted"), "id")
     d = reranked.select((F.row_number().over(a) - F.row_number().over(b)).alias("m"))
     return d.agg(F.round(F.avg("m"), 6).alias("avg_move"), F.count_if(F.col("m") > 0).alias("moved_up"), F.count(F.lit(1)).alias("n"))

@@ -72,9 +72,11 @@ _TOK = f"list_concat(list_filter(regexp_extract_all(lower(text), '[一-鿿]{{2,}
 
 @query("keywords_tf", f"WITH t AS (SELECT doc_id, unnest({_TOK}) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY ALL) SELECT doc_id, word, round(n / sum(n) OVER (PARTITION BY doc_id), 6) AS weight FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) <= 50")
 def keywords_tf(spark, d):
-    t = _docs(spark, d).select("doc_id", F.explode(T.keyword_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("doc_id")
-    t = t.withColumn("weight", F.round(F.col("n") / F.sum("n").over(w), 6)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("n"), "word")))
+    # dealt by document once, before its words are taken apart; counts, totals and ranks then need one sort and no further shuffle
+    t = _docs(spark, d).select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(T.keyword_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
+    total = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    t = t.withColumn("weight", F.round(F.col("n") / total, 6)).withColumn("rn", F.row_number().over(w))
     return t.where("rn <= 50").select("doc_id", "word", "weight")
 
 
