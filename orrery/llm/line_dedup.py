@@ -146,10 +146,10 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, *, least: int = LEAST) ->
     src = docs.select(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     common = scratch.put(_often(arrow_map(src, _templates(False), "t long, h long"), least), "common")
     rows = arrow_map(src, _templates(True), "t long, h long, n int, line int")
-    held = scratch.put(rows.join(common, "t", "left_semi"), "held")
+    held = scratch.put(rows.join(common, "t", "left_semi").distinct(), "held")  # so that a text counts once, however many copies there are
     shared = held.select("h", "n", "line").distinct().groupBy("h", "n").count()
     witness = shared.where(OF * (F.col("n") - F.col("count")) >= OWN * F.col("n")).select("h")
-    recur = _often(held.select("t", "h").join(witness, "h", "left_semi"), least)
+    recur = scratch.put(_often(held.select("t", "h").join(witness, "h", "left_semi"), least), "recur")  # a table, so that the join of a hot template can be split
     return held.join(recur, "t", "left_semi").groupBy("h").agg(F.collect_set("line").alias("lines"))
 
 
