@@ -10,7 +10,8 @@ Documents carry labels and windows don't, so training alternates: score all wind
 texts, keep the highest of each toxic text and the highest and a chance one of each clean text, learn.
 
 Training texts: at most ``per_class`` of label 0 and of label 1, in the order of a hash of the id, of at most
-``max_bytes`` each.  That bound is the only one; every text is scored over its whole length.  One executor
+``max_bytes`` each; where a class has fewer, longer ones, the shortest first, of up to ``LONGER`` times the bytes.
+That bound is the only one; every text is scored over its whole length.  One executor
 task learns from the sample and returns the weights, a few MB whatever the input.
 
 Defined results: null and empty texts, and texts without a word, get the share of label 1 among the
@@ -37,6 +38,8 @@ VOCAB = 1 << 15
 #: Training texts of label 0 and of label 1 at most, and the bytes of each.
 PER_CLASS = (3600, 1200)
 MAX_BYTES = 1 << 13
+#: Where a class has too few such texts, longer ones of up to so many times the bytes fill it up.
+LONGER = 16
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 f32 = np.float32
@@ -367,11 +370,12 @@ def sample_rows(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] =
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = lab.agg(F.avg("toxic")).first()[0]
-    short = texts(docs).where(F.octet_length("text") <= max_bytes)
+    sized = texts(docs).where("doc_id is not null").select("doc_id", F.octet_length("text").alias("size")).join(lab, "doc_id").where(F.col("size") <= LONGER * max_bytes)
 
     def picked(kind: int) -> DataFrame:
-        ids = lab.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class[kind])
-        return short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[kind])
+        first = F.greatest("size", F.lit(max_bytes)), F.xxhash64("doc_id"), "doc_id"  # short ones by hash, then longer ones by size
+        ids = sized.where(F.col("toxic") == kind).orderBy(*first).limit(per_class[kind]).select("doc_id", "toxic").distinct()
+        return texts(docs).join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= LONGER * max_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[kind])
 
     return picked(0).unionByName(picked(1)).select("doc_id", "text", "toxic"), float(share or 0.0)
 

@@ -293,6 +293,55 @@ def test_toxicity_odd_rows(spark, docs_of, odd):
     assert {x.score for x in toxicity.score_documents(docs_of(odd), one).collect()} == {1.0}
 
 
+def test_longer_texts_fill_the_sample_up(spark, docs_of):
+    """A class whose texts are all long teaches too; short ones come first."""
+    docs = docs_of([(i, "plain words here " * (3 if i < 30 else 900)) for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(60)], "doc_id long, toxic int")
+    rows, share = toxicity.sample_rows(docs, labels, (25, 10))
+    got = [(r.doc_id, r.toxic, len(r.text)) for r in rows.collect()]
+    assert sum(y for _, y, _ in got) == 10 and all(i >= 40 for i, y, _ in got if y)
+    short = sum(n < toxicity.MAX_BYTES for _, y, n in got if not y)
+    assert short == min(25, sum(1 for i in range(30) if zlib.crc32(str(i).encode()) % 4 != 2)) and abs(share - 1 / 3) < 0.2
+
+
+def test_scores_against_a_plain_loop():
+    """The network of a window, gate by gate and word by word, and the highest window of texts up to a very long one."""
+    r = np.random.default_rng(4)
+    vocab = [bytes(r.integers(97, 123, 5).astype(np.uint8)) for _ in range(40)]
+    docs = [b" ".join(vocab[k] for k in r.integers(0, 40, n)) for n in (1, 5, 64, 65, 200)] + [b"", b" ".join(vocab[k] for k in r.integers(0, 40, 30_000))]
+    data, offs = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)]).astype(np.int64)
+    found = toxicity.words(data, offs)
+    row, uniq, inv, gram, word = found
+    net = toxicity.Network(uniq[::2].copy())
+    net.p["word"][:-1] = r.standard_normal(net.p["word"][:-1].shape)
+    best, has, _ = toxicity.scores(net, found, len(docs))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    num, p, h = net.word_numbers(uniq), net.p, toxicity.HIDDEN
+    x = [np.concatenate([p["word"][num[k]], p["gram"][gram[word == k]].mean(0)]) for k in range(len(uniq))]
+
+    def window(seq):
+        out = np.zeros((len(seq), 2 * h))
+        for way, order in ((0, range(len(seq))), (1, range(len(seq) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                g, hh = x[seq[t]] @ p["wx"][way] + p["bx"][way][0], state @ p["wh"][way]
+                rr, z = sig(g[:h] + hh[:h]), sig(g[h : 2 * h] + hh[h : 2 * h])
+                c = np.tanh(g[2 * h :] + rr * hh[2 * h :])
+                state = state + (1 - z) * (c - state)
+                out[t, way * h : (way + 1) * h] = state
+        e = np.tanh(out @ p["wa"] + p["ba"]) @ p["va"]
+        alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        return float((alpha @ out) @ p["wo"] + p["bo"][0])
+
+    assert has.tolist() == [True] * 5 + [False, True]
+    for d in (0, 1, 2, 3, 4):
+        seq = inv[row == d]
+        starts = range(0, max(1, len(seq) - toxicity.WIDTH + toxicity.STRIDE), toxicity.STRIDE)
+        assert abs(best[d] - max(window(seq[s : s + toxicity.WIDTH]) for s in starts)) < 1e-3
+    seq = inv[row == 6]
+    assert abs(best[6] - max(window(seq[s : s + toxicity.WIDTH]) for s in range(0, len(seq), toxicity.STRIDE))) < 1e-3
+
+
 def test_windows_cover_all_words():
     n = [0, 1, 64, 65, 112, 113, 1000]
     row = np.repeat(np.arange(len(n)), n)

@@ -57,7 +57,7 @@ def test_empty_pages(spark):
 def test_a_long_text(spark, docs_of):
     text = "some words of a very long text " * 60_000
     d = docs_of([(1, text), (2, "short")])
-    for name in ("token counts", "language model", "near duplicates", "bpe", "decontamination"):
+    for name in ("token counts", "language model", "near duplicates", "bpe", "decontamination", "toxicity", "media", "lines"):
         assert OPS[name](spark, d).count() == 2
     r = {x.doc_id: x for x in substring_dedup.dedup_substrings(docs_of([(1, text[:300_000]), (2, "short")])).collect()}
     assert r[1].n_removed == 300_000 - 31 and r[2].n_removed == 0
