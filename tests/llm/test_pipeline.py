@@ -45,3 +45,39 @@ def test_stages(spark, folder, tmp_path):
     assert {800, 801} <= ids["bpe"]
     whole = P.run(spark, folder)
     assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in seen["bpe"].collect()}
+
+
+def _tables(spark, d, docs, extra=()):
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    for c in extra:
+        df = df.withColumn(c, F.lit("clash"))
+    df.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"item{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def test_a_long_document_with_a_short_passage_leaves(spark, tmp_path):
+    """However small its share is; and a document with twelve words of the passage stays."""
+    r = random.Random(2)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = [f"item{k}" for k in range(20)]
+    d = _tables(spark, tmp_path, [(1, words(3000) + " " + " ".join(passage[:13]) + " " + words(3000)), (2, words(200) + " " + " ".join(passage[:12])), (3, words(100))])
+    assert sorted(x.doc_id for x in P.run(spark, d).collect()) == [2, 3]
+
+
+def test_empty_tables(spark, tmp_path):
+    assert P.run(spark, _tables(spark, tmp_path, [])).count() == 0
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    """Null ids and texts, repeats, clashing columns and a very long text."""
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long = words(150_000)
+    rows = [(None, None), (None, words(30)), (1, None), (2, ""), (3, words(20)), (3, None), (4, long), (5, " \n \n")]
+    rows[5] = rows[4]
+    d = _tables(spark, tmp_path, rows, ("h", "t", "line", "_h", "shard", "score", "component_id", "n_hit"))
+    got = P.run(spark, d).collect()
+    assert sorted((x.doc_id or 0) for x in got) == [0, 0, 1, 2, 3, 3, 4, 5]
+    assert max(x.n_tokens for x in got) > 150_000
