@@ -60,3 +60,7 @@ ALIASES = {"RAG": ["rag", "检索增强生成", "检索增强"], "Ollama": ["oll
 
 SOURCE_TYPES = {"md": "日记", "txt": "笔记", "json": "配置", "py": "代码"}
 SOURCE_TYPE_OTHER = "其他"
+
+# What a subject may not end in, and subjects that say nothing.
+SUBJECT_TAILS = "通 过 在 把 被 将 从 对 与 和 研 究 表 明 指 出 显 示 说 为 了 着 基 于".split()
+SUBJECT_EMPTY = "我们 他们 它们 你们 这个 那个 这些 那些 自己 它 他 她 这 那 本文 本工作 本研究 本论文".split()

@@ -320,6 +320,32 @@ def triples(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def _named(subject: str) -> str:
+    """The subject without characters that no name ends in; nothing for pronouns and single characters."""
+    while len(subject) > 2 and subject[-1] in L.SUBJECT_TAILS:
+        subject = subject[:-1].strip()
+    return "" if len(subject) < 2 or subject in L.SUBJECT_EMPTY else subject
+
+
+def hybrid_triples(text: str, parse=None) -> list[tuple[str, str, str]]:
+    """Triples of whole sentences with cleaned subjects: those of ``parse`` (a dependency parser's, if there is one), else by rule."""
+    out = []
+    for s in re.split(r"(?<=[。！？.!?])\s*", text or ""):
+        s = s.strip()
+        if len(s) <= 5:
+            continue
+        for found in (parse(s) if parse else None, _plain_zh(s) or _disposal_zh(s) or _plain_en(s)):
+            if found and (subject := _named(found[0])):
+                out.append((subject, found[1], found[2]))
+                break
+    return out
+
+
 @F.pandas_udf(T.ArrayType(TRIPLE))
 def triples_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(("subject", "verb", "object"), x)) for x in triples(t)])
+
+
+@F.pandas_udf(T.ArrayType(TRIPLE))
+def hybrid_triples_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [dict(zip(("subject", "verb", "object"), x)) for x in hybrid_triples(t)])

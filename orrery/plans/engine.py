@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orrery import schema
 from orrery.functions import text as T
@@ -19,7 +21,7 @@ from orrery.operators import retrieve as R
 from orrery.operators import roles as O
 from orrery.operators import store as S
 from orrery.plans import models as M
-from orrery.sources.tables import Store
+from orrery.sources.tables import Store, write_json
 from orrery.streaming.ingest import to_spheres
 
 MODES = {"hyperbolic": "dual", "poincare": "poincare", "gravity": "dual", "deep": "dual"}
@@ -223,6 +225,19 @@ class Engine:
         self.register()
         return self.spark.createDataFrame([(e,) for e in open_], "entry_id string")
 
+    def export(self, path: str) -> None:
+        """Every table as JSON lines, in parallel, with the schemas beside them; vectors and fields included."""
+        for name, df in self.tables.items():
+            write_json(df, f"{path}/{name}")
+        schemas = [(name, df.schema.json()) for name, df in self.tables.items()]
+        self.spark.createDataFrame(schemas, "name string, shape string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_schemas")
+
+    def restore(self, path: str) -> None:
+        """The tables of an export in place of those here; a bulk import that embeds and chunks nothing."""
+        for r in self.spark.read.parquet(f"{path}/_schemas").collect():
+            self.tables[r.name] = self.spark.read.schema(StructType.fromJson(json.loads(r.shape))).json(f"{path}/{r.name}")
+        self._publish(*self.tables)
+
     def rebuild(self, *, full: bool = False, k: int | None = 5, threshold: float = 0.5, with_causal: bool = False) -> None:
         """Clusters, fields, roles, edges, calibration and radius, in this order; full also embeds anew and grows concepts.
 
@@ -257,9 +272,11 @@ class Engine:
         _, con = H.grow(base.join(self["vectors"], "id"), self["mentions"], least=least)
         par = H.parents(con)
         kids = base.join(par.withColumnRenamed("parent_id", "_p"), "id", "left").withColumn("parent_id", F.coalesce("_p", "parent_id")).drop("_p")
+        of = C.concept_centroids(con, base.join(self["vectors"], "id")).select(F.col("concept").alias("id"), F.col("centroid").cast(self["vectors"].schema["embedding"].dataType).alias("embedding"))
+        self.tables["vectors"] = S.add_vectors(self["vectors"].join(con.select("id"), "id", "left_anti"), of)
         top = schema.complete(con.select("id", "text", F.lit("__concept__").alias("source_file"), F.lit(1).alias("level"), "child_ids", F.lit("subject").alias("embedding_source"), "mass"))
         self.tables["spheres"] = kids.select(*self["spheres"].columns).unionByName(top.select(*self["spheres"].columns))
-        self._publish("spheres")
+        self._publish("spheres", "vectors")
 
     def _publish(self, *names: str) -> None:
         if self.store is not None:

@@ -87,7 +87,10 @@ def stream_exclusions(spark, d):
     return I.collect_stream(N.stream_exclusions(e, 10, None), _name("exclusions"), "update").select("session_id", F.explode("ids").alias("id"))
 
 
-@query("stream_online_centroid")
+@query("stream_online_centroid", """WITH RECURSIVE o AS (SELECT CAST(label AS VARCHAR) AS source_type, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+r AS (SELECT source_type, k, v AS c FROM o WHERE k = 1 UNION ALL
+  SELECT source_type, k, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) FROM (SELECT r.source_type, o.k, list_transform(list_zip(r.c, o.v), lambda z: z[1] + (z[2] - z[1]) / (r.k + 1)) AS m FROM r JOIN o ON o.source_type = r.source_type AND o.k = r.k + 1))
+SELECT source_type, CAST(k AS BIGINT) AS n, round(c[1], 5) AS x0 FROM r QUALIFY row_number() OVER (PARTITION BY source_type ORDER BY k DESC) = 1""")
 def stream_online_centroid(spark, d):
     e = _stream(spark, d, "embeddings").select(F.col("label").cast("string").alias("source_type"), F.col("vec_id").alias("seq"), "embedding")
     return I.collect_stream(I.online_centroids(e), _name("centres"), "update").select("source_type", "n", F.round(F.col("centroid")[0], 5).alias("x0"))

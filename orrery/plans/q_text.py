@@ -230,6 +230,11 @@ def svo_triples(spark, d):
     return _sentences(spark, d).select("id", F.explode(U.triples_udf("text")).alias("p")).select("id", "p.subject", "p.verb", "p.object")
 
 
+@query("hybrid_triples")
+def hybrid_triples(spark, d):
+    return _sentences(spark, d).select("id", F.explode(U.hybrid_triples_udf("text")).alias("p")).select("id", "p.subject", "p.verb", "p.object")
+
+
 @query("role_mentions")
 def role_mentions(spark, d):
     return O.mentions(_sentences(spark, d)).select("sphere_id", "entity_id", "entity_text", "role", "seq")

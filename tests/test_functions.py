@@ -96,3 +96,14 @@ def test_triples():
     assert U.triples("冰川融化导致海平面上升很多。") == [("冰川融化", "导致", "海平面上升很多")]
     assert U.triples("The model is based on attention layers.") == [("The model", "is", "based on attention layers")]
     assert U.clean_subject("If it rains") == "" and U.clean_subject("path/to.x") == ""
+
+
+def test_hybrid_triples():
+    one_ = U.triples("研究者把模型部署在服务器上。")[0]
+    assert U.hybrid_triples("研究者把模型部署在服务器上。")[0][1:] == one_[1:]
+    assert U.hybrid_triples("我们提高了分类的精度很多。") == []
+    parsed = lambda s: ("冰川研究表明", "", "海平面")
+    assert U.hybrid_triples("冰川融化导致海平面上升很多。", parsed) == [("冰川", "", "海平面")]
+    assert U.hybrid_triples("短。") == [] and U.hybrid_triples("") == []
+    pronoun = lambda s: ("它们", "", "x")
+    assert U.hybrid_triples("冰川融化导致海平面上升很多。", pronoun) == U.hybrid_triples("冰川融化导致海平面上升很多。")

@@ -247,3 +247,20 @@ def test_query_cache_is_bounded():
     for k in range(20):
         e(f"word{k}")
     assert len(e.cache) <= 8 and e.stats()["misses"] == 20
+
+
+def test_export_and_restore(spark, tmp_path):
+    """All tables as JSON and back, in an engine with a store of its own; concepts have vectors."""
+    e = Engine(spark, store=tables.Store(spark, f"file://{tmp_path}/kb"))
+    e.upload(spark.createDataFrame([(f"基于注意力机制的神经网络模型。 number {i}", "a.md", "note") for i in range(12)], "text string, source_file string, source_type string"))
+    e.rebuild(k=2, threshold=0.3)
+    e.rebuild_hierarchy(least=3)
+    level = {r.id: r.level for r in e["spheres"].collect()}
+    concepts = {i for i, l in level.items() if l == 1}
+    assert concepts and concepts <= {r.id for r in e["vectors"].collect()}
+    e.export(str(tmp_path / "out"))
+    b = Engine(spark, store=tables.Store(spark, f"file://{tmp_path}/other"))
+    b.restore(str(tmp_path / "out"))
+    assert set(b.tables) == set(e.tables)
+    for name in e.tables:
+        assert b[name].schema == e[name].schema and sorted(map(str, b[name].collect())) == sorted(map(str, e[name].collect()))
