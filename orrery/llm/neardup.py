@@ -235,10 +235,12 @@ def _family(num: int, den: int):
     return run
 
 
-def family_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between members (fam, id, comp, sketch, text) of one family and different components."""
+def family_links(members: DataFrame, reps: DataFrame, pool: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links between members (fam, id, comp) of one family and different components; sketches and texts come by id, not by family."""
     size = members.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    size = scratch.put(size, "sizes")  # a table, so that the join of a large family can be split
     d = members.join(size, "fam").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    d = d.join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id").join(pool.select(F.col("doc_id").alias("id"), "text"), "id")
     meet = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("blk", j).alias("x"), F.greatest("blk", j).alias("y")))
     d = d.withColumn("p", F.explode(meet)).select("fam", "p.x", "p.y", "blk", "id", "comp", "sketch", "text")
     return d.groupBy("fam", "x", "y").applyInArrow(_family(num, den), "a long, b long")
@@ -309,8 +311,8 @@ def link(documents: DataFrame, *, num: int = 75, den: int = 100) -> DataFrame:
     hub = near.groupBy("key").agg(F.min("id").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "hub")
     fam = components(near.join(hub, "key").select("id", "hub"), scratch, "id", "hub")
     member = fam.select("id", F.col("comp").alias("fam")).join(near.select("id", "comp").distinct(), "id")
-    member = member.join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id").join(pool.select(F.col("doc_id").alias("id"), "text"), "id")
-    rest = scratch.put(family_links(member, num, den), "links")
+    member = scratch.put(member, "members")
+    rest = scratch.put(family_links(member, reps, pool, num, den, scratch), "links")
     comp = components(links.unionByName(rest), scratch)
 
     final = classes.join(comp, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
