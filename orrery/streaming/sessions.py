@@ -31,7 +31,10 @@ def exclusions(returned: DataFrame, most: int = 100) -> DataFrame:
 
 
 def stream_exclusions(returned: DataFrame, most: int = 100, ttl_ms: int | None = 1_800_000) -> DataFrame:
-    """The same as keyed state: session_id, ids (newest last); a session idle for ``ttl_ms`` (None: never) is forgotten."""
+    """The same as keyed state: session_id, ids (newest last); a session idle for ``ttl_ms`` (None: never) is forgotten.
+
+    The state holds the times of its ids, as a session's rows come in several Arrow batches and in no order.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -39,20 +42,22 @@ def stream_exclusions(returned: DataFrame, most: int = 100, ttl_ms: int | None =
         if ttl_ms is not None and state.hasTimedOut:
             state.remove()
             return
-        ids = list(state.get[0]) if state.exists else []
+        last = dict(zip(*state.get)) if state.exists else {}
         for b in batches:
-            for i in b.sort_values(["ts", "id"])["id"]:
-                if i in ids:
-                    ids.remove(i)
-                ids.append(i)
-        ids = ids[-most:]
-        state.update((ids,))
+            # micros, as state keeps no time stamps; rows without a time come first, as ORDER BY ts DESC has them last
+            t = b["ts"].astype("datetime64[us]").astype("int64")
+            for i, ts in zip(b["id"].tolist(), t.tolist()):
+                last[i] = max(ts, last.get(i, ts))
+            if len(last) > 4 * most + 1000:
+                last = dict(sorted(last.items(), key=lambda x: (x[1], x[0]))[-most:])
+        ids = sorted(last, key=lambda i: (last[i], i))[-most:]
+        state.update((ids, [last[i] for i in ids]))
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"session_id": [key[0]], "ids": [ids]})
 
     kind = dict(returned.dtypes)["session_id"]
-    return returned.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, ids array<bigint>", "ids array<bigint>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return returned.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, ids array<bigint>", "ids array<bigint>, ts array<bigint>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_history(turns: DataFrame, rounds: int = 10, ttl_ms: int | None = 1_800_000) -> DataFrame:
@@ -68,10 +73,9 @@ def stream_history(turns: DataFrame, rounds: int = 10, ttl_ms: int | None = 1_80
             state.remove()
             return
         roles, said = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        for b in batches:
-            b = b.sort_values("seq")
-            roles += b["role"].tolist()
-            said += b["content"].tolist()
+        turns_ = pd.concat(list(batches)).sort_values("seq", kind="stable")  # one session's turns come in several batches
+        roles += turns_["role"].tolist()
+        said += turns_["content"].tolist()
         over = max(0, len(roles) - 2 * rounds)
         over += over % 2  # whole rounds go
         roles, said = roles[over:], said[over:]
