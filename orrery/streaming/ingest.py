@@ -48,22 +48,38 @@ def collect_stream(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def online_centroids(stream: DataFrame, by: str = "source_type") -> DataFrame:
-    """by, n, centroid as vectors arrive (by, seq, embedding): each normalised after every vector."""
+    """by, n, centroid as vectors arrive (by, seq, embedding): each normalised after every vector.
+
+    A trigger's vectors of a key come in several Arrow batches and in no order; they are laid down in a local file
+    and read in the order of ``seq``, so a task holds the order and one batch of them.
+    """
+    import tempfile
+
     import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, batches, state: GroupState):
         n, c = (state.get[0], np.array(state.get[1])) if state.exists else (0, None)
-        for b in batches:
-            for v in b.sort_values("seq")["embedding"]:
-                v = np.asarray(v, float)
+        with tempfile.TemporaryFile() as f:
+            order, dim = [], 0
+            for b in batches:
+                if len(b):
+                    m = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+                    dim = m.shape[1]
+                    f.write(m.tobytes())
+                    order.append(b["seq"].to_numpy())
+            f.flush()
+            order = np.argsort(np.concatenate(order), kind="stable") if order else []
+            rows = np.memmap(f, np.float64, "r", shape=(len(order), dim)) if len(order) else None
+            for at in order:
+                v = np.array(rows[at])
                 c = v if c is None else c + (v - c) / (n + 1)
-                norm = np.linalg.norm(c)
+                norm = np.sqrt(c @ c)
                 c = c / norm if n and norm else c
                 n += 1
         if n:
-            state.update((n, c.tolist()))
+            state.update((int(n), c.tolist()))
             yield pd.DataFrame({by: [key[0]], "n": [n], "centroid": [c.tolist()]})
 
     return stream.select(by, "seq", "embedding").groupBy(by).applyInPandasWithState(step, f"{by} string, n bigint, centroid array<double>", "n bigint, centroid array<double>", "update", GroupStateTimeout.NoTimeout)
