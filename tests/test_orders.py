@@ -1,11 +1,16 @@
 """Results that must not depend on how rows are dealt into levels, batches and blocks."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from orrery.operators import derive as D
+from orrery.operators import edges as E
+from orrery.operators import roles as O
+from orrery.operators.together import partners, sharing
 from orrery.plans import q_stream as Q
 from orrery.streaming import ingest as I
 from orrery.streaming import sessions as N
@@ -58,3 +63,60 @@ def test_online_centroid_in_many_batches(spark, tmp_path, small_batches):
     e = _streamed(spark, vec, "source_type string, seq long, embedding array<double>", f"{tmp_path}/v")
     got = {x.source_type: (x.n, x.centroid) for x in I.collect_stream(I.online_centroids(e), Q._name("c"), "update").collect()}
     assert all(got[k][0] == n and np.allclose(got[k][1], c, atol=1e-12) for k, (n, c) in want.items())
+
+
+def _texts(n, words, seed):
+    r = random.Random(seed)
+    return [(f"s{i}", [r.choice(words) for _ in range(r.randint(0, 12))]) for i in range(n)]
+
+
+def _mentioned(spark, lists):
+    rows = [(s, hashlib.md5(w.encode()).hexdigest()[:8], w, "phrase" if len(w) > 2 else "head", k + 1) for s, l in lists for k, w in enumerate(l)]
+    return spark.createDataFrame(rows, "sphere_id string, entity_id string, entity_text string, role string, seq long")
+
+
+def _ident(w):
+    return hashlib.md5(w.encode()).hexdigest()[:8]
+
+
+def test_partners_make_no_rows_of_pairs(spark):
+    """Counts against plain loops, in blocks, steps and lists of several sizes; no join makes pairs."""
+    lists = _texts(40, [f"w{i}" for i in range(12)] + ["w0"] * 8, 3)
+    m = _mentioned(spark, lists)
+    co = Counter((_ident(w), _ident(o)) for _, l in lists for w in set(l) for o in l[l.index(w) + 1 :] if o != w)
+    for blocks, pairs in ((1, 3), (5, 50), (None, None)):
+        assert {(r.entity_id, r.other_id): r.cnt for r in partners(m, blocks=blocks, pairs=pairs).collect()} == co
+    best = {}
+    for (e, o), n in sorted(co.items(), key=lambda x: (-x[1], x[0])):
+        if n >= 2 and len(best.setdefault(e, [])) < 3:
+            best[e].append((o, n))
+    got = {}
+    for r in partners(m, 2, 3, pairs=9).collect():
+        got.setdefault(r.entity_id, []).append((r.other_id, r.cnt))
+    assert {e: sorted(x) for e, x in got.items()} == {e: sorted(x) for e, x in best.items() if x}
+    assert {r.entity_id: r.c for r in partners(m, counts=True, pairs=9).collect()} == Counter(e for e, _ in co)
+    plan = O.cooccurrence(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Join" not in E.entity_edges(m)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partners_of_other_ids_are_an_error(spark):
+    with pytest.raises(Exception, match="eight hex digits"):
+        partners(spark.createDataFrame([("s", "word", 1)], "sphere_id string, entity_id string, seq long")).collect()
+
+
+def test_shared_entities_in_blocks(spark):
+    lists = [(s, set(l)) for s, l in _texts(50, [f"w{i}" for i in range(9)], 4)]
+    m = _mentioned(spark, [(s, sorted(l)) for s, l in lists])
+    sets = {s: l for s, l in lists if l}
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    for block in (7, 2048):
+        assert {(r.a, r.b): (r.c, r.na, r.nb) for r in sharing(m, block=block).collect()} == want
+
+
+def test_bridges_of_all_partners(spark):
+    """A phrase in more than 30 spheres, and one with more than five partners."""
+    lists = [(f"s{i}", ["hub", *(f"part{k}" for k in range(8))]) for i in range(35)]
+    m = _mentioned(spark, lists)
+    words = ["hub", *(f"part{k}" for k in range(8))]
+    two = sum(1 for k, a in enumerate(words) for b in words[k + 1 :] if _ident(a) < _ident(b))  # counted from the earlier word only
+    assert E.role_bridge(O.cooccurrence(m), m, part=8).count() == two * 35 * 34 // 2
