@@ -6,10 +6,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from orrery.operators import derive as D
 from orrery.operators import edges as E
 from orrery.operators import roles as O
+from orrery.operators.scan import closest
 from orrery.operators.together import partners, sharing
 from orrery.plans import q_stream as Q
 from orrery.streaming import ingest as I
@@ -120,3 +123,19 @@ def test_bridges_of_all_partners(spark):
     words = ["hub", *(f"part{k}" for k in range(8))]
     two = sum(1 for k, a in enumerate(words) for b in words[k + 1 :] if _ident(a) < _ident(b))  # counted from the earlier word only
     assert E.role_bridge(O.cooccurrence(m), m, part=8).count() == two * 35 * 34 // 2
+
+
+def test_closest_is_the_best_of_all_pairs(spark):
+    """One scan of blocks against the windows over all pairs, with equal vectors, a null, and clusters of one and none."""
+    r = random.Random(7)
+    vec = [(str(i), [float(r.randint(-2, 2)) for _ in range(4)], r.choice([0, 1, 2]), "f") for i in range(120)]
+    vec += [("x", None, 1, "f"), ("y", [1.0, 0.0, 0.0, 0.0], 9, "f"), ("z", [1.0, 0.0, 0.0, 1.0], None, "f")]
+    s = spark.createDataFrame(vec, "id string, embedding array<double>, cluster_id int, source_file string")
+    p = E.pairs(s, 0.3).withColumn("sim", F.round("sim", 12))  # equal cosines are equal, whichever product made them
+    want = {(x.a, x.b, round(x.sim, 9)) for x in E._both_ways(p).withColumn("rn", F.row_number().over(Window.partitionBy("a", "b_cluster_id").orderBy(F.desc("sim"), "b"))).where("rn <= if(a_cluster_id = b_cluster_id, 3, 1)").where("a_cluster_id is not null and b_cluster_id is not null").collect()}
+    for block, step in ((16, 8), (4096, 1024)):
+        got = closest(s, 0.3, top=3, block=block, step=step).collect()
+        by = lambda t: {(a, sim) for a, _, sim in t}  # noqa: E731  the sims of each row; equal ones may differ in the last digit
+        assert len(got) == len(want) and by({(x.a, x.b, round(x.sim, 9)) for x in got}) == by(want)
+    s = s.withColumn("chunk_index", F.lit(0))
+    assert E.build(s, threshold=0.3, with_causal=False)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
