@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import text as X
 from orrery.functions import vectors as V
-from orrery.operators.scan import matrix
+from orrery.operators.scan import against_all
 
 
 def centroids(spheres: DataFrame, by: str = "cluster_id", normalize: bool = True) -> DataFrame:
@@ -133,29 +133,26 @@ def auto_k(vectors: DataFrame, seed: int = 42, least: int = 5, most: int = 20) -
     return -best[1]
 
 
-def silhouette(vectors: DataFrame, labels: DataFrame, block: int = 1024) -> DataFrame:
-    """One row: mean Euclidean silhouette.  Distances are summed by cluster in numpy blocks."""
+def silhouette(vectors: DataFrame, labels: DataFrame, block: int = 16384, step: int = 512) -> DataFrame:
+    """One row: mean Euclidean silhouette.  A block of vectors sums its distances to all others by cluster in one task."""
     import numpy as np
     import pyarrow as pa
 
     d = vectors.select("id", "embedding").join(labels.select("id", "cluster_id"), "id")
-    n = d.count()
-    blocks = max(1, -(-n // block))
-    d = d.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    o = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sides = o.select(F.col("blk").alias("x"), F.col("o").alias("y"), F.lit(True).alias("asks"), "id", "cluster_id", "embedding").unionByName(o.select(F.col("o").alias("x"), F.col("blk").alias("y"), F.lit(False).alias("asks"), "id", "cluster_id", "embedding"))
-
-    def run(tbl):
-        ask = tbl.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        m, c = matrix(tbl.column("embedding").combine_chunks()), tbl.column("cluster_id").to_numpy()
-        ids = np.array(tbl.column("id").to_pylist(), object)
-        a, b = m[ask], m[~ask]
-        dist = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
-        kinds, inv = np.unique(c[~ask], return_inverse=True)
-        s = np.stack([dist[:, inv == j].sum(1) for j in range(len(kinds))], 1)
-        return pa.table({"id": pa.array(np.repeat(ids[ask], len(kinds)), pa.string()), "own": pa.array(np.repeat(c[ask], len(kinds)).astype(np.int32)), "other": pa.array(np.tile(kinds, ask.sum()).astype(np.int32)), "s": pa.array(s.reshape(-1))})
-
-    sums = sides.groupBy("x", "y").applyInArrow(run, "id string, own int, other int, s double").groupBy("id", "own", "other").agg(F.sum("s").alias("s"))
+
+    def scan(m, ids, k, asks):
+        left = np.flatnonzero(asks)
+        own = np.array(m[left], np.float64)
+        sq, order = (own * own).sum(1)[:, None], np.argsort(k, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]]))
+        for lo, hi in zip(edges, np.append(edges[1:], len(order))):
+            s = np.zeros(len(left))
+            for at in range(lo, hi, step):
+                b = np.array(m[order[at : min(at + step, hi)]], np.float64)
+                s += np.sqrt(np.maximum(sq + (b * b).sum(1)[None] - 2 * own @ b.T, 0)).sum(1)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), pa.array(k[left].astype(np.int32)), pa.array(np.full(len(left), k[order[lo]], np.int32)), pa.array(s)], names=["id", "own", "other", "s"])
+
+    sums = against_all(d.select("id", F.col("cluster_id").cast("long").alias("k"), "embedding"), scan, "id string, own int, other int, s double", block)
     size = d.groupBy(F.col("cluster_id").alias("other")).agg(F.count(F.lit(1)).alias("n"))
     r = sums.join(F.broadcast(size), "other")
     inner = F.max(F.when((F.col("own") == F.col("other")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1)))

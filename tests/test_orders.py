@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orrery.operators import cluster as C
 from orrery.operators import derive as D
 from orrery.operators import edges as E
 from orrery.operators import roles as O
@@ -139,3 +140,20 @@ def test_closest_is_the_best_of_all_pairs(spark):
         assert len(got) == len(want) and by({(x.a, x.b, round(x.sim, 9)) for x in got}) == by(want)
     s = s.withColumn("chunk_index", F.lit(0))
     assert E.build(s, threshold=0.3, with_causal=False)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_silhouette_and_density_in_one_scan(spark):
+    g = np.random.default_rng(8)
+    v, c = g.normal(size=(90, 3)), np.arange(90) % 3
+    s = spark.createDataFrame([(str(i), v[i].tolist(), int(c[i])) for i in range(90)], "id string, embedding array<double>, cluster_id int")
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    inner = np.array([d[i][c == c[i]].sum() / 29 for i in range(90)])
+    outer = np.array([min(d[i][c == k].mean() for k in range(3) if k != c[i]) for i in range(90)])
+    want = ((outer - inner) / np.maximum(inner, outer)).mean()
+    for block in (16, 1024):
+        sil, den = C.silhouette(s, s, block=block, step=7), D.density(s, 5, block=block, step=7)
+        assert abs(sil.first()[0] - want) < 1e-5
+        ip = -np.sort(-(v @ v.T), axis=1)[:, 1:5].mean(1)
+        assert all(abs(r.mean_ip - ip[int(r.id)]) < 1e-9 for r in den.collect())
+        # one row for each vector (and cluster) leaves the scan, not one for each pair of blocks
+        assert not any("FlatMapGroups" in x._jdf.queryExecution().optimizedPlan().toString() for x in (sil, den))
