@@ -157,3 +157,20 @@ def test_silhouette_and_density_in_one_scan(spark):
         assert all(abs(r.mean_ip - ip[int(r.id)]) < 1e-9 for r in den.collect())
         # one row for each vector (and cluster) leaves the scan, not one for each pair of blocks
         assert not any("FlatMapGroups" in x._jdf.queryExecution().optimizedPlan().toString() for x in (sil, den))
+
+
+def test_causes_and_sentences_in_small_blocks(spark, monkeypatch):
+    """Blocks of a few spheres give the rows of one block; words are not rows, so no join is on them."""
+    r = random.Random(11)
+    words = "model data leads therefore to result 3.5% shows memory because use input of long".split()
+    text = lambda: " ".join(" ".join(r.choice(words) for _ in range(r.randint(3, 14))) + r.choice(".!") for _ in range(4))
+    rows = [(f"s{i:02}", f"f{i % 2}", text()) for i in range(28)] + [("same", "f0", "It therefore leads to long data and model."), ("again", "f0", "It therefore leads to long data and model."), ("none", "f1", None), (None, "f1", text()), ("nowhere", None, text())]
+    s = spark.createDataFrame(rows, "id string, source_file string, text string")
+    whole = {tuple(x) for x in E.causal(s).collect()}
+    assert {("same", "again"), ("again", "same")} <= {x[:2] for x in whole} and not {None, "nowhere"} & {i for x in whole for i in x[:2]}
+    monkeypatch.setattr(E, "ASKING", 3)
+    monkeypatch.setattr(E, "ASKED", 2)
+    parts = E.causal(s)
+    got = [tuple(x) for x in parts.collect()]
+    assert set(got) == whole and len(got) == len(whole)
+    assert "explode(words" not in (plan := parts._jdf.queryExecution().optimizedPlan().toString()) and "explode(cw" not in plan
