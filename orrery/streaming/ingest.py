@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +43,43 @@ def run(stream: DataFrame, store, checkpoint: str):
     return stream.writeStream.foreachBatch(upsert_into(store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def end() -> None:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session may already be gone
+            return
+
+    atexit.register(end)
+    return root
+
+
 def collect_stream(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All output of a bounded stream as a table in memory, for tests and small results."""
+    """All output of a bounded stream as a table: in mode ``complete`` that of the last batch, else of every batch.
+
+    Executors write the rows to the shared folder, beside the state; none comes to the driver.
+    """
     spark: SparkSession = df.sparkSession
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    root, done = _folder(spark, name), []
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{k}")
+        if k not in done:
+            done.append(k)
+
+    df.writeStream.foreachBatch(put).queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{root}/out/{k}" for k in (done[-1:] if mode == "complete" else done)])
 
 
 def online_centroids(stream: DataFrame, by: str = "source_type") -> DataFrame:
@@ -53,8 +88,6 @@ def online_centroids(stream: DataFrame, by: str = "source_type") -> DataFrame:
     A trigger's vectors of a key come in several Arrow batches and in no order; they are laid down in a local file
     and read in the order of ``seq``, so a task holds the order and one batch of them.
     """
-    import tempfile
-
     import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

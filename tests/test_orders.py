@@ -174,3 +174,20 @@ def test_causes_and_sentences_in_small_blocks(spark, monkeypatch):
     got = [tuple(x) for x in parts.collect()]
     assert set(got) == whole and len(got) == len(whole)
     assert "explode(words" not in (plan := parts._jdf.queryExecution().optimizedPlan().toString()) and "explode(cw" not in plan
+
+
+def test_output_of_a_stream_stays_on_executors(spark, tmp_path):
+    """Several batches and none; the table is a scan of files, not rows that the driver holds."""
+    for k in range(3):
+        spark.range(4 * k, 4 * k + 4).selectExpr("id", "id % 2 AS k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/s")
+    e = spark.readStream.schema("id long, k long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/s")
+    n = lambda d: d.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = I.collect_stream(n(e), Q._name("all"), "complete")
+    assert {r.k: r.n for r in got.collect()} == {0: 6, 1: 6}
+    assert sorted(r.n for r in I.collect_stream(n(e), Q._name("each"), "update").collect()) == [2, 2, 4, 4, 6, 6]
+    assert sorted(r.id for r in I.collect_stream(e, Q._name("rows")).collect()) == list(range(12))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "Memory" not in plan
+    (tmp_path / "none").mkdir()
+    none = I.collect_stream(n(spark.readStream.schema("id long, k long").parquet(f"{tmp_path}/none")), Q._name("none"), "complete")
+    assert none.columns == ["k", "n"] and none.count() == 0
