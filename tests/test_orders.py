@@ -191,3 +191,13 @@ def test_output_of_a_stream_stays_on_executors(spark, tmp_path):
     (tmp_path / "none").mkdir()
     none = I.collect_stream(n(spark.readStream.schema("id long, k long").parquet(f"{tmp_path}/none")), Q._name("none"), "complete")
     assert none.columns == ["k", "n"] and none.count() == 0
+
+
+def test_blocks_of_vectors_in_many_batches(spark, small_batches):
+    """A block's vectors come in several Arrow batches; each is kept (more than a file object holds back)."""
+    g = np.random.default_rng(12)
+    s = spark.createDataFrame([(str(i), x.tolist(), i % 2) for i, x in enumerate(g.normal(size=(120, 64)))], "id string, embedding array<double>, cluster_id int")
+    p = E.pairs(s, 0.1)
+    want = {(x.a, x.b): x.sim for x in E._both_ways(p).withColumn("rn", F.row_number().over(Window.partitionBy("a", "b_cluster_id").orderBy(F.desc("sim"), "b"))).where("rn <= if(a_cluster_id = b_cluster_id, 10, 1)").collect()}
+    got = {(x.a, x.b): x.sim for x in closest(s, 0.1, block=64).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
