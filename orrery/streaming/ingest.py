@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import re
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from orrery import schema
 from orrery.functions.structure import chunk_by_type_udf
 from orrery.operators import store as S
+from orrery.sources.scratch import folder
 
 
 def to_spheres(docs: DataFrame) -> DataFrame:
@@ -43,33 +41,13 @@ def run(stream: DataFrame, store, checkpoint: str):
     return stream.writeStream.foreachBatch(upsert_into(store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the process ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def end() -> None:
-        try:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001  the session may already be gone
-            return
-
-    atexit.register(end)
-    return root
-
-
 def collect_stream(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All output of a bounded stream as a table: in mode ``complete`` that of the last batch, else of every batch.
 
     Executors write the rows to the shared folder, beside the state; none comes to the driver.
     """
     spark: SparkSession = df.sparkSession
-    root, done = _folder(spark, name), []
+    root, done = folder(spark, name), []
 
     def put(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/{k}")

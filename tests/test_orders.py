@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from orrery.operators import cluster as C
 from orrery.operators import derive as D
 from orrery.operators import edges as E
+from orrery.operators import graph as G
+from orrery.operators import hierarchy as H
+from orrery.operators import propagate as P
 from orrery.operators import roles as O
 from orrery.operators.scan import closest
 from orrery.operators.together import partners, sharing
@@ -201,3 +204,25 @@ def test_blocks_of_vectors_in_many_batches(spark, small_batches):
     want = {(x.a, x.b): x.sim for x in E._both_ways(p).withColumn("rn", F.row_number().over(Window.partitionBy("a", "b_cluster_id").orderBy(F.desc("sim"), "b"))).where("rn <= if(a_cluster_id = b_cluster_id, 10, 1)").collect()}
     got = {(x.a, x.b): x.sim for x in closest(s, 0.1, block=64).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_labels_without_edges(spark, monkeypatch, small_batches):
+    """Propagation in blocks and steps against the join with all edges; vectors or entities alone, equal vectors, isolated nodes."""
+    g, r = np.random.default_rng(13), random.Random(13)
+    v = [(str(i), None if i % 5 == 0 else g.normal(size=64).tolist()) for i in range(90)] + [("far", [0.0] * 64), ("one", [1.0] * 64), ("two", [2.0] * 64)]
+    s = spark.createDataFrame(v, "id string, embedding array<double>")
+    m = spark.createDataFrame([(str(i), f"{r.randint(0, 40):08x}") for i in range(60, 120) for _ in range(2)] + [("110", "no hex id"), ("111", "no hex id"), (None, "00000001")], "sphere_id string, entity_id string")
+    seeds = s.selectExpr("id", "concat('c', ascii(id) % 3) AS label").where("id like '%2' or id like '1%'")
+    shape = [(2048, 512, 16384), (5, 7, 20)]
+    for ments, t, seed in ((m, 0.2, None), (None, 0.2, seeds), (m, 0.9, seeds)):
+        want = {x.id: x.label for x in G.label_propagation(H.graph(s, m.where("sphere_id is not null") if ments is not None else None, t), 3, seed).collect()}
+        for rows, step, block in shape:
+            monkeypatch.setattr(P, "ROWS", rows)
+            monkeypatch.setattr(P, "STEP", step)
+            got = P.labels(s, ments, t, 3, seed, block)
+            assert {x.id: x.label for x in got.collect()} == want and got.count() == len(want)
+    assert "far" not in want and {"one", "two"} <= want.keys()
+    old = s.where("id not like '%3'")
+    both = H.graph(old, None, 0.2)
+    labels = [{(x.id, x.label) for x in H.incremental_grow(s, old, e, seeds, None, threshold=0.2, rounds=2)[1].collect()} for e in (both, None)]
+    assert labels[0] == labels[1]
