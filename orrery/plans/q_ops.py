@@ -186,10 +186,8 @@ def compressed(spark, d):
 def incremental_grow(spark, d):
     s = X.spheres(spark, d)
     old = s.where("seq % 10 <> 0")
-    saved = E.vector_edges(old, 0.25)
-    both = saved.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(saved.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     labels = old.select("id", F.concat(F.lit("c"), F.col("seq") % 5).alias("label"))
-    return H.incremental_grow(s, old, both, labels, None, threshold=0.25, rounds=2)[1]
+    return H.incremental_grow(s, old, None, labels, None, threshold=0.25, rounds=2)[1]
 
 
 _MASS = "WITH RECURSIVE n AS (SELECT doc_id AS id FROM documents), k AS (SELECT a.id AS p, b.id AS c FROM n a JOIN n b ON b.id IN (2 * a.id + 1, 2 * a.id + 2)), r AS (SELECT id AS top, id AS at FROM n UNION ALL SELECT r.top, k.c FROM r JOIN k ON k.p = r.at), h AS (SELECT top AS id, count(*) AS w FROM r GROUP BY 1), s AS (SELECT doc_id AS id, CAST(len(text) AS DOUBLE) AS s FROM documents), q AS (SELECT median(s) AS med, max(s) AS mx FROM s)"
