@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from orrery.operators import graph as G
 from orrery.operators import hierarchy as H
 from orrery.operators import propagate as P
 from orrery.operators import roles as O
+from orrery.operators import scan
 from orrery.operators.scan import closest
 from orrery.operators.together import partners, sharing
 from orrery.plans import q_stream as Q
@@ -226,3 +230,43 @@ def test_labels_without_edges(spark, monkeypatch, small_batches):
     both = H.graph(old, None, 0.2)
     labels = [{(x.id, x.label) for x in H.incremental_grow(s, old, e, seeds, None, threshold=0.2, rounds=2)[1].collect()} for e in (both, None)]
     assert labels[0] == labels[1]
+
+
+def _nearest_of(m, ids, k, asks, threshold, top):
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    out = set()
+    for a in np.flatnonzero(asks):
+        s = np.einsum("ij,ij->i", np.repeat(u[a][None], len(u), 0), u)
+        for c in np.unique(k):
+            at = sorted((b for b in np.flatnonzero((k == c) & (s > threshold)) if b != a), key=lambda b: (-s[b], ids[b]))
+            out |= {(ids[a], ids[b]) for b in at[: top if c == k[a] else 1]}
+    return out
+
+
+@pytest.mark.parametrize("case", ["equal", "too near for single precision", "apart"])
+@pytest.mark.parametrize("waiting", [5, 1 << 21])
+def test_closest_is_exact_in_single_precision(case, waiting, monkeypatch):
+    """Equal vectors, and vectors whose cosines single precision can't tell apart, in tiles of few rows."""
+    g = np.random.default_rng(13)
+    m = g.normal(size=(300, 6))
+    m = {"equal": m[g.integers(0, 9, 300)], "too near for single precision": 1 + 1e-6 * m, "apart": m}[case]
+    k, ids, asks = g.integers(0, 3, 300), [str(i) for i in g.permutation(300)], g.random(300) < 0.6
+    monkeypatch.setattr(scan, "ROWS", 64)
+    monkeypatch.setattr(scan, "WAITING", waiting)
+    got = [p for b in scan._closest(m, pa.array(ids), k, asks, 0.1, 4, 50) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(got) == len(set(got)) and set(got) == _nearest_of(m, ids, k, asks, 0.1, 4)
+
+
+def test_closest_holds_a_tile_and_deals_few_blocks(spark):
+    """What a task holds doesn't grow with its asking rows, nor do the blocks with the table."""
+    g = np.random.default_rng(14)
+    m, k, ids = g.normal(size=(20000, 8)).astype(np.float32), np.arange(20000) % 4, pa.array([str(i) for i in range(20000)])
+    tracemalloc.start()
+    for _ in scan._closest(m, ids, k, np.ones(20000, bool), 0.3, 3, 512):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6
+    many = spark.range(200000).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0), F.rand(1)).alias("embedding"), F.lit(0).alias("cluster_id"))
+    plan = closest(many, 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert int(re.search(r"RepartitionByExpression .*\], (\d+)", plan)[1]) <= 2 * spark.sparkContext.defaultParallelism
