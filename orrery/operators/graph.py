@@ -91,10 +91,10 @@ def movement(reranked: DataFrame) -> DataFrame:
 
 
 def explore(spheres: DataFrame, edges: DataFrame, cluster_id: int, by: str = "effective_mass", top: int = 30) -> DataFrame:
-    """The first spheres of a cluster with their degree; best first, ties by position."""
+    """The first spheres of a cluster with their degree; best first, ties by position.  Texts of these alone leave the table."""
     d = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("connections"))
-    best = spheres.where(F.col("cluster_id") == cluster_id).orderBy(F.desc(by), "seq").limit(top)
-    return best.join(d, "id", "left").select("id", F.substring("text", 1, 150).alias("preview"), "source_file", by, F.coalesce("connections", F.lit(0).cast("long")).alias("connections"), "seq")
+    best = spheres.where(F.col("cluster_id") == cluster_id).orderBy(F.desc(by), "seq").limit(top).select("id")
+    return spheres.where(F.col("id").isin([r.id for r in best.collect()])).join(d, "id", "left").select("id", F.substring("text", 1, 150).alias("preview"), "source_file", by, F.coalesce("connections", F.lit(0).cast("long")).alias("connections"), "seq")
 
 
 def top_edges(edges: DataFrame, ids: DataFrame, top: int = 5, above: float = 0.2) -> DataFrame:

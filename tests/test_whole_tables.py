@@ -130,3 +130,12 @@ def test_causes_against_every_sentence(spark):
         want.setdefault((x.id, x.other), round(min(0.6, max(0.1, 0.35 + 0.3 * x.score)), 9))
     got = {(x.src, x.dst): round(x.weight, 9) for x in E.causal(s).collect()}
     assert got == want and len(got) > 20
+
+
+def test_explore_takes_texts_of_its_rows_alone(spark, folder, docs):
+    """The text of a row that isn't shown never leaves the scan of documents."""
+    q = registry.QUERIES["explore"](spark, folder)
+    assert {r.id for r in q.collect()} == {str(i) for i, _, _ in docs if i % 4 == 3}
+    plan = q._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scans = [" ".join(plan[i - 2 : i]) for i, x in enumerate(plan) if "Relation [" in x and "text#" in x]
+    assert any("text#" in x for x in scans) and all(re.search(r" IN \(| INSET ", x) for x in scans if "text#" in x)
