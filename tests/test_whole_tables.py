@@ -139,3 +139,9 @@ def test_explore_takes_texts_of_its_rows_alone(spark, folder, docs):
     plan = q._jdf.queryExecution().optimizedPlan().toString().splitlines()
     scans = [" ".join(plan[i - 2 : i]) for i, x in enumerate(plan) if "Relation [" in x and "text#" in x]
     assert any("text#" in x for x in scans) and all(re.search(r" IN \(| INSET ", x) for x in scans if "text#" in x)
+
+
+def test_upserted_graph_is_made_once(spark, folder):
+    q = registry.QUERIES["edge_upsert"](spark, folder)
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") < 2
+    assert {r.weight for r in q.collect() if int(r.src) % 5 == 0} == {-0.5}
